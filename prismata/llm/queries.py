@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm import quality
+from prismata.llm import ngram_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,4 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {"op2_quality_rules": op2_quality_rules}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+}
