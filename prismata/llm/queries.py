@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm import decontaminate, licenses, ngram_join, quality, substring_dedup
+from prismata.llm import decontaminate, licenses, mixing, ngram_join, quality, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).documents()
+
+
+def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.histogram_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +52,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
+    "op6_histogram_sharding": op6_histogram_sharding,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
