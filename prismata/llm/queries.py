@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm import decontaminate, licenses, mixing, ngram_join, quality, sharding, substring_dedup
+from prismata.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).documents()
 
@@ -52,6 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op6_histogram_sharding": op6_histogram_sharding,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
