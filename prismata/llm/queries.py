@@ -75,3 +75,5 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
+
+ORACLES: dict[str, str] = {}
