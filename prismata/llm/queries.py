@@ -76,4 +76,28 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND kept < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND kept < page_id THEN kept END AS refers_to FROM q""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c * 10 >= 8 * (na.n + nb.n - c)),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT doc_id, coalesce((SELECT min(root) FROM r WHERE node = doc_id), doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links FROM d""",
+    "op10_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) WHERE len(w) >= 50),
+m AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+c AS (SELECT DISTINCT doc_id, i + k AS at FROM v JOIN m USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE doc_id > least),
+x AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id),
+y AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN x ON d.doc_id = x.doc_id)
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ')) AS kept_sha256 FROM y""",
+}
