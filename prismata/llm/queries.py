@@ -96,8 +96,8 @@ SELECT doc_id, coalesce((SELECT min(root) FROM r WHERE node = doc_id), doc_id) A
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) WHERE len(w) >= 50),
 m AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
-c AS (SELECT DISTINCT doc_id, i + k AS at FROM v JOIN m USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE doc_id > least),
-x AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS place FROM v JOIN m USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE doc_id > least),
+x AS (SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id),
 y AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN x ON d.doc_id = x.doc_id)
 SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ')) AS kept_sha256 FROM y""",
 }
