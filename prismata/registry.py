@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
-from prismata.operators import audit, decisions, matrices, models, raster, selection
+from prismata.operators import audit, decisions, matrices, models, raster, review, selection
 from prismata.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,3 +584,126 @@ def _(s, d):
 def _(s, d):
     values = F.array(*map(F.lit, ("True", " no", "1", "Almond", "PEANUT ", "maybe")))
     return read(s, d, "orders").select("o_orderkey", tables.binary_label(F.element_at(values, (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("label"))
+
+
+# alerts and reviews: high and low order totals raise alerts, urgent and high orders have been reviewed
+
+
+def order_alerts(s, d):
+    rules = [("high_total", F.col("o_totalprice") > 300000, "warning", ["o_custkey"]), ("open_order", F.col("o_orderstatus") == "O", "info", ["o_orderkey", "o_custkey"])]
+    return review.alerts(read(s, d, "orders"), "order", "o_orderkey", rules)
+
+
+def order_reviews(s, d):
+    o = read(s, d, "orders")
+    stored = o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").cast("string").alias("record_id"), F.when(F.col("o_custkey") < 30, "exclude").when(F.col("o_orderstatus") == "F", "accept_as_is").when(F.col("o_orderstatus") == "P", "correct_segmentation").otherwise("later").alias("review_decision"),
+        F.concat(F.lit("clerk"), F.col("o_custkey")).alias("reviewer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("review_date"), F.when(F.col("o_totalprice") > 50000, "seen").otherwise(" ").alias("review_comment"))
+    return review.merge_reviews(order_alerts(s, d), stored, "record_id")
+
+
+_AL = (
+    "WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS record_id FROM orders), a AS (SELECT *, 'high_total' AS flag_type, 'warning' AS severity, '{\"o_custkey\":' || o_custkey || '}' AS evidence_json FROM o WHERE o_totalprice > 300000 "
+    "UNION ALL SELECT *, 'open_order', 'info', '{\"o_orderkey\":' || o_orderkey || ',\"o_custkey\":' || o_custkey || '}' FROM o WHERE o_orderstatus = 'O'), "
+    "v AS (SELECT record_id, flag_type, severity, CASE WHEN NOT done THEN NULL WHEN o_custkey < 30 THEN 'exclude' WHEN o_orderstatus = 'F' THEN 'accept_as_is' WHEN o_orderstatus = 'P' THEN 'correct_segmentation' ELSE 'later' END AS review_decision, "
+    "done, o_totalprice > 50000 AS commented FROM (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS done FROM a)), "
+    "q AS (SELECT *, CASE WHEN NOT done THEN 'pending' WHEN review_decision = 'accept_as_is' THEN 'accepted' WHEN review_decision = 'exclude' THEN 'excluded' WHEN review_decision = 'correct_segmentation' THEN 'needs_new_cycle' ELSE 'pending' END AS qc_status FROM v)"
+)
+
+
+@query("q8_alerts", f"{_AL} SELECT 'order' AS record_type, record_id, flag_type, sha256('order|' || record_id || '|' || flag_type) AS alert_id, severity, evidence_json FROM a")
+def _(s, d):
+    return order_alerts(s, d)
+
+
+@query("q9_missing_fields", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority = '5-LOW' THEN 'priority' END, CASE WHEN o_orderstatus = 'O' THEN 'status' END) AS missing FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'O'")
+def _(s, d):
+    o = read(s, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), F.nullif("o_orderstatus", F.lit("O")).alias("status"))
+    return review.missing_fields(o, "o_orderkey", ["priority", "status"])
+
+
+@query("q12_review_merge", f"{_AL} SELECT record_id, flag_type, review_decision, CASE WHEN done THEN 'reviewed' ELSE 'pending' END AS review_status FROM v")
+def _(s, d):
+    return order_reviews(s, d).select("record_id", "flag_type", "review_decision", "review_status")
+
+
+@query("q13_open_reviews", f"{_AL} SELECT record_id, flag_type, CASE WHEN NOT done THEN 'pending' WHEN review_decision = 'later' THEN 'invalid_decision' ELSE 'no_comment' END AS reason FROM v WHERE NOT done OR review_decision = 'later' OR NOT commented")
+def _(s, d):
+    return review.open_reviews(order_reviews(s, d)).select("record_id", "flag_type", "reason")
+
+
+@query("q14_apply_reviews", f"{_AL} SELECT record_id, flag_type, qc_status, qc_status = 'excluded' AS excluded, qc_status = 'needs_new_cycle' AS new_cycle FROM q")
+def _(s, d):
+    return review.apply_reviews(order_reviews(s, d)).select("record_id", "flag_type", "qc_status", "excluded", "new_cycle")
+
+
+@query("q15_closure", f"{_AL} SELECT severity, count(*) AS n_alerts, count_if(qc_status = 'pending') AS n_pending, count_if(qc_status = 'excluded') AS n_excluded, count_if(qc_status = 'needs_new_cycle') AS n_new_cycle, CASE WHEN count_if(qc_status = 'pending') = 0 THEN 'closed' ELSE 'pending' END AS state FROM q GROUP BY severity")
+def _(s, d):
+    return review.closure(review.apply_reviews(order_reviews(s, d)), ["severity"])
+
+
+_FUNNEL = "SELECT p_brand, count(*) AS a, count_if(p_size <= 35) AS b, count_if(p_size <= 35 AND p_retailprice <= 1500) AS c FROM part GROUP BY p_brand"
+
+
+@query("j16_retention_funnel", f"WITH f AS ({_FUNNEL}) SELECT p_brand, 1 AS stage_no, 'size' AS stage, a AS n_entering, b AS n_retained, a - b AS n_failed FROM f UNION ALL SELECT p_brand, 2, 'price', b, c, b - c FROM f")
+def _(s, d):
+    return review.retention_funnel(read(s, d, "part"), ["p_brand"], [("size", F.col("p_size") <= 35), ("price", F.col("p_retailprice") <= 1500)])
+
+
+@query("j17_shortlist", "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice > 1400 AND b.p_brand = a.p_brand AND b.p_size = a.p_size)")
+def _(s, d):
+    p = read(s, d, "part")
+    return review.in_shortlist(p, p.where("p_retailprice > 1400"), ["p_brand", "p_size"]).select("p_partkey")
+
+
+@query(
+    "t6_crossfit_rates",
+    f"{M}, e AS (SELECT DISTINCT line AS e FROM m UNION ALL SELECT -1), q AS (SELECT fold, e, quantile_cont(score, 0.5) FILTER (score < 0) AS lo, quantile_cont(score, 0.5) FILTER (score > 0) AS hi FROM m JOIN e ON line <> e GROUP BY fold, e), "
+    f"x AS (SELECT m.fold, e, lo, hi, truth, CASE WHEN score >= hi THEN 'target' WHEN score <= lo THEN 'non_target' ELSE 'uncertain' END AS d FROM m JOIN q ON m.fold = q.fold AND (e = -1 OR e = line)) "
+    f"SELECT fold, CAST(e AS BIGINT) AS evaluation_fold, round(lo, 6) AS lower, round(hi, 6) AS upper, {THREE} FROM x GROUP BY fold, e, lo, hi",
+)
+def _(s, d):
+    return rounded(review.crossfit_rates(margins(s, d), "score", ["fold"], "line", 0.0, 0.5, 0.5))
+
+
+_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+@query("t8_policy_aggregation", "SELECT o_custkey, count(DISTINCT o_orderdate) AS n_runs, " + ", ".join(f"round(avg({_CENTS}) FILTER (o_orderstatus = '{m}'), 4) AS {m}_mean, max({_CENTS}) FILTER (o_orderstatus = '{m}') AS {m}_worst" for m in "FOP") + " FROM orders GROUP BY o_custkey")
+def _(s, d):
+    o = read(s, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))  # whole cents sum exactly in any order
+    return rounded(review.aggregate_policies(o, ["o_custkey"], ["o_orderdate"], "o_orderstatus", "cents", list("FOP")), 4)
+
+
+@query("t11_snapped_keys", "SELECT CASE WHEN l_discount < 0.0125 THEN 0.0 WHEN l_discount < 0.0375 THEN 0.025 WHEN l_discount < 0.0625 THEN 0.05 WHEN l_discount < 0.0875 THEN 0.075 ELSE 0.1 END::DOUBLE AS policy, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(s, d):
+    return read(s, d, "lineitem").groupBy(review.snap(F.col("l_discount").cast("double"), [0.0, 0.025, 0.05, 0.075, 0.1]).alias("policy")).agg(F.count("*").alias("n"))
+
+
+@query("t12_audit_summary", "SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def _(s, d):
+    return review.audit_summary(read(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query(
+    "t13_model_metrics",
+    f"{L}, g AS (SELECT source, lang, {RATES} FROM l GROUP BY source, lang), u AS (SELECT source, lang, 'fn_rate' AS metric, fn_rate AS value FROM g UNION ALL SELECT source, lang, 'fp_rate', fp_rate FROM g) "
+    "SELECT source, concat_ws('.', lang, metric) AS key, value FROM u UNION ALL SELECT source, 'safety.' || metric, max(value) FROM u GROUP BY source, metric",
+)
+def _(s, d):
+    return review.model_metrics(rounded(decisions.detection_metrics(labelled(s, d), ["source", "lang"])), "source", "lang", ["fn_rate", "fp_rate"])
+
+
+@query(
+    "b13_search_efficiency",
+    "WITH g AS (SELECT o_orderpriority AS track, count(*) AS t, count(DISTINCT o_custkey) AS u, count(DISTINCT o_custkey) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 8000)) / (SELECT count(*) FROM customer WHERE c_acctbal >= 8000) AS r FROM orders GROUP BY ALL), "
+    "x AS (SELECT *, 1 - power(1 - 1 / n, t) AS e FROM g, (SELECT count(*)::DOUBLE AS n FROM customer)) SELECT track, CAST(t AS BIGINT) AS n_trials, u AS n_unique, round(r, 6) AS front_recall, round(1 - u / t, 6) AS duplicate_rate, round(u / n, 6) AS coverage, round(e, 6) AS expected, round(r - e, 6) AS delta, round(r / e, 6) AS lift FROM x",
+)
+def _(s, d):
+    c = read(s, d, "customer").withColumnRenamed("c_custkey", "config")
+    trials = read(s, d, "orders").select(F.col("o_orderpriority").alias("track"), F.col("o_custkey").alias("config"))
+    return rounded(review.search_efficiency(trials, c, c.where("c_acctbal >= 8000"), "track", "config"))
+
+
+@query("b14_first_trials", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def _(s, d):
+    return review.first_trials(read(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
