@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
-from prismata.operators import audit, decisions, matrices, models, raster, review, selection
+from prismata.operators import audit, catalog, decisions, matrices, models, raster, review, selection
 from prismata.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,3 +707,99 @@ def _(s, d):
 @query("b14_first_trials", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
 def _(s, d):
     return review.first_trials(read(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "k1_configuration_grid",
+    "WITH b AS (SELECT DISTINCT p_brand AS chain FROM part), g AS (SELECT chain, m, k, alpha FROM b, (SELECT unnest(['mean', 'pixels']) AS m), (SELECT unnest([3, 5, 8]) AS k), (SELECT unnest(['0.01', '0.05']) AS alpha)) "
+    "SELECT *, sha256(concat_ws('|', chain, m, k, alpha)) AS config_id FROM g WHERE m = 'pixels' OR k <= 5",
+)
+def _(s, d):
+    base = read(s, d, "part").select(F.col("p_brand").alias("chain")).distinct()
+    return catalog.configuration_grid(base, {"m": ["mean", "pixels"], "k": [3, 5, 8], "alpha": ["0.01", "0.05"]}, F.expr("m = 'pixels' OR k <= 5"), ["chain", "m", "k", "alpha"])
+
+
+@query("k3_additional_seeds", "SELECT c_custkey, seed FROM customer, (SELECT unnest([0, 1, 2]) AS seed) WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = seed)")
+def _(s, d):
+    done = read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 3).alias("seed"))
+    return catalog.additional_seeds(read(s, d, "customer"), "c_custkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), [0, 1, 2], done)
+
+
+@query("k4_execution_registry", "SELECT o_orderkey, o_custkey, c_nationkey, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def _(s, d):
+    models = read(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    tracks = read(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return catalog.join_once(catalog.join_once(read(s, d, "orders").select("o_orderkey", "o_custkey"), models, ["o_custkey"]), tracks, ["c_nationkey"])
+
+
+@query("t10_materialised_thresholds", "SELECT l_orderkey, l_linenumber, o_totalprice AS threshold FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def _(s, d):
+    cuts = read(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("threshold"))
+    return catalog.join_covered(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), cuts, ["l_orderkey"], "threshold")
+
+
+@query(
+    "q10_position_check",
+    "SELECT *, n_parts = n_positions AND first = 1 AND last = n_parts AS consistent FROM (SELECT l_orderkey, count(*) AS n_parts, count(DISTINCT l_linenumber) AS n_positions, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey)",
+)
+def _(s, d):
+    return catalog.position_check(read(s, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    "t9_policy_selection",
+    "WITH a AS (SELECT p_partkey, p_brand, p_size, p_retailprice, CASE WHEN p_size < 5 THEN 'incomplete' WHEN p_retailprice > 1800 THEN 'limit:price' END AS g FROM part), "
+    "b AS (SELECT *, coalesce(g, CASE WHEN p_size > min(p_size) FILTER (g IS NULL) OVER (PARTITION BY p_brand) + 5 THEN 'plateau:p_size' END) AS h FROM a), "
+    "c AS (SELECT *, coalesce(h, CASE WHEN p_retailprice < max(p_retailprice) FILTER (h IS NULL) OVER (PARTITION BY p_brand) - 200 THEN 'plateau:p_retailprice' END) AS i FROM b) "
+    "SELECT p_partkey, p_brand, coalesce(i, CASE WHEN p_partkey = min(p_partkey) FILTER (i IS NULL) OVER (PARTITION BY p_brand) THEN 'selected' ELSE 'tie_break' END) AS stage FROM c",
+)
+def _(s, d):
+    p = read(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return catalog.select_policies(p, ["p_brand"], F.col("p_size") >= 5, [("price", F.col("p_retailprice") <= 1800)], [("p_size", True, 5), ("p_retailprice", False, 200)], "p_partkey").select("p_partkey", "p_brand", "stage")
+
+
+@query(
+    "b16_acceptability",
+    "WITH n AS (SELECT c_custkey, count(o_orderkey) AS n_stored, max(o_totalprice) AS x FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey) "
+    "SELECT c_custkey, n_stored, CASE WHEN n_stored = 0 THEN 'missing' WHEN n_stored > 1 THEN 'duplicated' WHEN x >= 1000 AND x <= 200000 THEN 'acceptable' ELSE 'calculable_but_not_acceptable' END AS status FROM n",
+)
+def _(s, d):
+    stored = read(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return catalog.acceptability(read(s, d, "customer"), stored, "c_custkey", {"o_totalprice": (1000.0, 200000.0)})
+
+
+@query(
+    "b15_paired_plan",
+    "WITH r AS (SELECT p_brand, p_type, min(p_partkey) AS reference FROM part WHERE p_size = 1 GROUP BY ALL) SELECT p_partkey, p_size, reference, CASE WHEN reference IS NULL THEN 'not_estimable' ELSE 'planned' END AS status FROM part LEFT JOIN r USING (p_brand, p_type) WHERE p_size <> 1",
+)
+def _(s, d):
+    return catalog.paired_plan(read(s, d, "part"), "p_partkey", "p_size", 1, ["p_brand", "p_type"])
+
+
+@query(
+    "a8_area_classes",
+    "WITH x AS (SELECT l_returnflag, CASE WHEN l_quantity <= 5 THEN 'tiny' WHEN l_quantity <= 10 THEN 'small' WHEN l_quantity <= 20 THEN 'medium' WHEN l_quantity <= 40 THEN 'large' ELSE 'huge' END AS area_class, l_discount FROM lineitem), "
+    "g AS (SELECT l_returnflag, area_class, count(*) AS n, count_if(l_discount > 0.05) AS n_detected, round(avg(l_discount), 6) AS mean_iou FROM x GROUP BY ALL), "
+    "f AS (SELECT l_returnflag, area_class, i FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES ('tiny', 1), ('small', 2), ('medium', 3), ('large', 4), ('huge', 5)) v(area_class, i)) "
+    "SELECT l_returnflag, area_class, coalesce(n, 0) AS n, CAST(coalesce(n_detected, 0) AS BIGINT) AS n_detected, round(n_detected / n, 6) AS recall, mean_iou, coalesce(i = min(i) FILTER (n > 0) OVER (PARTITION BY l_returnflag), false) AS smallest FROM f LEFT JOIN g USING (l_returnflag, area_class)",
+)
+def _(s, d):
+    li = read(s, d, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_discount") > 0.05).alias("detected"), F.col("l_discount").cast("double").alias("iou"))
+    return rounded(catalog.area_classes(li, ["l_returnflag"], "l_quantity", "detected", "iou", [5, 10, 20, 40], ["tiny", "small", "medium", "large", "huge"]))
+
+
+@query("u3_output_summary", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, min(o_totalprice) AS o_totalprice_least, round(median(o_totalprice), 6) AS o_totalprice_median, max(o_totalprice) AS o_totalprice_largest FROM orders GROUP BY ALL")
+def _(s, d):
+    return rounded(catalog.output_summary(read(s, d, "orders"), ["o_orderpriority", "o_orderstatus"], ["o_totalprice"]))
+
+
+@query(
+    "r2_otsu_threshold",
+    "WITH v AS (SELECT l_returnflag, l_quantity::DOUBLE AS v, min(l_quantity) OVER (PARTITION BY l_returnflag)::DOUBLE AS lo, max(l_quantity) OVER (PARTITION BY l_returnflag)::DOUBLE AS hi FROM lineitem), "
+    "h AS (SELECT l_returnflag, lo, hi, least(255, floor((v - lo) * 256 / (hi - lo)))::BIGINT AS b, count(*) AS n FROM v GROUP BY ALL), "
+    "c AS (SELECT *, sum(n) OVER w AS w1, sum(n * b) OVER w AS s1, sum(n) OVER (PARTITION BY l_returnflag) AS wt, sum(n * b) OVER (PARTITION BY l_returnflag) AS st FROM h WINDOW w AS (PARTITION BY l_returnflag ORDER BY b)), "
+    "x AS (SELECT *, w1::DOUBLE * (wt - w1)::DOUBLE * power(s1 / w1 - (st - s1) / nullif(wt - w1, 0), 2) AS g FROM c) "
+    "SELECT l_returnflag, round(lo + (b + 0.5) * (hi - lo) / 256, 6) AS threshold FROM x QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY g DESC NULLS LAST, b) = 1",
+)
+def _(s, d):
+    return rounded(catalog.otsu(read(s, d, "lineitem"), "l_returnflag", "l_quantity"))
