@@ -124,3 +124,22 @@ def threshold_mask(df: DataFrame, image: str, value: str, least: float | None =
     t = otsu(df, image, value)
     t = t.withColumn("threshold", F.greatest("threshold", F.lit(least))) if least is not None else t
     return _same(df, t, [image], "left").withColumn("in_mask", F.coalesce((F.col(value) > F.col("threshold")) & ~F.isnan(F.col(value).cast("double")), F.lit(False)))
+
+
+def reference_audit(stored: DataFrame, rebuilt: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Stored metrics beside rebuilt ones, one row per key and metric: equal within the tolerance, both NULL included,
+    or not; keys of one side only are named."""
+    pair = lambda t, side: t.select(*keys, F.lit(True).alias(f"_{side}"), *[F.col(m).cast("double").alias(f"{m}_{side}") for m in metrics])
+    out = pair(stored, "stored").join(pair(rebuilt, "rebuilt"), keys, "full")
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_stored").alias("stored"), F.col(f"{m}_rebuilt").alias("rebuilt")) for m in metrics])).alias("c")
+    out = out.select(*keys, "_stored", "_rebuilt", cells).select(*keys, "_stored", "_rebuilt", "c.*")
+    same = F.col("stored").eqNullSafe(F.col("rebuilt")) | (F.abs(F.col("stored") - F.col("rebuilt")) <= tolerance)
+    status = F.when(F.col("_stored").isNull(), "not_stored").when(F.col("_rebuilt").isNull(), "not_rebuilt").when(same, "equal").otherwise("differs")
+    return out.select(*keys, "metric", "stored", "rebuilt", status.alias("status"))
+
+
+def per_image_errors(df: DataFrame, by: list[str], truth: str = "truth", prediction: str = "prediction") -> DataFrame:
+    """Errors of each kind per image and their share of the rows whose truth and prediction are known."""
+    t, p = F.col(truth), F.col(prediction)
+    out = df.where(t.isNotNull() & p.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(t & ~p).alias("n_fn"), F.count_if(~t & p).alias("n_fp"))
+    return out.withColumn("error_rate", (F.col("n_fn") + F.col("n_fp")) / F.col("n"))

@@ -82,3 +82,25 @@ def error_codes(df: DataFrame, truth: str = "truth", prediction: str = "predicti
     """0 none, 1 TP, 2 TN, 3 FP, 4 FN."""
     t, p = F.col(truth), F.col(prediction)
     return df.withColumn("code", F.when(t.isNull() | p.isNull(), 0).when(t & p, 1).when(~t & ~p, 2).when(~t & p, 3).otherwise(4))
+
+
+def fill_holes(mask: DataFrame, within: DataFrame) -> DataFrame:
+    """The mask and its holes: background components, by edges only, that do not reach the border of the raster.
+    ``within`` holds all pixels of each raster; its extreme rows and columns are the border."""
+    border = within.groupBy("image").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    background = components(within.select(*AT).join(mask.select(*AT), AT, "left_anti"), 4)
+    on_border = F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1"))
+    outside = background.join(border, "image").where(on_border).select("image", "label").distinct()
+    return mask.select(*AT).unionByName(background.join(outside, ["image", "label"], "left_anti").select(*AT))
+
+
+def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radius: int = 0, closing_radius: int = 1, holes: bool = True, connectivity: int = 4) -> DataFrame:
+    """Opening, closing, holes, then components under ``least`` pixels go; a radius of 0 leaves a step out."""
+    out = mask.select(*AT)
+    if opening_radius:
+        out = opening(out, opening_radius)
+    if closing_radius:
+        out = closing(out, closing_radius).join(within.select(*AT), AT, "left_semi")
+    if holes:
+        out = fill_holes(out, within)
+    return remove_small(components(out, connectivity), least).select(*AT)

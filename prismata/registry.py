@@ -803,3 +803,32 @@ def _(s, d):
 )
 def _(s, d):
     return rounded(catalog.otsu(read(s, d, "lineitem"), "l_returnflag", "l_quantity"))
+
+
+_KB = f"{P}, b AS (SELECT row, col FROM p WHERE spectrum[1] <= 1.0), e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM p), "
+_OPEN = "w AS (WITH RECURSIVE r AS (SELECT row, col FROM b, e WHERE row IN (r0, r1) OR col IN (c0, c1) UNION SELECT n.row, n.col FROM r JOIN b n ON abs(n.row - r.row) + abs(n.col - r.col) = 1) SELECT * FROM r)"
+
+
+@query("r3_hole_filling", f"{_KB}{_OPEN} SELECT 0 AS image, row, col FROM p ANTI JOIN w USING (row, col)")
+def _(s, d):
+    return raster.fill_holes(mask(s, d), pixels(s, d).select(F.lit(0).alias("image"), "row", "col"))
+
+
+@query(
+    "k5_reference_audit",
+    "WITH a AS (SELECT o_orderkey, o_totalprice::DOUBLE AS stored FROM orders), b AS (SELECT l_orderkey AS o_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 AS rebuilt FROM lineitem GROUP BY ALL) "
+    "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, 'price' AS metric, stored, rebuilt::DOUBLE AS rebuilt, CASE WHEN a.o_orderkey IS NULL THEN 'not_stored' WHEN b.o_orderkey IS NULL THEN 'not_rebuilt' WHEN abs(stored - rebuilt) <= 50000 THEN 'equal' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey",
+)
+def _(s, d):
+    stored = read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))  # whole cents sum exactly in any order
+    rebuilt = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((cents / 100.0).alias("price"))
+    return catalog.reference_audit(stored, rebuilt, ["o_orderkey"], ["price"], 50000.0)
+
+
+@query(
+    "u4_per_image_errors",
+    f"{L} SELECT lang, source, count(*) AS n, CAST(count_if(truth AND NOT prediction) AS BIGINT) AS n_fn, CAST(count_if(NOT truth AND prediction) AS BIGINT) AS n_fp, round(count_if(truth <> prediction) / count(*), 6) AS error_rate FROM l GROUP BY ALL",
+)
+def _(s, d):
+    return rounded(catalog.per_image_errors(labelled(s, d), ["lang", "source"]))

@@ -63,3 +63,21 @@ def test_empty_tables(spark):
     assert catalog.otsu(empty, "image", "v").count() == 0
     assert catalog.position_check(empty, "image", "v").count() == 0
     assert catalog.additional_seeds(empty, "image", F.lit(True), [1], empty.withColumnRenamed("v", "seed")).count() == 0
+
+
+def test_hole_filling_keeps_open_background(spark):
+    from prismata.operators import raster
+
+    art = ["......", ".###..", ".#.###", ".###.#", "...###", "#.#..."]  # two holes, the second touching the first only at a corner
+    within = spark.createDataFrame([("i", r, c) for r in range(6) for c in range(6)], "image string, row int, col int")
+    mask = spark.createDataFrame([("i", r, c) for r, line in enumerate(art) for c, x in enumerate(line) if x == "#"], "image string, row int, col int")
+    added = raster.fill_holes(mask, within).exceptAll(mask)
+    assert rows(added.select("row", "col")) == [(2, 2), (3, 4)]
+    cleaned = raster.clean_mask(mask, within, least=5, closing_radius=0)
+    assert cleaned.count() == mask.count() + 2 - 2
+
+
+def test_reference_audit_names_what_one_side_lacks(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.5)], "k int, m double")
+    b = spark.createDataFrame([(1, 0.6), (2, None), (4, 0.5)], "k int, m double")
+    assert rows(catalog.reference_audit(a, b, ["k"], ["m"]).select("k", "status")) == [(1, "differs"), (2, "equal"), (3, "not_rebuilt"), (4, "not_stored")]
