@@ -2,16 +2,21 @@
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers in every whole text.
 
-Each distinct match is a protected entity. Terms are folded words (no punctuation, no case). A term reveals an entity
-when knowing the term leaves little of the entity's information: with document frequencies over all distinct texts,
-PMI(entity, term) = log2(p(entity, term) / (p(entity) p(term))) is compared with IC(entity) = -log2 p(entity), which
-it reaches when the term never occurs without the entity. A term next to an entity (``reach`` words either way) in
-``support`` texts or more, whose PMI is at least ``share`` of the entity's IC, exceeds the disclosure threshold; its
-occurrences become spans of kind ``term``, and ``sanitise`` generalises patterns to their kind and removes such terms.
-
-Counting is exact and over all documents: pairs come from the first pass; a term whose count next to any entities
-already rules it out is dropped; the second pass counts the other candidates in every text (a bitmap of fixed size
-lets few other words reach the exact join).
+Each distinct match is a protected entity, whatever its spelling: e-mail addresses are compared without case, IP
+addresses by the numbers of their parts, card and phone numbers by their digits. Terms are folded words (no
+punctuation, no case) outside all matches. A term reveals an entity when knowing the term leaves little of the
+entity's information: with document frequencies over all distinct texts, PMI(entity, term) = log2(p(entity, term) /
+(p(entity) p(term))) is compared with IC(entity) = -log2 p(entity), which it reaches when the term never occurs
+without the entity. A term anywhere in ``support`` texts of an entity, or in every text of an entity that has fewer,
+whose PMI is at least ``share`` of the entity's IC, exceeds the disclosure threshold; its occurrences become spans of
+kind ``term``, and ``sanitise`` generalises patterns to their kind and removes such terms. So in a text with an entity
+of its own, the words that stand in next to no other text are terms: they point at that text as surely as the entity.
+An entity of every text has no information to give away.
+
+Counting is exact and over all documents: entities of the same texts share all counts and are counted as one class; a
+term whose count in texts with entities already rules it out is dropped before classes and terms are paired; the
+second pass counts the other candidates in every text (a bitmap of fixed size lets few other words reach the exact
+join).
 
 Defined results: a null or empty text has no spans; rows without a doc_id are treated like others; equal texts count
 once in all frequencies; rows that repeat a doc_id each get their own result; an empty table gives an empty table.
@@ -33,7 +38,7 @@ from prismata.llm.bitmap import bitmap, passes
 from prismata.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT, SHARE = 5, 3, 0.9
+SUPPORT, SHARE = 3, 0.9
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match can only begin where a run of digits does
@@ -78,12 +83,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def normal(kind: int, match: str) -> str:
+    """The entity that a match spells."""
+    if kind == 0:
+        return f"{KINDS[kind]}:{match.lower()}"
+    return f"{KINDS[kind]}:" + (".".join(p.lstrip("0") or "0" for p in match.split(".")) if kind == 1 else _DIGITS.sub("", match))
+
+
 def _spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_PAIRS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
+_HASHES = pa.list_(pa.int64())
 
 
 def _points(w: tx.Words) -> np.ndarray:
@@ -93,50 +105,41 @@ def _points(w: tx.Words) -> np.ndarray:
     return out
 
 
-def _find(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                found = [base_spans(t) for t in texts]
-                pairs: list[list[dict]] = [[] for _ in texts]
-                keys = np.zeros(len(texts), np.int64)
-                some = [i for i, f in enumerate(found) if f]
-                if some:
-                    w = tx.words(pa.array([texts[i] for i in some]), fold=True)
-                    point = _points(w)
-                    k1, _ = tx.sequence_key(w)
-                    for n, i in enumerate(some):
-                        keys[i] = int(k1[n : n + 1].view(np.int64)[0])
-                        a, b = w.first[n], w.first[n + 1]
-                        base = point[w.offsets[n]]
-                        starts, ends, hashes = point[w.start[a:b]] - base, point[w.end[a:b]] - base, w.hash[a:b]
-                        covered = np.zeros(b - a, bool)
-                        where = []
-                        for s, k, e in found[i]:
-                            lo, hi = int(np.searchsorted(ends, s, "right")), int(np.searchsorted(starts, e, "left"))
-                            covered[lo:hi] = True
-                            where.append((lo, hi, f"{KINDS[k]}:{texts[i][s:e]}"))
-                        seen = set()
-                        for lo, hi, value in where:
-                            entity = int.from_bytes(hashlib.sha256(value.encode()).digest()[:8], "big", signed=True)
-                            near = np.r_[np.arange(max(0, lo - reach), lo), np.arange(hi, min(b - a, hi + reach))]
-                            seen |= {(entity, int(t)) for t in hashes[near][~covered[near] & (hashes[near] != 0)].view(np.int64)}
-                        pairs[i] = [{"entity": e, "term": t} for e, t in sorted(seen)]
-                counts = [np.bincount([k for _, k, _ in f], minlength=4) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(keys),
-                        *[pa.array([int(c[k]) for c in counts], pa.int64()) for k in range(4)],
-                        pa.array([hashlib.sha256(_spell(f).encode()).hexdigest() for f in found]),
-                        pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in found], _SPANS),
-                        pa.array(pairs, _PAIRS),
-                    ],
-                    names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "pairs"],
-                )
-
-    return run
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tx.slices(batch):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            found = [base_spans(t) for t in texts]
+            entities: list[np.ndarray | list] = [[] for _ in texts]
+            terms: list[np.ndarray | list] = [[] for _ in texts]
+            w = tx.words(part.column("text"), fold=True)
+            keys, _ = tx.sequence_key(w)
+            point = _points(w) if any(found) else None
+            for i, spans in enumerate(found):
+                if not spans:
+                    continue
+                a, b = w.first[i], w.first[i + 1]
+                base = point[w.offsets[i]]
+                starts, ends, hashes = point[w.start[a:b]] - base, point[w.end[a:b]] - base, w.hash[a:b]
+                covered = np.zeros(b - a, bool)
+                for s, _, e in spans:
+                    covered[int(np.searchsorted(ends, s, "right")) : int(np.searchsorted(starts, e, "left"))] = True
+                values = {normal(k, texts[i][s:e]) for s, k, e in spans}
+                entities[i] = sorted(int.from_bytes(hashlib.sha256(v.encode()).digest()[:8], "big", signed=True) for v in values)
+                terms[i] = tx.signed(np.unique(hashes[~covered & (hashes != 0)]))
+            counts = [np.bincount([k for _, k, _ in f], minlength=4) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(tx.signed(keys)),
+                    *[pa.array([int(c[k]) for c in counts], pa.int64()) for k in range(4)],
+                    pa.array([hashlib.sha256(_spell(f).encode()).hexdigest() for f in found]),
+                    pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in found], _SPANS),
+                    pa.array(entities, _HASHES),
+                    pa.array(terms, _HASHES),
+                ],
+                names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"],
+            )
 
 
 def _occurrences(bits: np.ndarray):
@@ -160,30 +163,36 @@ def _occurrences(bits: np.ndarray):
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """``(term)`` above the disclosure threshold, and every candidate's occurrences ``(doc_id, key, term, start, end)``."""
-    near = found.where("size(pairs) > 0").select("key", F.explode("pairs").alias("p")).select("key", "p.entity", "p.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    beside = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
-    total = texts.count()
+    held = found.where("size(entities) > 0")
+    terms = held.select("key", F.explode("terms").alias("term")).distinct()
+    entities = held.select("key", F.explode("entities").alias("entity")).distinct()
+    total = float(max(found.select("key").distinct().count(), 1))
+    sets = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "key")).alias("y"))
+    sets = sets.where(F.col("n_entity") < total).select("entity", "n_entity", F.xxhash64("n_entity", "x", "y").alias("class"))
+    classes = materialize(entities.join(sets, "entity").select("key", "class", "n_entity").distinct(), "pii-classes")
     # p(entity | term) is at most together / beside; PMI >= share * IC says it is at least p(entity) ** (1 - share)
-    entity = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    bar = F.pow(F.col("n_entity") / F.lit(float(max(total, 1))), F.lit(1 - share))
-    pairs = materialize(together.join(entity, "entity").join(beside, "term").where(F.col("together") / F.col("beside") >= bar).select("entity", "term", "together", "n_entity"), "pii-pairs")
+    bar = F.pow(F.col("n_entity") / F.lit(total), F.lit(1 - share))
+    room = classes.groupBy("key").agg(F.max(F.col("n_entity") / bar).alias("room"))
+    beside = terms.groupBy("term").agg(F.count("*").alias("beside"))
+    rare = terms.join(beside.where(F.col("beside") <= F.lit(room.agg(F.max("room")).first()[0] or 0.0)), "term").join(room, "key").where("beside <= room").select("key", "term", "beside")
+    together = rare.join(classes, "key").groupBy("class", "term").agg(F.count("*").alias("together"), F.first("n_entity").alias("n_entity"), F.first("beside").alias("beside"))
+    together = together.where((F.col("together") >= F.least(F.lit(support), "n_entity")) & (F.col("together") / F.col("beside") >= bar))
+    pairs = materialize(together.select("term", "together", "n_entity").distinct(), "pii-pairs")
     where = materialize(texts.mapInArrow(_occurrences(bitmap(pairs, "term")), "doc_id long, key long, term long, start int, end int").join(pairs.select("term").distinct(), "term", "left_semi"), "pii-occurrences")
     frequency = where.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     told = pairs.join(frequency, "term").where(F.col("together") / F.col("n_term") >= bar).select("term").distinct()
     return told, where
 
 
-def find(docs: DataFrame, text: str = "text", reach: int = REACH, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """``(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, spans)`` per row; spans are all, sorted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     span = "array<struct<start: int, kind: int, end: int>>"
-    found = materialize(texts.mapInArrow(_find(reach), f"doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {span}, pairs array<struct<entity: long, term: long>>"), "pii")
+    found = materialize(texts.mapInArrow(_find, f"doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {span}, entities array<long>, terms array<long>"), "pii")
     told, where = disclosing_terms(found, texts, support, share)
     extra = where.join(told, "term", "left_semi").select("doc_id", "key", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("s")).groupBy("doc_id", "key").agg(F.collect_set("s").alias("extra"))
-    # documents without pattern matches carry key 0 in ``found``, so the join is by doc_id and, where known, by text
     extra = extra.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    rows = found.join(extra, found["doc_id"].eqNullSafe(F.col("_d")) & ((found["key"] == F.col("_k")) | (found["key"] == 0)), "left")
+    rows = found.join(extra, found["doc_id"].eqNullSafe(F.col("_d")) & (found["key"] == F.col("_k")), "left")
     clear = F.expr("filter(coalesce(extra, array()), x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
     return rows.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 

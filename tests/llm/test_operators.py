@@ -152,6 +152,19 @@ def test_pii(spark):
     assert "[EMAIL]" in got[0] and "zorblatt" not in got[0] and "about" in got[0] and got[10] is None
 
 
+def test_pii_terms_of_rare_entities(spark):
+    fill = " ".join(["and so on it went for them"] * 4)
+    rows = [(0, f"call +1 (743) 555-3824 {fill} quimby"), (1, f"quimby {fill} has +17435553824 still"), (2, f"write to A@b.com {fill} Only.here"), (3, f"no entity but {fill} lonely"), (3, f"no entity but {fill} lonely")]
+    rows += [(10 + i, f"call write to has still {fill} {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "quimby" not in got[0] + got[1] and "here" not in got[2] and "lonely" in got[3]
+    assert all(fill in t for t in got.values()) and got[0].startswith("call [PHONE]")
+    assert pii.normal(0, "A@b.com") == pii.normal(0, "a@B.com") and pii.normal(1, "010.0.0.01") == pii.normal(1, "10.0.0.1") and pii.normal(2, "4111 1111-11111111") == "card:4111111111111111"
+    whole = pii.find(spark.createDataFrame([(1, "alone with a@b.de"), (2, "with a@b.de")], "doc_id long, text string"))
+    assert {r.kind for row in whole.collect() for r in row.spans} == {0}
+
+
 def test_warc_reader_refuses_damage():
     good = warc.record(1, "http://x/", b"a" * 200, None) + warc.record(2, None, b"a" * 200, 1) + warc.record(None, None, b"", None)
     got = list(warc.read_records(io.BytesIO(good)))
