@@ -143,6 +143,17 @@ def test_licenses(spark, docs):
     assert got == [(77, "MIT-notice", "Released under the MIT License.")] * 2
 
 
+def test_license_versions_and_whole_texts(spark):
+    whole = licenses.TEMPLATES
+    lines = ["This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-SA 4.0.", "Licensed under the Apache License, Version 7.3."]
+    texts = [*lines, whole["BSD-2-Clause"], whole["BSD-3-Clause"], whole["GPL-2.0"], "Words before. " + whole["MIT"][400:] + " " + whole["ISC"]]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    want = [{"GPL-2.0-notice"}, {"LGPL-3.0-notice"}, {"Apache-1.1-notice"}, {"CC-BY-SA-4.0-short-notice"}, None, {"BSD-2-Clause"}, {"BSD-3-Clause"}, {"GPL-2.0"}]
+    assert [got.get(i) for i in range(8)] == want and "ISC" in got[8]
+
+
 def test_pii(spark):
     t = "mail é a.b@c.de, a@b@c.d.e 300.1.1.1 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 tel +1 (743) 555-3824."
     assert [t[a:b] for a, k, b in pii.base_spans(t)] == ["a.b@c.de", "b@c.d.e", "1.2.3.4", "5.6.7.8", "4111 1111 1111 1111", "+1 (743) 555-3824"]
