@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join (DataFrame and SQL functions only).
 
 Lines are the parts of a text between newlines that hold a word. Equal lines are one node, found by hash with map-side
-combining. A node of ``least`` characters or more is cut into threshold + 1 segments: within ``threshold`` edits of
-another line, one segment at least survives. Segments are indexed by number, line length and content; a line probes
-the index of every length from its own down to threshold less, at the few positions where an edit can have moved a
+combining. Two lines may differ by one edit for each ``least`` / ``threshold`` characters (12) of the shorter one, by
+``threshold`` at most. A node that allows t edits is cut into t + 1 segments: within t edits of another line, one
+segment at least survives. Segments are indexed by number, line length and content; a line probes
+the index of every length from its own down to as many less as that length allows edits, at the few positions where an edit can have moved a
 segment to (multi-match-aware, so a segment's number bounds the shift). Inside that join a count filter drops pairs
 whose counts of frequent letters differ by more than the edits can explain, so a segment that thousands of unlike
 lines share gives few candidates. Candidates are verified by an edit distance that is bit-parallel over the 2 * threshold + 1 diagonals of its band. Near lines are linked, linked lines form a class.
@@ -11,7 +12,7 @@ lines share gives few candidates. Candidates are verified by an edit distance th
 A line is kept where its class occurs first by doc_id and line number; every other occurrence is removed.
 
 Defined results: a null or empty text has no lines; lines of equal characters are equal whatever their doc; lines
-shorter than ``least`` characters are compared for equality only; rows without a doc_id give a row but their lines
+too short for one edit (under 12 characters) are compared for equality only; rows without a doc_id give a row but their lines
 neither remove nor are removed; rows that repeat a doc_id are one document with the lines of all; an empty table gives
 an empty table; other columns are not read.
 """
@@ -29,19 +30,32 @@ LETTERS = "etaoinsrhdlu"  # five bits of each one's count make the count signatu
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def segment_keys(threshold: int = THRESHOLD) -> str:
-    """SQL array of the keys of ``line`` with ``len`` characters: its own segments first, then the other probes."""
+def segment_keys(threshold: int = THRESHOLD, shorter_by: range | None = None, own: bool = False) -> str:
+    """SQL array of the keys of ``line`` with ``len`` characters: those of its own segments, or all probes of the
+    lengths that are shorter by ``shorter_by`` (threshold at most)."""
     m = threshold + 1
-    own, other = [], []
-    for shorter in range(m):
+    keys = []
+    for shorter in [0] if own else (shorter_by or range(m)):
         length = f"(len - {shorter})"
         for i in range(m):
             start = f"({i} * ({length} DIV {m}) + greatest(0, {i} - ({m} - {length} % {m})))"
             size = f"({length} DIV {m} + IF({i} >= {m} - {length} % {m}, 1, 0))"
-            for off in range(max(-i, shorter - (m - i - 1)), min(i, shorter + (m - i - 1)) + 1):
-                key = f"xxhash64({i}, CAST({length} AS int), substring(line, CAST({start} + {off + 1} AS int), CAST({size} AS int)))"
-                (own if shorter == 0 and off == 0 else other).append(key)
-    return f"array({', '.join(own + other)})"
+            for off in [0] if own else range(max(-i, shorter - (m - i - 1)), min(i, shorter + (m - i - 1)) + 1):
+                keys.append(f"xxhash64({i}, CAST({length} AS int), substring(line, CAST({start} + {off + 1} AS int), CAST({size} AS int)))")
+    return f"array({', '.join(keys)})"
+
+
+def allowed(length: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
+    """SQL: the edits that a line of this length allows."""
+    return f"least({threshold}, CAST({length} * {threshold} DIV {least} AS int))"
+
+
+def all_keys(own: bool, threshold: int = THRESHOLD, least: int = LEAST) -> str:
+    """SQL array: the keys by which ``line`` is indexed, or those by which it probes each length by what that allows."""
+    if own:
+        return "CASE " + " ".join(f"WHEN {allowed('len', threshold, least)} = {t} THEN {segment_keys(t, own=True)}" for t in range(1, threshold + 1)) + " END"
+    probes = [f"IF(len - {d} > 0 AND {allowed(f'(len - {d})', threshold, least)} = {t}, {segment_keys(t, range(d, d + 1))}, array())" for t in range(1, threshold + 1) for d in range(t + 1)]
+    return f"concat({', '.join(probes)})"
 
 
 def letter_counts() -> str:
@@ -85,10 +99,10 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """``(a, b, distance)``: pairs of different lines (by their first hash) within the threshold."""
-    long = rows.withColumn("len", F.char_length("line")).where(F.col("len") >= least)
-    nodes = long.select("l1", "l2", F.expr(segment_keys(threshold)).alias("keys"), F.expr(letter_counts()).alias("counts"))
-    nodes = nodes.groupBy("l1", "l2").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts"))
-    index = nodes.select("l1", "counts", F.explode(F.slice("keys", 1, threshold + 1)).alias("key"))
+    long = rows.withColumn("len", F.char_length("line")).where(f"{allowed('len', threshold, least)} > 0")
+    nodes = long.select("l1", "l2", F.expr(all_keys(True, threshold, least)).alias("own"), F.expr(all_keys(False, threshold, least)).alias("keys"), F.expr(letter_counts()).alias("counts"))
+    nodes = nodes.groupBy("l1", "l2").agg(F.first("own").alias("own"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    index = nodes.select("l1", "counts", F.explode("own").alias("key"))
     probe = nodes.select(F.col("l1").alias("other"), F.col("counts").alias("other_counts"), F.explode("keys").alias("key"))
     met = index.join(probe, "key").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
     pairs = materialize(met.distinct(), "line-candidates")
@@ -96,7 +110,7 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     texts = materialize(long.join(wanted, "l1", "left_semi").groupBy("l1").agg(F.min("line").alias("line")), "line-texts")
     sides = pairs.join(texts.select(F.col("l1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("l1").alias("b"), F.col("line").alias("y")), "b")
     # stored before it is filtered: a filter would be pushed through the steps and repeat each of them in itself
-    return materialize(differing(sides).select("a", "b", F.expr(banded_distance(threshold)).alias("distance")), "line-distances").where("distance IS NOT NULL")
+    return materialize(differing(sides).select("a", "b", F.expr(allowed("least(char_length(x), char_length(y))", threshold, least)).alias("allowed"), F.expr(banded_distance(threshold)).alias("distance")), "line-distances").where("distance <= allowed").drop("allowed")
 
 
 def differing(pairs: DataFrame) -> DataFrame:

@@ -82,6 +82,34 @@ def test_line_distances_equal_levenshtein(spark):
     assert all(r.d == (r.e if r.e <= 2 else None) for r in got)
 
 
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x):
+        row, last = [i + 1], row
+        for j, d in enumerate(y):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_line_pairs_equal_brute_force(spark):
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcdé ") for _ in range(n)) for n in range(8, 40) for _ in range(2)]
+    texts = set(base) | {"The thertion.", "The, thertion."}
+    for t in base:
+        for n in (1, 2, 3):
+            u = t
+            for _ in range(n):
+                p = rnd.randrange(len(u))
+                u = u[:p] + rnd.choice(["", "x", u[p] + "x"]) + u[p + 1 :]
+            texts.add(u)
+    texts = sorted(t for t in texts if t.strip())
+    rows = line_dedup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    name = {r.l1: r.line for r in rows.collect()}
+    got = {(*sorted((name[r.a], name[r.b])), r.distance) for r in line_dedup.near_pairs(rows).collect()}
+    want = {(x, y, d) for i, x in enumerate(texts) for y in texts[i + 1 :] if abs(len(x) - len(y)) <= 2 and (d := _edits(x, y)) <= min(2, min(len(x), len(y)) // 12)}
+    assert got == want and any(len(x) < 24 for x, _, _ in got) and (*sorted(("The thertion.", "The, thertion.")), 1) in got
+
+
 def test_line_dedup_edges(docs):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert len(got) == len({r[0] for r in ROWS})
