@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one of this machine."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary folder; on
+    a cluster that is an error, since executors do not see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prismata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
