@@ -2,7 +2,7 @@
 
 Texts become token sequences (words without punctuation and case). Of the hashes of each three consecutive tokens,
 winnowing keeps the least of each two, in templates and documents alike; the templates' fingerprints are an inverted
-index. A document's stretch around fingerprints that may be in the index (a bitmap of fixed size tells) goes through
+index. A document's stretch around fingerprints that may be in the index (a bitmap tells) goes through
 the exact join with the index; a template that shares enough fingerprints is aligned with the stretch: local alignment
 in a band around the diagonal that most shared three-token windows vote for. Aligned tokens are then masked and the
 template is tried again, so that each occurrence is found. Documents without such a stretch never leave the scan.

@@ -8,18 +8,19 @@ punctuation, no case) outside all matches. A term reveals an entity when knowing
 entity's information: with document frequencies over all distinct texts, PMI(entity, term) = log2(p(entity, term) /
 (p(entity) p(term))) is compared with IC(entity) = -log2 p(entity), which it reaches when the term never occurs
 without the entity. A term anywhere in ``support`` texts of an entity, or in every text of an entity that has fewer,
-whose PMI is at least ``share`` of the entity's IC, exceeds the disclosure threshold; its occurrences become spans of
-kind ``term``, and ``sanitise`` generalises patterns to their kind and removes such terms. So in a text with an entity
-of its own, the words that stand in next to no other text are terms: they point at that text as surely as the entity.
-An entity of every text has no information to give away.
+whose PMI is at least ``share`` of the entity's IC and that stands with the entity in more than half of its texts,
+exceeds the disclosure threshold; its occurrences become spans of kind ``term``, and ``sanitise`` generalises patterns
+to their kind and removes such terms. So in a text with an entity of its own, the words that stand in no other text are
+terms: they point at that text as surely as the entity. An entity of every text has no information to give away.
 
 Counting is exact and over all documents: entities of the same texts share all counts and are counted as one class; a
 term whose count in texts with entities already rules it out is dropped before classes and terms are paired; the
-second pass counts the other candidates in every text (a bitmap of fixed size lets few other words reach the exact
-join).
+second pass counts the other candidates in every text (a bitmap lets few other words reach the exact join).
 
-Defined results: a null or empty text has no spans; rows without a doc_id are treated like others; equal texts count
-once in all frequencies; rows that repeat a doc_id each get their own result; an empty table gives an empty table.
+Defined results: a null or empty text has no spans; rows without a doc_id are treated like others; texts of the same
+folded words count once in all frequencies; a row is known by its doc_id and its text, so rows that repeat a doc_id each
+get their own result and rows that repeat both get the same; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -131,6 +132,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("row"),
                     pa.array(tx.signed(keys)),
                     *[pa.array([int(c[k]) for c in counts], pa.int64()) for k in range(4)],
                     pa.array([hashlib.sha256(_spell(f).encode()).hexdigest() for f in found]),
@@ -138,7 +140,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(entities, _HASHES),
                     pa.array(terms, _HASHES),
                 ],
-                names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"],
+                names=["doc_id", "row", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"],
             )
 
 
@@ -154,15 +156,16 @@ def _occurrences(bits: np.ndarray):
                 base = point[w.offsets[w.row[at]]]
                 k1, _ = tx.sequence_key(w)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(w.row[at])), pa.array(tx.signed(k1[w.row[at]])), pa.array(tx.signed(w.hash[at])), pa.array((point[w.start[at]] - base).astype(np.int32)), pa.array((point[w.end[at]] - base).astype(np.int32))],
-                    names=["doc_id", "key", "term", "start", "end"],
+                    [part.column("doc_id").take(pa.array(w.row[at])), part.column("row").take(pa.array(w.row[at])), pa.array(tx.signed(k1[w.row[at]])), pa.array(tx.signed(w.hash[at])), pa.array((point[w.start[at]] - base).astype(np.int32)), pa.array((point[w.end[at]] - base).astype(np.int32))],
+                    names=["doc_id", "row", "key", "term", "start", "end"],
                 )
 
     return run
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """``(term)`` above the disclosure threshold, and every candidate's occurrences ``(doc_id, key, term, start, end)``."""
+    """``(term)`` above the disclosure threshold, and every candidate's occurrences ``(doc_id, row, key, term, start,
+    end)``."""
     held = found.where("size(entities) > 0")
     terms = held.select("key", F.explode("terms").alias("term")).distinct()
     entities = held.select("key", F.explode("entities").alias("entity")).distinct()
@@ -172,29 +175,35 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT,
     classes = materialize(entities.join(sets, "entity").select("key", "class", "n_entity").distinct(), "pii-classes")
     # p(entity | term) is at most together / beside; PMI >= share * IC says it is at least p(entity) ** (1 - share)
     bar = F.pow(F.col("n_entity") / F.lit(total), F.lit(1 - share))
-    room = classes.groupBy("key").agg(F.max(F.col("n_entity") / bar).alias("room"))
+    room = classes.groupBy("key").agg(F.max(F.least(F.col("n_entity") / bar, 2.0 * F.col("n_entity"))).alias("room"))
     beside = terms.groupBy("term").agg(F.count("*").alias("beside"))
     rare = terms.join(beside.where(F.col("beside") <= F.lit(room.agg(F.max("room")).first()[0] or 0.0)), "term").join(room, "key").where("beside <= room").select("key", "term", "beside")
     together = rare.join(classes, "key").groupBy("class", "term").agg(F.count("*").alias("together"), F.first("n_entity").alias("n_entity"), F.first("beside").alias("beside"))
-    together = together.where((F.col("together") >= F.least(F.lit(support), "n_entity")) & (F.col("together") / F.col("beside") >= bar))
+    together = together.where((F.col("together") >= F.least(F.lit(support), "n_entity")) & (F.col("together") / F.col("beside") >= bar) & (2 * F.col("together") > F.col("beside")))
     pairs = materialize(together.select("term", "together", "n_entity").distinct(), "pii-pairs")
-    where = materialize(texts.mapInArrow(_occurrences(bitmap(pairs, "term")), "doc_id long, key long, term long, start int, end int").join(pairs.select("term").distinct(), "term", "left_semi"), "pii-occurrences")
+    where = materialize(texts.mapInArrow(_occurrences(bitmap(pairs, "term")), "doc_id long, row long, key long, term long, start int, end int").join(pairs.select("term").distinct(), "term", "left_semi"), "pii-occurrences")
     frequency = where.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    told = pairs.join(frequency, "term").where(F.col("together") / F.col("n_term") >= bar).select("term").distinct()
+    told = pairs.join(frequency, "term").where((F.col("together") / F.col("n_term") >= bar) & (2 * F.col("together") > F.col("n_term"))).select("term").distinct()
     return told, where
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """``(doc_id, text, row)``; doc_id and row (a hash of the text) name a row, and rows of equal names are equal."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return df.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """``(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, spans)`` per row; spans are all, sorted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """``(doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, base, spans)`` per row; spans are all, sorted."""
+    texts = _texts(docs, text)
     span = "array<struct<start: int, kind: int, end: int>>"
-    found = materialize(texts.mapInArrow(_find, f"doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {span}, entities array<long>, terms array<long>"), "pii")
+    found = materialize(texts.mapInArrow(_find, f"doc_id long, row long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {span}, entities array<long>, terms array<long>"), "pii")
     told, where = disclosing_terms(found, texts, support, share)
-    extra = where.join(told, "term", "left_semi").select("doc_id", "key", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("s")).groupBy("doc_id", "key").agg(F.collect_set("s").alias("extra"))
-    extra = extra.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    rows = found.join(extra, found["doc_id"].eqNullSafe(F.col("_d")) & (found["key"] == F.col("_k")), "left")
+    extra = where.join(told, "term", "left_semi").select("doc_id", "row", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("s")).groupBy("doc_id", "row").agg(F.collect_set("s").alias("extra"))
+    extra = extra.withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+    rows = found.join(extra, found["doc_id"].eqNullSafe(F.col("_d")) & (found["row"] == F.col("_r")), "left")
     clear = F.expr("filter(coalesce(extra, array()), x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
-    return rows.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    return rows.select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
 def spelled(spans: str = "spans"):
@@ -205,8 +214,9 @@ def spelled(spans: str = "spans"):
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``(doc_id, text)``: patterns are generalised to ``[KIND]``, disclosing terms removed."""
-    found = find(docs, text, **options).select(F.col("doc_id").alias("_d"), "spans").where("size(spans) > 0")
-    df = docs.select("doc_id", F.col(text).alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    found = find(docs, text, **options).where("size(spans) > 0").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans").dropDuplicates(["_d", "_r"])
+    df = _texts(docs, text)
+    df = df.join(found, df["doc_id"].eqNullSafe(F.col("_d")) & (df["row"] == F.col("_r")), "left")
     names = ", ".join("''" if k == "term" else f"'[{k.upper()}]'" for k in KINDS)
     cut = f"aggregate(spans, struct(1 AS at, '' AS t), (a, x) -> IF(x.start + 1 < a.at, a, struct(x.end + 1 AS at, concat(a.t, substring(text, a.at, x.start + 1 - a.at), array({names})[x.kind]) AS t)), a -> concat(a.t, substring(text, a.at)))"
     return df.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cut)).alias("text"))

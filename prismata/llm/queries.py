@@ -37,7 +37,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled().alias("spans"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled().alias("spans"), F.expr("n_email + n_ip + n_card + n_phone").alias("n_base"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
