@@ -11,8 +11,8 @@ repeated one level below, and asks which of them are repeated; when none is, the
 * At the last level every candidate window is looked up: the smallest doc_id that holds it decides.
 
 Documents with the same words as one with a smaller doc_id need no windows: all their words go (from 50 words on).
-Counts of repeats are map-side combined minima and maxima per hash; looking a hash up again is a plain equi-join that
-adaptive execution can split, so a passage in a third of all documents does not meet in one task.
+Counts of repeats are map-side combined minima and maxima per hash; a hash is looked up again by a join that
+broadcasts the few hot hashes, so a passage in a third of all documents does not meet in one task.
 
 Defined results: a null or empty text has no words, nothing removed, and the SHA-256 of the empty string; windows of a
 row whose doc_id is null are never removed and remove nothing; rows that repeat a doc_id are not smaller than each
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismata.llm import text as tx
+from prismata.plans.hot import join_hot
 from prismata.plans.shared import materialize
 
 WINDOW = 50
@@ -114,10 +115,10 @@ def _next_level(window: int, k: int, into: int):
     return run
 
 
-def _remove(window: int):
+def _remove(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, sums = [], []
+            removed, sums, left = [], [], []
             for t, places in zip(batch.column("text"), batch.column("places"), strict=True):
                 words = (t.as_py() or "").encode().split()
                 keep = np.zeros(len(words) + 1, np.int64)
@@ -125,27 +126,36 @@ def _remove(window: int):
                 np.add.at(keep, p, 1)
                 np.add.at(keep, p + window, -1)
                 keep = np.cumsum(keep)[:-1] == 0
+                kept = b" ".join([words[x] for x in np.flatnonzero(keep)])
                 removed.append(int((~keep).sum()))
-                sums.append(hashlib.sha256(b" ".join([words[x] for x in np.flatnonzero(keep)])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in KEY] + [pa.array(removed, pa.int64()), pa.array(sums, pa.string())], names=[*KEY, "n_removed", "kept_sha256"])
+                sums.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept.decode() if texts else None)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in KEY] + [pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.string())], names=[*KEY, "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
+def _owners(each: DataFrame) -> tuple[DataFrame, int]:
+    """``(h, lo, n)``: the hashes of two documents or more, their smallest doc_id and number of rows; and all rows of
+    these hashes together."""
+    owners = materialize(each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi"), "owners")
+    return owners, owners.agg(F.sum("n")).first()[0] or 0
+
+
 def _repeated(level: DataFrame) -> DataFrame:
     """Per row key the taken hashes that occur in two documents or more."""
     each = level.select(*KEY, F.explode("taken").alias("h"))
-    twice = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    return each.join(twice, "h").groupBy(*KEY).agg(F.collect_set("h").alias("found"))
+    owners, total = _owners(each)
+    return join_hot(each, owners.select("h", "n"), "h", total).groupBy(*KEY).agg(F.collect_set("h").alias("found"))
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs``."""
+def _removals(docs: DataFrame, text: str, window: int, texts_too: bool) -> DataFrame:
+    """``KEY, n_words, n_removed, kept_sha256`` (and ``kept_text`` of rows with something removed) per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ladder = levels(window)
     first = materialize(docs.mapInArrow(_first_level(window, ladder[0]), "doc_id long, k1 long, k2 long, n_words long, sha string, taken array<long>"), "level-1")
-    least = first.where(f"n_words >= {window} AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = first.join(least, ["k1", "k2"]).where("doc_id > least").select(*KEY).distinct()
+    least = first.where(f"n_words >= {window} AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = join_hot(first, least, ["k1", "k2"], least.agg(F.sum("n")).first()[0] or 0).where("doc_id > least").select(*KEY).distinct()
     level = first.where(f"n_words >= {window} AND doc_id IS NOT NULL").select(*KEY, "taken").join(copies, KEY, "left_anti")
     found = _repeated(level)
     # the texts of the documents that are still in play move once
@@ -158,19 +168,35 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW)
         if into < window:
             play = materialize(_repeated(level.select(*KEY, "taken")), "found")
     each = level.select(*KEY, F.explode(F.arrays_zip("taken", "places")).alias("x")).select(*KEY, F.col("x.taken").alias("h"), F.col("x.places").alias("place"))
-    owner = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    gone = each.join(owner, "h").where("doc_id > lo").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
-    done = texts.select(*KEY, "text").join(gone, KEY).select(*KEY, "text", "places").mapInArrow(_remove(window), "doc_id long, k1 long, k2 long, n_removed long, kept_sha256 string").dropDuplicates(KEY)
+    owners, total = _owners(each)
+    gone = join_hot(each, owners, "h", total).where("doc_id > lo").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    done = texts.select(*KEY, "text").join(gone, KEY).select(*KEY, "text", "places").mapInArrow(_remove(window, texts_too), "doc_id long, k1 long, k2 long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(KEY)
     whole = copies.withColumn("whole", F.lit(True))
     out = first.select(*KEY, "n_words", "sha").join(whole, KEY, "left").join(done, KEY, "left")
     return out.select(
-        "doc_id",
+        *KEY,
         "n_words",
         F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
 
 
+def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs``."""
+    return _removals(docs, text, window, False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def remove_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(doc_id, text, n_removed)`` for every row of ``docs``: texts without what is repeated, their kept words joined
+    by one space; a text that loses nothing stays as it is."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    cut = _removals(docs, text, window, True).where("n_removed > 0").select(*KEY, "n_removed", "kept_text").dropDuplicates(KEY)
+    rows = plain.mapInArrow(_keyed, "doc_id long, k1 long, k2 long, text string")
+    # a row without a doc_id loses nothing, so a plain join keeps it
+    return rows.join(cut, KEY, "left").select("doc_id", F.coalesce("kept_text", "text").alias("text"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tx.slices(batch):
