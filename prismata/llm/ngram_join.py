@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from prismata.llm import text as tx
 from prismata.plans.components import connected_components
+from prismata.plans.hot import join_hot
 from prismata.plans.shared import materialize
 
 NGRAM = 5
@@ -218,7 +219,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", threshold: float = THRE
     banded = reps.select(F.explode("bands").alias("bucket"), "rep")
     found = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep") / 4).alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
     found = found.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = materialize(banded.join(found, "bucket").select("bucket", "n", "rep"), "members")
+    found = materialize(found, "buckets")
+    members = materialize(join_hot(banded, found, "bucket", found.agg(F.sum("n")).first()[0] or 0).select("bucket", "n", "rep"), "members")
     of_rep = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one per band
     texts = docs.join(of_rep.join(reps.select("rep", "doc_id"), "rep").select("doc_id"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_gram_sets(n), "rep long, grams array<long>")
