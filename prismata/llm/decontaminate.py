@@ -2,11 +2,12 @@
 
 Words lose punctuation and case; numbers, names and units become typed placeholders whose values are kept as slots. A
 number is a word with a digit; a unit is a word of UNITS after a number; a name is a capitalised word inside a
-sentence. Windows of eight template tokens of benchmark items and documents meet in a hash join (a bitmap of fixed
-size made of the items' windows lets few document windows reach it). Along one alignment of a document with an item,
-the slots must agree: an item's value always stands for the same value of the document, as it does in a verbatim
-copy and in a question with other numbers or names, but not where unlike passages share a frame. A document is
-contaminated by an item when consistent alignments hold at least ``coverage`` of its windows.
+sentence. Windows of eight template tokens of benchmark items and documents meet in a hash join (a bitmap made of the
+items' windows lets few document windows reach it). Along one alignment of a document with an item, the slots must
+agree: an item's value always stands for the same value of the document, as it does in a verbatim copy and in a
+question with other numbers or names, but not where unlike passages share a frame. Where an alignment does not agree, its windows
+with the item's own values still count: one edited mention does not clear a copied item. A document is contaminated by
+an item when the windows that count are at least ``coverage`` of the item's.
 
 A window counts when at least half of its tokens are literal words. An item of fewer than eight tokens is one window.
 
@@ -134,13 +135,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     hits = found.join(index.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "h")
     aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"),
+        F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_at"))).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set(F.expr("filter(arrays_zip(item_slots, slots), x -> x.item_slots <> 0)")))).alias("pairs"),
     )
-    consistent = aligned.where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots"))))
+    agrees = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
+    counted = aligned.withColumns({"agrees": agrees, "places": F.when(agrees, F.col("places")).otherwise(F.col("verbatim"))}).where(F.size("places") > 0)
     total = index.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    per_item = consistent.groupBy("doc_id", "item_id").agg(
+    per_item = counted.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-        F.max(F.expr("exists(pairs, x -> x.item_slots <> x.slots)")).alias("reparameterised"),
+        F.max(F.expr("agrees AND exists(pairs, x -> x.item_slots <> x.slots)")).alias("reparameterised"),
     )
     return per_item.join(total, "item_id").where(F.col("n_matched") >= F.ceil(F.col("n_windows") * coverage)).select("doc_id", "item_id", "n_matched", "n_windows", "reparameterised")
 
