@@ -1,24 +1,26 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
 Targets. Sources by code point, null last, weigh 1, 2, 3, repeating, and share the words of all documents; a target
-stops at ``limit`` times its source's size, and what is above goes to the others by weight until none is above.
+stops at ``limit`` times its source's size, and what is above goes to the others by weight until none is above. The
+common level is found by rounds over the table of sources, each one aggregate.
 
-Blocks. Documents of a source stand in the order of an MD5 of seed and doc_id; a block is a prefix of that hash, as
-long as it takes for blocks of 64 to 1024 documents at any input size. A target is a number of whole passes over the
-source's blocks and a part of one more: whole blocks, then single documents of the block at the border, then the
-document of that block whose size is nearest to what is left, if it brings the mix nearer.
+Blocks. Documents of a source stand in the order of a 62-bit hash of seed and doc_id; a block is a stretch of equal
+leading bits, 2 to 3 documents on average (more from 2 ** 20 blocks a source on). A target is a number of whole passes
+over the source's blocks and a part of one more. Where that part ends is found by rounds that count the words in 64
+cells of the open stretch, so that no window holds more than 64 rows of a source, whatever its size, until a cell has
+some hundred documents (1,024 on average at most). Of these, those that still fit are taken in order; then the one
+document of the source whose size is nearest to what is left, if it brings the mix nearer. So no document that is not
+taken in that pass would bring a source nearer to its target.
 
 Shards. A root node holds each source's number of taken blocks; every node splits it between two children by a
 multivariate hypergeometric draw (conditional univariate draws, by inversion), down to the shards. A shard's
-quota is then a stretch of the source's block order, so shards draw disjoint blocks, and rows are shuffled by hash
-inside a shard. All draws are hashes of seed, node and source: reruns agree.
+quota is then a stretch of the source's block order, so shards draw disjoint blocks, and ``apply`` puts every repeat into
+its shard and shuffles it there: rows go to (shard, range of a hash) and are sorted by that hash. All draws are
+hashes of seed, node and source: reruns agree. The tree's node is one array row, an entry a source.
 
-A document's repeats depend on its hash and three values of its source only, so applying a mix is one pass with a
-small join on the source; a source that holds a third of all rows is not gathered anywhere.
-
-Defined results: a null text has size 0; null is a source of its own; rows without a doc_id share one hash and are
-taken or left together, as are rows that repeat a doc_id; an empty table gives an empty table; the operator's own
-columns stand in a struct next to the row's, so other columns cannot clash.
+Defined results: a null text has size 0; null is a source of its own; rows without a doc_id are ordered by a hash of
+their text; rows that repeat a doc_id (or, without one, a text) are taken or left together; an empty table gives an empty
+table; the operator's own columns stand in a struct next to the row's, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from prismata.llm.text import SPACES
 from prismata.plans.shared import materialize
 
-LIMIT, SEED, LEAST_BLOCK = 3, 1729, 64
+LIMIT, SEED, LEAST_BLOCK, MOST_BLOCK_BITS = 3, 1729, 2, 20
+BITS, CELL, LAST_CELL = 62, 6, 1024
+PIECE = 4_000_000  # words of a shard that one task sorts
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -38,21 +42,34 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACES))).cast("long")
 
 
-def order_hash(doc_id: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_hash(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """BITS bits."""
+    named = F.xxhash64(F.lit(seed), doc_id.cast("string"))
+    return F.shiftrightunsigned(F.when(doc_id.isNotNull(), named).otherwise(F.xxhash64(F.lit(seed), text)), 64 - BITS)
+
+
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank`` of the source by code point, null last: ranges are sorted apart, then counted up."""
+    rows = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    rows = materialize(rows.select("*", F.spark_partition_id().alias("part"), F.expr("monotonically_increasing_id() & 8589934591").alias("at")), "ranked-sources")
+    upto = Window.orderBy("part")  # one row a partition
+    parts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    return rows.join(parts, "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
 def targets(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``sizes(source, n_docs, source_size)`` with ``target``. One row per source goes through the windows."""
-    df = sizes.withColumn("weight", F.lit(1) + (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3)
-    df = df.withColumns({"cap": F.col("source_size") * limit, "level": F.col("source_size") * limit / F.col("weight")})
-    rank = Window.orderBy("level", F.col("source").asc_nulls_last())
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.sum("cap").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("weight").over(rank.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("total", F.sum("source_size").over(everything)).withColumn("full", (F.col("total") - before) / after >= F.col("level"))
-    share = (F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0))) / F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)
-    return df.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share * F.col("weight"))).select("source", "n_docs", "source_size", "target")
+    """``sizes(source, n_docs, source_size)`` with ``target``."""
+    df = ranked(sizes).withColumn("weight", F.lit(1) + F.col("rank") % 3).withColumn("cap", F.col("source_size") * limit)
+    df = materialize(df.withColumn("level", F.col("cap") / F.col("weight")).drop("rank"), "weights")
+    total, level, n_full = df.agg(F.sum("source_size")).first()[0] or 0, -1.0, -1
+    while True:  # the level only rises, and every round but the last finds a source that is full
+        full = F.col("level") <= level
+        r = df.agg(F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("weights"), F.count_if(full).alias("n")).first()
+        if r["n"] == n_full or not r["weights"]:
+            break
+        n_full, level = r["n"], (total - (r["caps"] or 0)) / r["weights"]
+    full = F.col("level") <= level
+    return df.withColumn("target", F.when(full, F.col("cap").cast("double")).otherwise(level * F.col("weight"))).select("source", "n_docs", "source_size", "target")
 
 
 def _hypergeometric(size: str, good: str, drawn: str, u: str) -> str:
@@ -89,69 +106,88 @@ class Mix:
     """The mix of ``docs(doc_id, source, text)``: what every source and block gives. Small tables are written once."""
 
     def __init__(self, docs: DataFrame, depth: int = 3, seed: int = SEED, limit: int = LIMIT, text: str = "text") -> None:
-        self.seed = seed
-        self.sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col(text)).alias("size"), order_hash(F.col("doc_id"), seed).alias("h")), "sizes")
+        self.seed, self.depth, self.text = seed, depth, text
+        t = F.col(text).cast("string")
+        self.sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(t).alias("size"), order_hash(F.col("doc_id"), t, seed).alias("h")), "sizes")
         sizes = self.sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-        digits = sum((F.when(F.col("n_docs") >= LEAST_BLOCK * 16**i, 1).otherwise(0) for i in range(2, 13)), F.when(F.col("n_docs") >= LEAST_BLOCK * 16, 1).otherwise(0))
         plan = targets(sizes, limit).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        plan = plan.withColumns({"rest": F.when(F.col("passes") >= limit, F.lit(-1.0)).otherwise(F.col("target") - F.col("passes") * F.col("source_size")), "digits": digits})
-        plan = materialize(plan, "targets")
-        blocks = self._with(plan.select("source", "digits"), self.sized).groupBy("source", F.expr("substring(h, 1, digits)").alias("block")).agg(F.sum("size").alias("words"))
-        order = Window.partitionBy("source").orderBy("block")  # one row per 64 documents or more
-        blocks = blocks.withColumns({"before": F.sum("words").over(order) - F.col("words"), "rank": F.row_number().over(order) - 1})
-        self.blocks = blocks = materialize(blocks, "blocks")
-        border = self._with(plan.select("source", "rest"), blocks).where("before <= rest").groupBy("source").agg(F.max("block").alias("block"), F.max_by("before", "block").alias("before"))
-        inside = self._with(self._with(border, plan).drop("n_docs", "source_size", "target", "passes"), self.sized).where("substring(h, 1, digits) = block")
-        per_hash = inside.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first(F.col("rest") - F.col("before")).alias("room"))
-        cum = per_hash.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("h")))
-        taken = cum.withColumn("in", F.col("upto") <= F.col("room")).withColumn("left", F.col("room") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))).over(Window.partitionBy("source")), F.lit(0)))
-        cut = taken.groupBy("source").agg(F.max(F.when(F.col("in"), F.col("h"))).alias("cut"), F.min(F.when(~F.col("in") & (F.col("size") < 2 * F.col("left")), F.struct(F.abs(F.col("size") - F.col("left")), "h")))["h"].alias("fill"))
-        lines = self._with(border.select("source", "block"), self._with(cut, plan))
-        # what stands before the border block is whole; without a document of it, the cut is the block's own prefix
-        self.sources = materialize(lines.withColumn("cut", F.coalesce("cut", F.when(F.col("block") != "", F.col("block")))).withColumn("border", F.col("block")).drop("block"), "sources")
+        rest = F.when(F.col("passes") >= limit, F.lit(-1.0)).otherwise(F.col("target") - F.col("passes") * F.col("source_size"))
+        bits = F.greatest(F.lit(0), F.least(F.lit(MOST_BLOCK_BITS), F.floor(F.log2(F.col("n_docs") / LEAST_BLOCK)).cast("int")))
+        self.plan = materialize(plan.withColumns({"rest": rest, "bits": bits}), "targets")
+        self.sources = materialize(self._cut(), "sources")
         self.shards = self._shards(depth)
 
     @staticmethod
-    def _with(small: DataFrame, large: DataFrame) -> DataFrame:
+    def _with(small: DataFrame, large: DataFrame, how: str = "left") -> DataFrame:
         """``large`` with the columns of ``small`` by source (null is a source)."""
         key = small.withColumnRenamed("source", "_source")
-        return large.join(key, large["source"].eqNullSafe(key["_source"]), "left").drop("_source")
+        return large.join(key, large["source"].eqNullSafe(key["_source"]), how).drop("_source")
+
+    def _cut(self) -> DataFrame:
+        """The plan with where the last pass ends: all hashes below ``cut``, those in ``more``, and ``fill``."""
+        at = self.plan.where("rest >= 0").select("source", "rest", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
+        most, shift = self.plan.agg(F.max("n_docs")).first()[0] or 0, BITS
+        while most >> (BITS - shift) > LAST_CELL and shift > CELL:
+            inside = self._with(at, self.sized, "inner").where(F.shiftright("h", shift) == F.col("cell"))
+            shift -= CELL
+            cells = inside.groupBy("source", "rest", "before", F.shiftright("h", shift).alias("to")).agg(F.sum("size").alias("words"))
+            line = Window.partitionBy("source").orderBy("to")  # 64 rows at most
+            cells = cells.withColumn("below", F.col("before") + F.sum("words").over(line) - F.col("words")).where("below <= rest")
+            at = materialize(cells.groupBy("source").agg(F.first("rest").alias("rest"), F.max("to").alias("cell"), F.max_by("below", "to").alias("before")), "border")
+        inside = self._with(at, self.sized, "inner").where(F.shiftright("h", shift) == F.col("cell"))
+        listed = inside.groupBy("source", "h").agg(F.sum("size").alias("size")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("h", "size"))).alias("docs"))
+        fit = "aggregate(docs, struct(CAST(rest - before AS double) AS room, CAST(array() AS array<bigint>) AS more), (a, x) -> IF(x.size <= a.room, struct(a.room - x.size AS room, array_append(a.more, x.h) AS more), a))"
+        taken = self._with(listed, at).withColumn("x", F.expr(fit)).select("source", F.shiftleft("cell", shift).alias("cut"), "x.more", "x.room").withColumn("last", F.array_max("more"))
+        taken = materialize(taken, "taken")
+        left = self._with(taken, self.sized, "inner").where("h >= cut AND NOT array_contains(more, h) AND size > 0 AND size < 2 * room")
+        fill = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("room")).alias("gap"), "h"))["h"].alias("fill"))
+        return self._with(fill, self._with(taken, self.plan))
 
     @staticmethod
     def repeats() -> Column:
-        more = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)) | F.coalesce(F.col("h") == F.col("fill"), F.lit(False))
-        return (F.col("passes") + more.cast("int")).cast("long")
+        more = (F.col("h") < F.col("cut")) | ((F.col("h") <= F.col("last")) & F.array_contains("more", F.col("h"))) | F.coalesce(F.col("h") == F.col("fill"), F.lit(False))
+        return (F.col("passes") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
 
     def _shards(self, depth: int) -> DataFrame:
-        """Per source: number of blocks and, per shard, how many block draws come before it."""
-        last = F.coalesce(F.max(F.when(F.col("block") <= F.col("border"), F.col("rank"))) + 1, F.lit(0))
-        quota = self._with(self.sources.select("source", "passes", "border"), self.blocks).groupBy("source").agg(F.count("*").alias("n_blocks"), (F.first("passes") * F.count("*") + last).alias("quota"))
-        listed = quota.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n_blocks", "quota"))).alias("q"))
+        """Per source and shard, how many block draws come before it ends; a draw is a block of a pass. The last
+        pass draws the blocks up to that of the last document taken in order."""
+        last = f"coalesce(shiftright(greatest(cut - 1, last), {BITS} - bits) + 1, 0L)"
+        quota = self.sources.select("source", F.expr(f"passes * shiftleft(1L, bits) + {last}").alias("quota"))
+        listed = quota.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "quota"))).alias("q"))
         tree = split_quotas(listed.where("size(q) > 0").select(F.expr("transform(q, x -> x.quota)").alias("quota")), depth, self.seed)
         per = tree.select("shard", F.posexplode("quota").alias("i", "n")).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("parts"))
-        named = listed.select(F.posexplode("q").alias("i", "x")).select("i", "x.source", "x.n_blocks").join(per, "i")
+        named = listed.select(F.posexplode("q").alias("i", "x")).select("i", "x.source").join(per, "i")
         ends = F.expr("transform(parts, (p, i) -> aggregate(slice(parts, 1, i + 1), 0L, (s, y) -> s + y.n))")
-        return materialize(named.select("source", "n_blocks", ends.alias("ends")), "shard-quotas")
+        return materialize(named.select("source", ends.alias("ends")), "shard-quotas")
+
+    @staticmethod
+    def _shard(repeat: str) -> str:
+        """SQL: the shard of a document's ``repeat``-th repeat; ``fill`` may lie behind the last block drawn, and goes
+        with that."""
+        return f"size(filter(ends, x -> x <= least({repeat} * shiftleft(1L, bits) + shiftright(h, {BITS} - bits), element_at(ends, -1) - 1)))"
 
     def documents(self) -> DataFrame:
         """``(doc_id, size, source_size, target, taken, shards)``: one row per document; shards lists where its
         repeats go, one entry each."""
-        df = self._with(self.sources.select("source", "source_size", "target", "passes", "cut", "fill", "digits"), self.sized).withColumn("repeats", self.repeats())
-        ranked = self._with(self.shards, self.blocks.select("source", "block", "rank"))
-        place = ranked.select(F.col("source").alias("_s"), "block", "rank", "n_blocks", "ends")
-        df = df.withColumn("block", F.expr("substring(h, 1, digits)"))
-        df = df.join(place, df["source"].eqNullSafe(place["_s"]) & (df["block"] == place["block"]), "left")
-        shards = F.expr("IF(repeats > 0, transform(sequence(0L, repeats - 1), e -> size(filter(ends, x -> x <= e * n_blocks + rank))), CAST(array() AS array<int>))")
+        small = self._with(self.shards, self.sources.select("source", "source_size", "target", "passes", "bits", "cut", "last", "more", "fill"))
+        df = self._with(small, self.sized).withColumn("repeats", self.repeats())
+        shards = F.expr(f"IF(repeats > 0, transform(sequence(0L, repeats - 1), e -> {self._shard('e')}), CAST(array() AS array<int>))")
         return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), shards.alias("shards"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs``, each as often as the mix takes it, with its own columns: one pass over the texts."""
+        """The rows of ``docs``, each as often as the mix takes it, with its own columns: shard by shard, and in random
+        order inside a shard."""
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-        rows = rows.select("_row", F.col("_row.source").cast("string").alias("source"), order_hash(F.col("_row.doc_id"), self.seed).alias("h"))
-        rows = self._with(self.sources.select("source", "passes", "cut", "fill"), rows).withColumn("n", self.repeats()).where("n > 0")
-        return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("_row.*")
+        rows = rows.select("_row", F.col("_row.source").cast("string").alias("source"), order_hash(F.col("_row.doc_id"), F.col(f"_row.`{self.text}`").cast("string"), self.seed).alias("h"))
+        small = self._with(self.shards, self.sources.select("source", "passes", "bits", "cut", "last", "more", "fill"))
+        rows = self._with(small, rows).withColumn("n", self.repeats()).where("n > 0")
+        rows = rows.select("_row", "h", "ends", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("e"))
+        rows = rows.select("_row", F.expr(self._shard("e")).alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), "h", "e"), 2).alias("order"))
+        words = self.plan.agg(F.sum("target")).first()[0] or 0
+        pieces = max(1, int(words / PIECE) >> self.depth)
+        return rows.repartition("shard", F.col("order") % pieces).sortWithinPartitions("shard", "order").select("_row.*")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` mixed to the targets, rows repeated or left out."""
+    """``docs`` mixed to the targets, rows repeated or left out, in shards that are shuffled each."""
     return Mix(docs, **options).apply(docs)
