@@ -3,18 +3,27 @@
 Lines are the parts of a text between newlines that hold a word. Equal lines are one node, found by hash with map-side
 combining. Two lines may differ by one edit for each ``least`` / ``threshold`` characters (12) of the shorter one, by
 ``threshold`` at most. A node that allows t edits is cut into t + 1 segments: within t edits of another line, one
-segment at least survives. Segments are indexed by number, line length and content; a line probes
-the index of every length from its own down to as many less as that length allows edits, at the few positions where an edit can have moved a
-segment to (multi-match-aware, so a segment's number bounds the shift). Inside that join a count filter drops pairs
-whose counts of frequent letters differ by more than the edits can explain, so a segment that thousands of unlike
-lines share gives few candidates. Candidates are verified by an edit distance that is bit-parallel over the 2 * threshold + 1 diagonals of its band. Near lines are linked, linked lines form a class.
+segment at least survives. A line is indexed by number, line length and content of its segments, and probes the
+index of every length from its own down to as many less as that length allows edits, at the few positions where an
+edit can have moved a segment to (multi-match-aware, so a segment's number bounds the shift).
 
-A line is kept where its class occurs first by doc_id and line number; every other occurrence is removed.
+A segment that many lines share is no good key: it is found by counting the keys of one line in SAMPLE, and refined.
+What is left of these lines without the segment is within the same edits, so it is cut into t + 1 segments in turn,
+and the key becomes both segments; up to LEVELS times. Lines that still share a key after that are alike nearly
+everywhere. They are cut into blocks of about BUCKET lines, each pair of which meets in a task of its own. The counts only
+plan the work: whatever the sample says, no pair is lost.
+
+A count filter inside the join drops pairs whose counts of frequent letters differ by more than the edits can explain.
+Candidates are verified by an edit distance that is bit-parallel over the 2 * threshold + 1 diagonals of its band. Near
+lines are linked, linked lines form a class.
+
+A line is kept where its class occurs first by doc_id and line number (then by hashes of text and line); every other
+occurrence is removed.
 
 Defined results: a null or empty text has no lines; lines of equal characters are equal whatever their doc; lines
 too short for one edit (under 12 characters) are compared for equality only; rows without a doc_id give a row but their lines
-neither remove nor are removed; rows that repeat a doc_id are one document with the lines of all; an empty table gives
-an empty table; other columns are not read.
+neither remove nor are removed; rows that repeat a doc_id are one document with the lines of all, and where they repeat
+the text too the first copy stands before the others; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,26 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismata.plans.components import connected_components
+from prismata.plans.hot import join_hot
 from prismata.plans.shared import materialize
 
 THRESHOLD, LEAST = 2, 24
+BUCKET, SAMPLE, LEVELS = 512, 16, 8
 LETTERS = "etaoinsrhdlu"  # five bits of each one's count make the count signature
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def segment_keys(threshold: int = THRESHOLD, shorter_by: range | None = None, own: bool = False) -> str:
-    """SQL array of the keys of ``line`` with ``len`` characters: those of its own segments, or all probes of the
-    lengths that are shorter by ``shorter_by`` (threshold at most)."""
-    m = threshold + 1
-    keys = []
-    for shorter in [0] if own else (shorter_by or range(m)):
-        length = f"(len - {shorter})"
-        for i in range(m):
-            start = f"({i} * ({length} DIV {m}) + greatest(0, {i} - ({m} - {length} % {m})))"
-            size = f"({length} DIV {m} + IF({i} >= {m} - {length} % {m}, 1, 0))"
-            for off in [0] if own else range(max(-i, shorter - (m - i - 1)), min(i, shorter + (m - i - 1)) + 1):
-                keys.append(f"xxhash64({i}, CAST({length} AS int), substring(line, CAST({start} + {off + 1} AS int), CAST({size} AS int)))")
-    return f"array({', '.join(keys)})"
+def entries(threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """All (edits t, how much shorter the indexed line is, segment number, shift of the segment)."""
+    return [(t, d, i, off) for t in range(1, threshold + 1) for d in range(t + 1) for i in range(t + 1) for off in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+
+
+def segment(length: str, t: int, i: int) -> tuple[str, str]:
+    """SQL: where segment i of t + 1 begins (from 0), and its size; the last segments are the longer ones."""
+    m = t + 1
+    return f"CAST({i} * ({length} DIV {m}) + greatest(0, {i} - ({m} - {length} % {m})) AS int)", f"CAST({length} DIV {m} + IF({i} >= {m} - {length} % {m}, 1, 0) AS int)"
 
 
 def allowed(length: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
@@ -50,12 +57,23 @@ def allowed(length: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
     return f"least({threshold}, CAST({length} * {threshold} DIV {least} AS int))"
 
 
-def all_keys(own: bool, threshold: int = THRESHOLD, least: int = LEAST) -> str:
-    """SQL array: the keys by which ``line`` is indexed, or those by which it probes each length by what that allows."""
-    if own:
-        return "CASE " + " ".join(f"WHEN {allowed('len', threshold, least)} = {t} THEN {segment_keys(t, own=True)}" for t in range(1, threshold + 1)) + " END"
-    probes = [f"IF(len - {d} > 0 AND {allowed(f'(len - {d})', threshold, least)} = {t}, {segment_keys(t, range(d, d + 1))}, array())" for t in range(1, threshold + 1) for d in range(t + 1)]
-    return f"concat({', '.join(probes)})"
+def probes(when, threshold: int = THRESHOLD, under: str = "") -> str:
+    """SQL array with an entry of ``entries`` each: the key of that segment of ``rest`` (``len`` characters), null
+    where ``when(t, d)`` does not hold; ``under`` names the key that is refined."""
+    keys = []
+    for t, d, i, off in entries(threshold):
+        start, size = segment(f"(len - {d})", t, i)
+        keys.append(f"IF({when(t, d)}, xxhash64({under}{i}, CAST(len - {d} AS int), substring(rest, {start} + {off + 1}, {size})), NULL)")
+    return f"array({', '.join(keys)})"
+
+
+def without_segment(threshold: int = THRESHOLD) -> str:
+    """SQL: ``rest`` without the segment that entry ``at`` cuts."""
+    cases = []
+    for n, (t, d, i, off) in enumerate(entries(threshold)):
+        start, size = segment(f"(len - {d})", t, i)
+        cases.append(f"WHEN {n} THEN concat(substring(rest, 1, {start} + {off}), substring(rest, {start} + {off + 1} + {size}))")
+    return f"CASE at {' '.join(cases)} END"
 
 
 def letter_counts() -> str:
@@ -91,23 +109,72 @@ def banded_distance(threshold: int = THRESHOLD) -> str:
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, line_no, line, l1, l2)``: every line with a word, and the two hashes that stand for it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
+    """``(doc_id, row, line_no, line, l1, l2)``: every line with a word, a hash of its text, and the two hashes that
+    stand for the line."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("doc_id", F.xxhash64("t").alias("row"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
     rows = rows.where(F.btrim("line", F.lit(BLANKS)) != "")
-    return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("second"), "line").alias("l2"))
+    return rows.select("doc_id", "row", "line_no", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("second"), "line").alias("l2"))
+
+
+def _hot(keyed: DataFrame) -> DataFrame:
+    """``(hot, n)``: keys of BUCKET rows or more, and about how many, by the lines of a sample."""
+    some = keyed.where(F.pmod("l1", F.lit(SAMPLE)) == 0).groupBy(F.col("key").alias("hot")).agg((F.count("*") * SAMPLE).alias("n"))
+    return materialize(some.where(F.col("n") >= BUCKET), "hot-segments")
+
+
+def _refined(keyed: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
+    """The keys of hot rows become keys of two segments, where what is left is long enough for another."""
+    t_of, d_of = ([x[k] for x in entries(threshold)] for k in (0, 1))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("at") + 1)
+    rows = keyed.join(hot.select("hot"), F.col("key") == F.col("hot"), "left")
+    rows = rows.withColumns({"t": pick(t_of), "d": pick(d_of)})
+    rest = F.when(F.col("hot").isNotNull(), F.expr(without_segment(threshold))).otherwise(F.col("rest"))
+    rows = rows.withColumn("rest", rest).withColumn("len", F.when(F.col("hot").isNotNull(), F.char_length("rest")).otherwise(F.col("len")))
+    fine = probes(lambda t, d: f"t = {t} AND d = {d}", threshold, "key, ")
+    rows = rows.withColumn("refine", F.expr("hot IS NOT NULL AND len - d >= 3 * (t + 1)"))
+    rows = rows.select("*", F.posexplode(F.expr(f"IF(refine, {fine}, array(key))")).alias("j", "k")).where("k IS NOT NULL")
+    own = F.col("own") & (~F.col("refine") | F.col("j").isin(_owned(threshold)))
+    return rows.select("l1", "counts", "rest", "len", F.col("k").alias("key"), F.when(F.col("refine"), F.col("j")).otherwise(F.col("at")).alias("at"), own.alias("own"))
+
+
+def _owned(threshold: int) -> list[int]:
+    return [n for n, (_, d, _, off) in enumerate(entries(threshold)) if d == 0 and off == 0]
+
+
+def _blocks(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``(cell, own, probe, l1, counts)``: rows that meet, as indexed line or as probe; hot keys in pairs of blocks."""
+    slim = keyed.select("key", "l1", "counts", "own")
+    if hot is None:
+        return slim.select(F.col("key").alias("cell"), "own", F.lit(True).alias("probe"), "l1", "counts")
+    rows = slim.join(hot, F.col("key") == F.col("hot"), "left").withColumn("m", F.ceil(F.col("n") / BUCKET))
+    row_, column = "transform(sequence(0L, m - 1), b -> struct(xxhash64(key, pmod(l1, m), b) AS cell, true AS own, false AS probe))", "transform(sequence(0L, m - 1), a -> struct(xxhash64(key, a, pmod(l1, m)) AS cell, false AS own, true AS probe))"
+    cells = F.expr(f"CASE WHEN m IS NULL THEN array(struct(key AS cell, own AS own, true AS probe)) WHEN own THEN concat({row_}, {column}) ELSE {column} END")
+    return rows.withColumn("c", F.explode(cells)).select("c.cell", "c.own", "c.probe", "l1", "counts")
 
 
 def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """``(a, b, distance)``: pairs of different lines (by their first hash) within the threshold."""
     long = rows.withColumn("len", F.char_length("line")).where(f"{allowed('len', threshold, least)} > 0")
-    nodes = long.select("l1", "l2", F.expr(all_keys(True, threshold, least)).alias("own"), F.expr(all_keys(False, threshold, least)).alias("keys"), F.expr(letter_counts()).alias("counts"))
-    nodes = nodes.groupBy("l1", "l2").agg(F.first("own").alias("own"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
-    index = nodes.select("l1", "counts", F.explode("own").alias("key"))
-    probe = nodes.select(F.col("l1").alias("other"), F.col("counts").alias("other_counts"), F.explode("keys").alias("key"))
-    met = index.join(probe, "key").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
-    pairs = materialize(met.distinct(), "line-candidates")
+    nodes = materialize(long.groupBy("l1", "l2").agg(F.first("line").alias("line")).drop("l2"), "line-nodes")
+    keyed = nodes.select("l1", F.col("line").alias("rest"), "line", F.char_length("line").alias("len"))
+    keyed = keyed.select("l1", "rest", "len", F.expr(letter_counts()).alias("counts"), F.posexplode(F.expr(probes(lambda t, d: f"len > {d} AND {allowed(f'(len - {d})', threshold, least)} = {t}", threshold))).alias("at", "key"))
+    keyed = keyed.where("key IS NOT NULL").withColumn("own", F.col("at").isin(_owned(threshold)))
+    hot: DataFrame | None = None
+    for level in range(LEVELS):
+        hot = _hot(keyed)
+        if hot.isEmpty():
+            hot = None
+            break
+        if level < LEVELS - 1:
+            keyed = _refined(keyed, hot, threshold)
+    met = _blocks(keyed, hot).repartition("cell")  # one exchange serves both sides of the join
+    index = met.select("cell", F.explode(F.expr("IF(own, array(struct(l1 AS l1, counts AS counts, probe AS probe)), array())")).alias("x")).select("cell", "x.l1", "x.counts")
+    probe = met.select("cell", F.explode(F.expr("IF(probe, array(struct(l1 AS other, counts AS other_counts, own AS own)), array())")).alias("x")).select("cell", "x.other", "x.other_counts")
+    near = index.join(probe, "cell").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
+    pairs = materialize(near.distinct(), "line-candidates")
     wanted = pairs.select(F.col("a").alias("l1")).union(pairs.select(F.col("b").alias("l1"))).distinct()
-    texts = materialize(long.join(wanted, "l1", "left_semi").groupBy("l1").agg(F.min("line").alias("line")), "line-texts")
+    texts = materialize(nodes.join(wanted, "l1", "left_semi").groupBy("l1").agg(F.min("line").alias("line")), "line-texts")
     sides = pairs.join(texts.select(F.col("l1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("l1").alias("b"), F.col("line").alias("y")), "b")
     # stored before it is filtered: a filter would be pushed through the steps and repeat each of them in itself
     return materialize(differing(sides).select("a", "b", F.expr(allowed("least(char_length(x), char_length(y))", threshold, least)).alias("allowed"), F.expr(banded_distance(threshold)).alias("distance")), "line-distances").where("distance <= allowed").drop("allowed")
@@ -130,26 +197,41 @@ def differing(pairs: DataFrame) -> DataFrame:
     return df
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, n_near, n_links)`` per document: its lines, those removed, those of them that
-    equal no earlier line and went as a near copy, and the links of its lines to different lines."""
+def line_classes(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """``(doc_id, row, line_no, line, class_line, links, first_of_line, kept)`` per line of each row: the hashes of
+    the line and of the line that names its class, its links to different lines, whether it is the first of its
+    characters, and whether it stays."""
     rows = lines(docs, text)
     links = near_pairs(rows, threshold, least)
     classes = connected_components(links.select("a", "b"), "line-classes")
     degree = links.select(F.col("a").alias("l1")).union(links.select(F.col("b").alias("l1"))).groupBy("l1").agg(F.count("*").alias("links"))
     seen = materialize(rows.drop("line"), "lines")
-    first = seen.where("doc_id IS NOT NULL").groupBy("l1", "l2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    near = first.join(classes.withColumnRenamed("node", "l1"), "l1").groupBy("component").agg(F.min("first").alias("class_first"))
-    near = classes.join(near, "component").select(F.col("node").alias("l1"), "class_first").join(degree, "l1")
-    told = seen.join(first, ["l1", "l2"], "left").join(near, "l1", "left")
-    here = F.struct("doc_id", "line_no")
-    lead = F.coalesce("class_first", "first")
-    per = told.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(F.col("doc_id").isNotNull() & (here != lead)).alias("n_removed"),
-        F.count_if(F.col("doc_id").isNotNull() & (here != lead) & (here == F.col("first"))).alias("n_near"),
-        F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
-    )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    out = ids.join(per.withColumnRenamed("doc_id", "_d"), ids["doc_id"].eqNullSafe(F.col("_d")), "left")
-    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "n_near", "n_links")])
+    here = F.struct("doc_id", "line_no", "row", "l1", "l2")
+    first = seen.groupBy("l1", "l2").agg(F.min(F.when(F.col("doc_id").isNotNull(), here)).alias("first"), F.count("*").alias("n"))
+    near = first.join(classes.withColumnRenamed("node", "l1"), "l1").groupBy("component").agg(F.min("first").alias("lead"))
+    near = classes.join(near, "component").select(F.col("node").alias("l1"), "component", "lead").join(degree, "l1")
+    known = materialize(first.join(near, "l1", "left"), "line-firsts")
+    told = join_hot(seen, known, ["l1", "l2"], seen.count())
+    lead = F.coalesce("lead", "first")
+    return told.select("doc_id", "row", "line_no", F.col("l1").alias("line"), F.coalesce("component", "l1").alias("class_line"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(here == F.col("first"), F.lit(False)).alias("first_of_line"), (F.col("doc_id").isNull() | (here == lead)).alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """``(doc_id, n_lines, n_removed, n_near, n_links)`` per document: its lines, those removed, those of them that
+    equal no earlier line and went as a near copy, and the links of its lines to different lines."""
+    per = line_classes(docs, text, threshold, least).groupBy("doc_id", "row").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept") & F.col("first_of_line")).alias("near"), F.sum("links").alias("links"))
+    copies = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_r")).groupBy("_d", "_r").agg(F.count("*").alias("copies"))
+    out = copies.join(per, per["doc_id"].eqNullSafe(F.col("_d")) & (per["row"] == F.col("_r")), "left")
+    once = F.when(F.col("_d").isNotNull(), F.col("copies")).otherwise(1)  # of equal rows the first keeps its lines
+    sums = {"n_lines": F.sum("n"), "n_removed": F.sum(F.expr("n") - F.col("n_kept") / once), "n_near": F.sum(F.col("near") / once), "n_links": F.sum("links")}
+    return out.groupBy(F.col("_d").alias("doc_id")).agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in sums.items()])
+
+
+def remove_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """``(doc_id, text)`` per row of ``docs``: texts without the removed lines (lines without a word stay); of rows
+    that repeat both doc_id and text each keeps what the first keeps."""
+    gone = line_classes(docs, text, threshold, least).where("NOT kept").groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_r")), "left")
+    cut = F.expr("array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(gone, i)), '\n')")
+    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias("text"))
