@@ -158,7 +158,8 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     long = rows.withColumn("len", F.char_length("line")).where(f"{allowed('len', threshold, least)} > 0")
     nodes = materialize(long.groupBy("l1", "l2").agg(F.first("line").alias("line")).drop("l2"), "line-nodes")
     keyed = nodes.select("l1", F.col("line").alias("rest"), "line", F.char_length("line").alias("len"))
-    keyed = keyed.select("l1", "rest", "len", F.expr(letter_counts()).alias("counts"), F.posexplode(F.expr(probes(lambda t, d: f"len > {d} AND {allowed(f'(len - {d})', threshold, least)} = {t}", threshold))).alias("at", "key"))
+    # counted before the keys are listed: what stands beside a generator is computed for each of its rows
+    keyed = keyed.select("l1", "rest", "len", F.expr(letter_counts()).alias("counts")).select("*", F.posexplode(F.expr(probes(lambda t, d: f"len > {d} AND {allowed(f'(len - {d})', threshold, least)} = {t}", threshold))).alias("at", "key"))
     keyed = keyed.where("key IS NOT NULL").withColumn("own", F.col("at").isin(_owned(threshold)))
     hot: DataFrame | None = None
     for level in range(LEVELS):
