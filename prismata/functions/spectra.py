@@ -101,3 +101,10 @@ def window(s: Column, axis: list[float], low: float, high: float, inclusive: boo
     if not keep:
         raise ValueError("no band in the window")
     return F.slice(s, keep[0] + 1, len(keep))
+
+
+def trim(s: Column, bands: int, first: int, stop: int) -> Column:
+    """The bands without the first and last ones; none left is an error."""
+    if bands - first - stop < 1:
+        raise ValueError("no band is left")
+    return F.slice(s, first + 1, bands - first - stop)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.sources.tables import canonical
+
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join in which NULL keys match; the right keys go."""
@@ -22,7 +24,7 @@ def configuration_grid(base: DataFrame, axes: dict[str, list], applicable: Colum
     """Every base row with every combination of the axes that applies, and an id from a hash of ``ident``."""
     for name, values in axes.items():
         base = base.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return base.where(applicable).withColumn("config_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident]), 256))
+    return base.where(applicable).withColumn("config_id", F.sha2(canonical(ident), 256))
 
 
 def additional_seeds(models: DataFrame, key: str, stochastic: Column, seeds: list[int], existing: DataFrame) -> DataFrame:

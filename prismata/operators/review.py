@@ -24,7 +24,7 @@ def alerts(df: DataFrame, record_type: str, record_id: str, rules: list[tuple[st
     hits = F.array(*[F.when(F.coalesce(met, F.lit(False)), F.struct(F.lit(flag).alias("flag_type"), F.lit(level).alias("severity"), F.to_json(F.struct(*evidence)).alias("evidence_json"))) for flag, met, level, evidence in rules])
     rows = df.select(ident.alias("record_id"), F.explode(F.array_compact(hits)).alias("a")).select("record_id", "a.*")
     rows = rows.groupBy("record_id", "flag_type").agg(F.count("*").alias("n"), F.first("severity").alias("severity"), F.first("evidence_json").alias("evidence_json"))
-    once = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("alert raised twice: "), F.coalesce("record_id", F.lit("null"))))).otherwise(F.sha2(F.concat_ws("|", F.lit(record_type), "record_id", "flag_type"), 256))
+    once = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("alert raised twice: "), F.coalesce("record_id", F.lit("null"))))).otherwise(F.sha2(F.to_json(F.struct(F.lit(record_type).alias("record_type"), "record_id", "flag_type"), {"ignoreNullFields": "false"}), 256))
     return rows.select(F.lit(record_type).alias("record_type"), "record_id", "flag_type", once.alias("alert_id"), "severity", "evidence_json")
 
 

@@ -552,12 +552,12 @@ def _(s, d):
     return tables.row_batches(read(s, d, "orders"), ["o_orderstatus"], ["o_orderkey"], 100).select("o_orderstatus", "o_orderkey", "batch_id")
 
 
-@query("p15_stable_ids", "SELECT p_partkey, 'cfg_' || substring(sha256('p_brand=' || p_brand || '|p_size=' || p_size), 1, 20) AS id FROM part")
+@query("p15_stable_ids", "SELECT p_partkey, 'cfg_' || substring(sha256(to_json({'p_brand': p_brand, 'p_size': p_size})), 1, 20) AS id FROM part")
 def _(s, d):
     return read(s, d, "part").select("p_partkey", tables.stable_id("cfg", ["p_size", "p_brand"]).alias("id"))
 
 
-@query("s14_fingerprint", "WITH h AS (SELECT lang, sha256(doc_id || '|' || n_chars) AS h FROM documents), b AS (SELECT lang, substring(h, 1, 2) AS b, sha256(array_to_string(list_sort(list(h)), '|')) AS h FROM h GROUP BY ALL) SELECT lang, sha256(array_to_string(list_sort(list(b || h)), '|')) AS fingerprint FROM b GROUP BY lang")
+@query("s14_fingerprint", "WITH h AS (SELECT lang, sha256(to_json({'doc_id': doc_id, 'n_chars': n_chars})) AS h FROM documents), b AS (SELECT lang, substring(h, 1, 4) AS b, sha256(array_to_string(list_sort(list(h)), '|')) AS h FROM h GROUP BY ALL) SELECT lang, sha256(array_to_string(list_sort(list(b || h)), '|')) AS fingerprint FROM b GROUP BY lang")
 def _(s, d):
     return tables.fingerprint(read(s, d, "documents"), ["doc_id", "n_chars"], ["lang"])
 
@@ -610,7 +610,7 @@ _AL = (
 )
 
 
-@query("q8_alerts", f"{_AL} SELECT 'order' AS record_type, record_id, flag_type, sha256('order|' || record_id || '|' || flag_type) AS alert_id, severity, evidence_json FROM a")
+@query("q8_alerts", f"{_AL} SELECT 'order' AS record_type, record_id, flag_type, sha256(to_json({{'record_type': 'order', 'record_id': record_id, 'flag_type': flag_type}})) AS alert_id, severity, evidence_json FROM a")
 def _(s, d):
     return order_alerts(s, d)
 
@@ -712,7 +712,7 @@ def _(s, d):
 @query(
     "k1_configuration_grid",
     "WITH b AS (SELECT DISTINCT p_brand AS chain FROM part), g AS (SELECT chain, m, k, alpha FROM b, (SELECT unnest(['mean', 'pixels']) AS m), (SELECT unnest([3, 5, 8]) AS k), (SELECT unnest(['0.01', '0.05']) AS alpha)) "
-    "SELECT *, sha256(concat_ws('|', chain, m, k, alpha)) AS config_id FROM g WHERE m = 'pixels' OR k <= 5",
+    "SELECT *, sha256(to_json({'chain': chain, 'm': m, 'k': k, 'alpha': alpha})) AS config_id FROM g WHERE m = 'pixels' OR k <= 5",
 )
 def _(s, d):
     base = read(s, d, "part").select(F.col("p_brand").alias("chain")).distinct()

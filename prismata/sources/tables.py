@@ -50,16 +50,21 @@ def row_batches(df: DataFrame, by: list[str], order: list, size: int) -> DataFra
     return df.withColumn("batch_id", F.concat(F.lit("batch_"), F.lpad(F.ceil(rn / size).cast("string"), 4, "0")))
 
 
+def canonical(columns: list[str]) -> Column:
+    """The named values as JSON in the given order: text is escaped, and a null is not the word null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def stable_id(prefix: str, columns: list[str], length: int = 20) -> Column:
-    """Prefix and the first hex digits of SHA-256 over the named values, sorted by name; nulls count."""
-    parts = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)])
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(parts, 256), 1, length))
+    """Prefix and the first hex digits of SHA-256 over the JSON of the named values, sorted by name; nulls count."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(canonical(sorted(columns)), 256), 1, length))
 
 
-def fingerprint(df: DataFrame, columns: list[str], by: list[str], buckets: int = 256) -> DataFrame:
-    """Order-free SHA-256 of a group's rows in two levels, so that no task holds all row hashes of a large group."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
-    level = df.select(*by, row.alias("h")).groupBy(*by, F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h"))
+def fingerprint(df: DataFrame, columns: list[str], by: list[str], digits: int = 4) -> DataFrame:
+    """Order-free SHA-256 of a group's rows. Row hashes are counted per bucket, the first ``digits`` hex digits, and
+    folded there, so that no task holds a large group's row hashes; 16 ** digits buckets a group are folded at last."""
+    row = F.sha2(canonical(columns), 256)
+    level = df.select(*by, row.alias("h")).groupBy(*by, F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h"))
     return level.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), "|"), 256).alias("fingerprint"))
 
 
@@ -68,6 +73,7 @@ def equality_report(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.crossJoin(right).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
+# fixed values: tokens of a binary label
 def binary_label(c: Column, target: str = "peanut", other: str = "almond") -> Column:
     """Nullable boolean from mixed booleans, numbers and text; tokens of false win over those of true."""
     s = F.lower(F.trim(c.cast("string")))
@@ -85,6 +91,7 @@ def compare(a: Column, operator: Column, b: Column, atol: float = 1e-12) -> Colu
     return F.coalesce(ok & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
 
 
+# fixed values: patterns of image keys
 def parse_key(key: Column) -> dict[str, Column]:
     """Parts of an image key: ``alm1pea2`` is a mixture, ``pea3_pos2`` a position reference, ``alm1`` pure."""
     k = F.regexp_replace(F.lower(F.trim(key)), "_sb$", "")
@@ -93,3 +100,132 @@ def parse_key(key: Column) -> dict[str, Column]:
     batch = F.when(kind.isin("pure", "position_reference"), F.regexp_extract(k, r"^(?:alm|pea)(\d+)", 1).cast("int"))
     role = F.when(kind == "mixture", "application").when(kind == "position_reference", "spatial_reference").when(batch.isin(1, 2), "calibration").when(batch == 3, "validation").when(batch == 4, "test").otherwise("unknown")
     return {"kind": kind, "batch": batch, "role": role}
+
+
+def object_label(kind: Column, key: Column) -> Column:
+    """The class that a clean image key names: of a pure image or a position reference its own, of a mixture none."""
+    return F.when(kind.isin("pure", "position_reference"), F.when(F.lower(F.trim(key)).startswith("alm"), "almond").when(F.lower(F.trim(key)).startswith("pea"), "peanut"))
+
+
+def save_nonempty(df: DataFrame, path: str, keep_empty: bool = False) -> bool:
+    """Whether the table was written: an empty one is only with ``keep_empty`` (a file with the schema alone)."""
+    if df.isEmpty() and not keep_empty:
+        return False
+    save(df, path)
+    return True
+
+
+def shrunk_types(df: DataFrame) -> dict[str, str]:
+    """The narrowest type of each numeric column, from one pass: float for double, the smallest integer that holds the
+    values."""
+    whole = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")]
+    ends = df.agg(*[x for c in whole for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first() if whole else None
+    out = {}
+    for f in df.schema:
+        if f.name in whole:
+            lo, hi = ends[f"lo_{f.name}"], ends[f"hi_{f.name}"]
+            fits = [t for t, bits in (("tinyint", 8), ("smallint", 16), ("int", 32)) if lo is not None and -(1 << (bits - 1)) <= lo and hi < 1 << (bits - 1)]
+            out[f.name] = (fits or ["bigint"])[0] if lo is not None else f.dataType.simpleString()
+        elif f.dataType.typeName() == "double":
+            out[f.name] = "float"
+    return out
+
+
+def shrink(df: DataFrame) -> DataFrame:
+    types = shrunk_types(df)
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+
+def nested_to_json(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text."""
+    return df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema])
+
+
+def filter_values(df: DataFrame, wanted: dict, strict: bool = True) -> DataFrame:
+    """Rows whose columns have the wanted value or one of the wanted values; a None is no filter. A column that is not
+    there is an error, or, if not ``strict``, no filter."""
+    missing = [c for c, v in wanted.items() if v is not None and c not in df.columns]
+    if missing and strict:
+        raise ValueError(f"no such column: {missing}")
+    tests = [F.col(c).isin(list(v) if isinstance(v, list | tuple | set) else [v]) for c, v in wanted.items() if v is not None and c in df.columns]
+    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+
+
+def image_manifest(pixels: DataFrame, by: list[str], bands: int, spectrum: str = "spectrum") -> DataFrame:
+    """Per image its extent, bands, values that are not finite, and ok or the first fault."""
+    bad = lambda f: F.sum(F.size(F.filter(spectrum, f))).alias
+    df = pixels.groupBy(*by).agg((F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"), F.count("*").alias("n_pixels"), F.min(F.size(spectrum)).alias("n_bands"), F.max(F.size(spectrum)).alias("most_bands"), bad(lambda x: F.isnan(x))("n_nan"), bad(lambda x: F.abs(x) == float("inf"))("n_inf"))
+    status = F.when(F.col("n_bands") != F.col("most_bands"), "ragged_bands").when(F.col("n_bands") != bands, "wrong_band_count").when(F.col("n_nan") + F.col("n_inf") > 0, "non_finite").otherwise("ok")
+    return df.withColumn("status", status).drop("most_bands")
+
+
+def image_summary(pixels: DataFrame, by: list[str], item: str, mask: Column) -> DataFrame:
+    return pixels.groupBy(*by).agg(F.count_distinct(item).alias("n_objects"), F.count("*").alias("n_pixels"), F.avg(mask.cast("double")).alias("mask_area_ratio"))
+
+
+def object_summary(pixels: DataFrame, by: list[str], spectrum: str = "spectrum") -> DataFrame:
+    return pixels.groupBy(*by).agg(F.count("*").alias("n_pixels"), F.max(F.size(spectrum)).alias("n_bands"), ((F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)).alias("box_area"))
+
+
+def database_manifest(pixels: DataFrame, image: str, item: str, columns: list[str], spectrum: str = "spectrum") -> DataFrame:
+    """One row: counts of images, objects, pixels and bands, and the fingerprint of the named columns."""
+    counts = pixels.agg(F.count_distinct(image).alias("n_images"), F.count_distinct(item).alias("n_objects"), F.count("*").alias("n_pixels"), F.max(F.size(spectrum)).alias("n_bands"))
+    return counts.crossJoin(fingerprint(pixels, columns, []))  # one row each
+
+
+def axis_lock(axes: DataFrame, version: str, axis: str) -> DataFrame:
+    """Per version the number of different axes, the id of the first and whether the version is locked to one."""
+    hashed = axes.select(version, F.substring(F.sha2(F.to_json(F.col(axis)), 256), 1, 16).alias("axis_id"))
+    return hashed.groupBy(version).agg(F.count_distinct("axis_id").alias("n_axes"), F.min("axis_id").alias("axis_id")).withColumn("locked", F.col("n_axes") == 1)
+
+
+def audit_number(c: Column) -> Column:
+    """A number from any text or boolean; NULL where there is none or it is not finite."""
+    text = F.lower(F.trim(c.cast("string")))
+    x = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(F.expr("NULL").cast("double"))
+    n = F.coalesce(x, c.try_cast("double"))
+    return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
+
+
+def repair_suffixes(df: DataFrame, prefer: str = "left") -> DataFrame:
+    """Columns ``c_x`` and ``c_y`` of a merge become ``c``: the preferred side's value, else the other's, else c's own."""
+    bases = [c[:-2] for c in df.columns if c.endswith("_x") and c[:-2] + "_y" in df.columns]
+    order = ("_x", "_y") if prefer == "left" else ("_y", "_x")
+    for b in bases:
+        own = [F.col(b)] if b in df.columns else []
+        df = df.withColumn(b, F.coalesce(*[F.col(b + s) for s in order], *own)).drop(b + "_x", b + "_y")
+    return df
+
+
+def normalise_columns(df: DataFrame, aliases: dict[str, list[str]], defaults: dict) -> DataFrame:
+    """Each column from the first of its aliases that is there and not null, then its default."""
+    out = {}
+    for name, names in aliases.items():
+        found = [F.col(c) for c in [name, *names] if c in df.columns]
+        out[name] = F.coalesce(*found, F.lit(defaults.get(name))) if found else F.lit(defaults.get(name))
+    gone = [c for names in aliases.values() for c in names if c in df.columns and c not in aliases]
+    return df.withColumns(out).drop(*gone)
+
+
+def checks(df: DataFrame, tests: dict[str, Column], strict: bool = False) -> DataFrame:
+    """One row per test: the rows that fail it and whether it passed; with ``strict`` a failed one is an error."""
+    one = df.agg(*[F.count_if(~F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()])
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n_failed")) for n in tests])).alias("x")).select("x.*").withColumn("passed", F.col("n_failed") == 0)
+    if strict and (bad := [r["check"] for r in out.where("NOT passed").collect()]):
+        raise ValueError(f"failed checks: {bad}")
+    return out
+
+
+def clean_text(c: Column) -> Column:
+    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
+
+
+# fixed values: synonyms of class labels
+SYNONYMS = {"peanut": ["peanut", "pea", "target", "positive"], "almond": ["almond", "alm", "non_target", "negative", "non-target"]}
+
+
+def class_label(c: Column) -> Column:
+    """The canonical class of a label; others are cleaned and lower case, missing ones unknown."""
+    t = F.lower(clean_text(c))
+    known = reduce(lambda acc, x: acc.when(t.isin(x[1]), x[0]), SYNONYMS.items(), F.when(t == "", "unknown"))
+    return F.coalesce(known, t)
