@@ -148,11 +148,6 @@ def rule_variants(scored: DataFrame) -> DataFrame:
     return long.withColumns({"ratio": F.col("statistic") / F.col("limit"), "margin": 1 - F.col("statistic") / F.col("limit"), "accepted": F.col("statistic") < F.col("limit")})
 
 
-def higher_quantile(values: str, q: float):
-    """The quantile that takes the next larger sample, of a group's values."""
-    return F.element_at(F.sort_array(F.collect_list(values)), F.ceil(q * (F.count(values) - 1)).cast("int") + 1)
-
-
 def multiclass(scored: DataFrame, key: str) -> DataFrame:
     """Accepted by none is unknown, by one that class, by several ambiguous; the closest by H/Hlim + Q/Qlim."""
     d = F.col("h") / F.col("h_limit") + F.col("q") / F.col("q_limit")

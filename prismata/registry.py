@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
-from prismata.operators import audit, catalog, decisions, matrices, models, raster, review, selection
+from prismata.operators import audit, catalog, decisions, matrices, models, raster, review, selection, simca
 from prismata.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -405,12 +405,12 @@ def _(s, d):
     return models.multiclass(class_scores(s, d), "vec_id")
 
 
-@query("c9_higher_quantile", f"{M} SELECT image, list_sort(list(score))[CAST(ceil(0.95 * (count(score) - 1)) AS INTEGER) + 1] AS threshold FROM m GROUP BY image")
+@query("quantile_higher", f"{M} SELECT image, list_sort(list(score))[CAST(ceil(0.95 * (count(score) - 1)) AS INTEGER) + 1] AS threshold FROM m GROUP BY image")
 def _(s, d):
-    return margins(s, d).groupBy("image").agg(models.higher_quantile("score", 0.95).alias("threshold"))
+    return simca.higher_quantiles(margins(s, d), ["image"], "score", 0.95).withColumnRenamed("quantile", "threshold")
 
 
-@query("c5_empirical_limits", f"{M} SELECT image, round(quantile_cont(score, 0.95), 6) AS threshold FROM m GROUP BY image")
+@query("quantile_linear", f"{M} SELECT image, round(quantile_cont(score, 0.95), 6) AS threshold FROM m GROUP BY image")
 def _(s, d):
     return rounded(margins(s, d).groupBy("image").agg(F.percentile("score", 0.95).alias("threshold")))
 
