@@ -44,9 +44,10 @@ def confusion_table(df: DataFrame, by: list[str], truth: str = "truth", predicti
     full = df.select(*by).distinct().crossJoin(F.broadcast(cells))  # the cells are six rows at most
     same = reduce(lambda a, b: a & b, [full[c].eqNullSafe(counted[c]) for c in [*by, "truth", "prediction"]])
     out = full.join(counted, same, "left").select(*[full[c] for c in [*by, "truth", "prediction"]], F.coalesce("n", F.lit(0)).alias("n"))
-    per_row = out.groupBy(*by, "truth").agg(F.sum("n").alias("row_n"))
-    per_all = out.groupBy(*by).agg(F.sum("n").alias("all_n"))
-    out = out.join(per_row, [*by, "truth"]).join(per_all, by)
+    per_row = out.groupBy(*by, "truth").agg(F.sum("n").alias("row_n")).withColumnsRenamed({c: f"_r_{c}" for c in [*by, "truth"]})
+    per_all = out.groupBy(*by).agg(F.sum("n").alias("all_n")).withColumnsRenamed({c: f"_a_{c}" for c in by})
+    meet = lambda p, cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(p + c)) for c in cols])
+    out = out.join(per_row, meet("_r_", [*by, "truth"])).join(per_all, meet("_a_", by))
     empty = F.lit(0.0) if three_way else F.lit(None).cast("double")
     return out.select(*by, "truth", "prediction", "n", F.when(F.col("row_n") == 0, empty).otherwise(F.col("n") / F.nullif("row_n", F.lit(0))).alias("row_rate"), F.try_divide("n", "all_n").alias("rate"))
 

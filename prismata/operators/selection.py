@@ -32,6 +32,9 @@ def epsilon_front(df: DataFrame, by: list[str], minimise: list[str], epsilon: fl
     """The front with tolerance, built in the order of the objectives: a dropped row drops no other. Distinct vectors
     of one group reach a task, in order; only the front is held against each."""
     schema = df.select(*by, *minimise).schema
+    broken = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in minimise])
+    first = minimise[0]
+    df = df.withColumn(first, F.when(broken, F.raise_error(F.lit("an objective is not finite"))).otherwise(F.col(first)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         front: list[int] = []
@@ -43,7 +46,8 @@ def epsilon_front(df: DataFrame, by: list[str], minimise: list[str], epsilon: fl
         return pdf.iloc[front]
 
     front = df.select(*by, *minimise).distinct().groupBy(*by).applyInPandas(run, schema)
-    return df.join(front, [*by, *minimise], "left_semi")
+    keep = front.select(*[F.col(c).alias(f"_f_{c}") for c in front.columns])
+    return df.join(keep, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in [*by, *minimise]]), "left_semi")
 
 
 def top_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
