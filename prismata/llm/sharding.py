@@ -7,7 +7,8 @@ by the hash of doc_id, so that one can be cut where nothing else keeps the shard
 Splitters are found without a sort: each round counts the exact bytes in a fixed number of equal cells of every open
 key interval, over all partitions with map-side sums, and narrows the interval around each shard boundary until it
 meets the tolerance or its cell holds a single key. Then rows are exchanged once, to (shard, cell), where their place
-in the shard is the cell's offset, known from exact counts, plus their rank in the cell.
+in the shard is the cell's offset, known from exact counts, plus their rank in the cell. Cells are as many as it takes
+for one to hold about CELL_BYTES, 1,024 at least, so that the sort of one cell stays the same size at any input.
 
 Defined results: a null text counts as empty (size 1, CRC 0); rows without a doc_id and rows that repeat one are
 placed like any others (ties are ranked by the whole key, then by size); an empty table gives an empty table; the
@@ -19,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.plans.shared import materialize
+
 N_SHARDS, TOLERANCE, CELLS = 8, 0.01, 1024
+CELL_BYTES, MOST_CELL_BITS = 64 << 20, 30
 TOP = 62
 HEAVY_BITS = 40  # a heavy group's rows spread over 2 ** HEAVY_BITS keys
 HEAVY_RANKS = 1 << 16
@@ -52,7 +56,7 @@ class Splitters:
         least = max(1, int(self.total / n_shards * tolerance))
         heavy = groups.where(F.col("_b") > least)
         # at most n_shards / tolerance groups, so the window and the broadcast are bounded
-        self.heavy = heavy.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_b"), "_text")).cast("long") - 1).select("_text", "_rank").persist()
+        self.heavy = materialize(heavy.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_b"), "_text")).cast("long") - 1).select("_text", "_rank"), "heavy-groups")
         keyed = _keyed(rows.select("_text", "_id", "_size"), self.heavy)
         goals = [self.total * i / n_shards for i in range(1, n_shards)]
         self.keys = self._search(keyed, goals, least, max_rounds)
@@ -109,13 +113,16 @@ def histogram_shards(docs: DataFrame, n_shards: int = N_SHARDS, tolerance: float
     found = Splitters(rows.drop("_row", "_crc"), n_shards, tolerance)
     keyed = _keyed(rows, found.heavy)
     shard = sum((F.when(F.col("_key") >= k, 1).otherwise(0) for k in found.keys), F.lit(0)).cast("int")
-    cell = F.when(F.col("_key") < START, F.shiftright("_key", HEAVY_BITS - 4)).otherwise(F.lit(HEAVY_RANKS << 4) + F.shiftright(F.col("_key") - START, TOP - 13))
+    bits = min(MOST_CELL_BITS, max(10, (found.total // CELL_BYTES).bit_length()))
+    light = F.lit(HEAVY_RANKS << bits) + F.shiftright(F.col("_key") - START, TOP - 1 - bits)
+    # a heavy group may hold all bytes, so it gets as many cells as all light ones
+    cell = F.when(F.col("_key") < START, F.shiftright("_key", HEAVY_BITS - bits)).otherwise(light)
     placed = keyed.withColumns({"_shard": shard, "_cell": cell})
     counts = placed.groupBy("_shard", "_cell").agg(F.count("*").alias("_n"))
-    line = Window.partitionBy("_shard").orderBy("_cell")  # at most 16 * heavy groups + 8192 cells, whatever the input
+    line = Window.partitionBy("_shard").orderBy("_cell")  # a row per cell that holds rows
     offsets = counts.select("_shard", "_cell", (F.sum("_n").over(line) - F.col("_n")).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy("_shard", "_cell").orderBy("_key", "_id", "_size")) - 1
-    out = placed.withColumn("_rank", rank).join(F.broadcast(offsets), ["_shard", "_cell"])
+    out = placed.withColumn("_rank", rank).join(offsets, ["_shard", "_cell"])  # rows lie by (shard, cell) already
     return out.select("_row", "_size", "_crc", "_shard", (F.col("_offset") + F.col("_rank")).cast("long").alias("_slot"))
 
 
