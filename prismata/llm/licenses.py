@@ -262,7 +262,8 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text",
     """``(doc_id, license_id, n_matched, n_tokens, coverage, span_start, span_end)`` per occurrence; spans in code
     points, end exclusive."""
     licenses = templates(docs.sparkSession) if licenses is None else licenses
-    index = licenses.select("license_id", F.col("text").cast("string").alias("text")).mapInArrow(_index, "license_id string, prints array<long>, template array<long>, marks array<int>").withColumn("tier", (F.size("template") > SHORT).cast("int")).persist()
+    index = licenses.select("license_id", F.col("text").cast("string").alias("text")).mapInArrow(_index, "license_id string, prints array<long>, template array<long>, marks array<int>")
+    index = materialize(index.withColumn("tier", (F.size("template") > SHORT).cast("int")), "license-index")
     needed = F.greatest(F.lit(1), F.ceil(F.size(F.array_distinct("prints")) * shared))
     bounds = {r["tier"]: (r["most"] + band, r["least"]) for r in index.where("size(prints) > 0").groupBy("tier").agg(F.max(F.size("template")).alias("most"), F.min(needed).alias("least")).collect()}
     entries = index.select("license_id", "tier", F.explode(F.array_distinct("prints")).alias("h"), needed.alias("needed"))
