@@ -145,8 +145,6 @@ def _owned(threshold: int) -> list[int]:
 def _blocks(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
     """``(cell, own, probe, l1, counts)``: rows that meet, as indexed line or as probe; hot keys in pairs of blocks."""
     slim = keyed.select("key", "l1", "counts", "own")
-    if hot is None:
-        return slim.select(F.col("key").alias("cell"), "own", F.lit(True).alias("probe"), "l1", "counts")
     rows = slim.join(hot, F.col("key") == F.col("hot"), "left").withColumn("m", F.ceil(F.col("n") / BUCKET))
     row_, column = "transform(sequence(0L, m - 1), b -> struct(xxhash64(key, pmod(l1, m), b) AS cell, true AS own, false AS probe))", "transform(sequence(0L, m - 1), a -> struct(xxhash64(key, a, pmod(l1, m)) AS cell, false AS own, true AS probe))"
     cells = F.expr(f"CASE WHEN m IS NULL THEN array(struct(key AS cell, own AS own, true AS probe)) WHEN own THEN concat({row_}, {column}) ELSE {column} END")
@@ -169,10 +167,18 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
             break
         if level < LEVELS - 1:
             keyed = _refined(keyed, hot, threshold)
-    met = _blocks(keyed, hot).repartition("cell")  # one exchange serves both sides of the join
-    index = met.select("cell", F.explode(F.expr("IF(own, array(struct(l1 AS l1, counts AS counts, probe AS probe)), array())")).alias("x")).select("cell", "x.l1", "x.counts")
-    probe = met.select("cell", F.explode(F.expr("IF(probe, array(struct(l1 AS other, counts AS other_counts, own AS own)), array())")).alias("x")).select("cell", "x.other", "x.other_counts")
-    near = index.join(probe, "cell").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
+    apart = f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}"
+    # one exchange serves both sides of the join, so both read the same columns of it
+    if hot is None:
+        met = keyed.select(F.col("key").alias("cell"), "own", "l1", "counts").repartition("cell")
+        probe = met.select("cell", F.col("l1").alias("other"), F.col("counts").alias("other_counts"), F.col("own").alias("other_own"))
+        apart += " AND (NOT other_own OR l1 < other)"  # two indexed lines of a key probe each other
+    else:
+        met = _blocks(keyed, hot).repartition("cell")
+        probe = met.select("cell", F.explode(F.expr("IF(probe, array(struct(l1 AS other, counts AS other_counts, own AS own)), array())")).alias("x")).select("cell", "x.other", "x.other_counts")
+    held = "struct(l1 AS l1, counts AS counts)" if hot is None else "struct(l1 AS l1, counts AS counts, probe AS probe)"
+    index = met.select("cell", F.explode(F.expr(f"IF(own, array({held}), array())")).alias("x")).select("cell", "x.l1", "x.counts")
+    near = index.join(probe, "cell").where(apart).select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
     pairs = materialize(near.distinct(), "line-candidates")
     wanted = pairs.select(F.col("a").alias("l1")).union(pairs.select(F.col("b").alias("l1"))).distinct()
     texts = materialize(nodes.join(wanted, "l1", "left_semi").groupBy("l1").agg(F.min("line").alias("line")), "line-texts")
