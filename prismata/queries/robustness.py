@@ -47,10 +47,10 @@ def _(s, d):
     return rounded(robustness.threshold_sensitivity(m, plan.withColumns({"new_lower": F.round("new_lower", 9), "new_upper": F.round("new_upper", 9)}), "fold", "score"))
 
 
-@query("b5_threshold_drift", f"{RUNS}, a AS (SELECT model, count(DISTINCT track) AS n, max(m1) - min(m1) AS rl, max(m1 + 1 + m2) - min(m1 + 1 + m2) AS ru, max(m1 + (1 + m2) / 2) - min(m1 + (1 + m2) / 2) AS rc, max(1 + m2) - min(1 + m2) AS rw, avg(m1) AS lm, avg(1 + m2) AS wm FROM u GROUP BY model) SELECT model, n AS n_policies, round(lm, 6) AS lower_mean, round(wm, 6) AS width_mean, CASE WHEN n > 1 THEN 'policy_drift' WHEN greatest(rl, ru, rc, rw) > 0.6 THEN 'warning' ELSE 'stable' END AS status FROM a")
+@query("b5_threshold_drift", f"{RUNS}, a AS (SELECT model, count(DISTINCT track) AS n, max(m1) - min(m1) AS rl, max(m1 + 1 + m2) - min(m1 + 1 + m2) AS ru, max(m1 + (1 + m2) / 2) - min(m1 + (1 + m2) / 2) AS rc, max(1 + m2) - min(1 + m2) AS rw, avg(m1) AS lm, avg(1 + m2) AS wm FROM u GROUP BY model) SELECT model, n AS n_policies, round(lm, 6) AS lower_mean, round(wm, 6) AS width_mean, CASE WHEN n > 1 THEN 'policy_drift' WHEN greatest(rl, ru, rc, rw) > 0.65 THEN 'warning' ELSE 'stable' END AS status FROM a")
 def _(s, d):
     t = runs(s, d).withColumns({"lower": F.col("m1"), "upper": F.col("m1") + 1 + F.col("m2")})
-    return rounded(robustness.threshold_drift(t, "model", "track", 0.6).select("model", "n_policies", "lower_mean", "width_mean", "status"))
+    return rounded(robustness.threshold_drift(t, "model", "track", 0.65).select("model", "n_policies", "lower_mean", "width_mean", "status"))
 
 
 _JACK = f"{RUNS}, g AS (SELECT u.*, o FROM u, (SELECT unnest([-1, 0, 1, 2]) AS o) WHERE model % 2 = 0 OR seed <> o), a AS (SELECT o, track, model, avg(m1) AS x, avg(m2) AS y FROM g GROUP BY ALL), f AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM a b WHERE b.o = a.o AND b.track = a.track AND b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y)) AS onf FROM a)"
@@ -109,10 +109,10 @@ def _(s, d):
     return robustness.practical_effects(e, tol).select("p_partkey", "effect_status", "direction")
 
 
-@query("b11_interval_envelope", f"{RUNS} SELECT model, round(min(m1), 6) AS envelope_low, round(max(m1 + m2), 6) AS envelope_high, count(*) AS n_seeds, CASE WHEN min(seed) >= 1 THEN 'descriptive' ELSE 'too_few_images' END AS status FROM u GROUP BY model")
+@query("b11_interval_envelope", f"{RUNS} SELECT model, round(min(m1), 8) AS envelope_low, round(max(m1 + m2), 8) AS envelope_high, count(*) AS n_seeds, CASE WHEN min(seed) >= 1 THEN 'descriptive' ELSE 'too_few_images' END AS status FROM u GROUP BY model")
 def _(s, d):
     r = runs(s, d).withColumn("high", F.col("m1") + F.col("m2"))
-    return rounded(robustness.interval_envelope(r, ["model"], "m1", "high", "seed", 1).drop("n_images"))
+    return rounded(robustness.interval_envelope(r, ["model"], "m1", "high", "seed", 1).drop("n_images"), 8)
 
 
 @query("b12_coverage_auc")
