@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
 from prismata.operators import audit, catalog, decisions, matrices, models, raster, review, selection, simca
+from prismata.plans.shared import materialize
 from prismata.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,8 +392,8 @@ def _(s, d):
 
 def class_scores(s: SparkSession, d: str, k: int = 3, alpha: float = 0.05) -> DataFrame:
     p = pixels(s, d).withColumn("spectrum", sp.snv(F.col("spectrum")))
-    fitted = models.limits(models.fit_pca(p.where("batch <= 3"), "label", "spectrum"), k, alpha)
-    return models.score(p, fitted, k, "spectrum").join(fitted.select("model", "h0", "nh", "q0", "nq", "h_limit", "q_limit", "dd_limit"), "model")
+    fitted = materialize(models.limits(models.fit_pca(p.where("batch <= 3"), "label", "spectrum"), k, alpha), "class-models")
+    return simca.distances(p.select("vec_id", "label", "spectrum"), fitted, k, "spectrum").join(fitted.select("model", "h0", "nh", "q0", "nq", "h_limit", "q_limit", "dd_limit"), "model")
 
 
 @query("c7_rule_variants")
