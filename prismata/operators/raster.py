@@ -104,3 +104,11 @@ def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radi
     if holes:
         out = fill_holes(out, within)
     return remove_small(components(out, connectivity), least).select(*AT)
+
+
+def manual_labels(labelled: DataFrame, manual: DataFrame) -> DataFrame:
+    """``manual(image, row, col, manual)`` decides where it has a row: its label replaces that of the pixel, and a NULL
+    takes the pixel out of its component."""
+    m = manual.select(*AT, "manual", F.lit(True).alias("_by_hand"))
+    out = labelled.join(m, AT, "left").withColumn("label", F.when(F.col("_by_hand"), F.col("manual")).otherwise(F.col("label")))
+    return out.drop("manual", "_by_hand").where("label IS NOT NULL")

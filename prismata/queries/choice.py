@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from prismata.operators import choice
+from prismata.operators import choice, review
+from prismata.operators.selection import pareto_front
 from prismata.registry import query, read, rounded
 
 
@@ -122,3 +123,10 @@ def _(s, d):
 @query("j19_picked_images", "WITH m AS (SELECT p_brand, p_partkey, p_retailprice, median(p_retailprice) OVER (PARTITION BY p_brand) AS md FROM part) SELECT p_brand, first(p_partkey ORDER BY p_retailprice DESC, p_partkey) AS worst, first(p_partkey ORDER BY p_retailprice, p_partkey) AS best, first(p_partkey ORDER BY abs(p_retailprice - md), p_partkey) AS middle FROM m GROUP BY p_brand")
 def _(s, d):
     return choice.picked_images(part(s, d), "p_brand", "p_partkey", "p_retailprice")
+
+
+@query("b14_trial_fronts", "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderkey % 7 AS study FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderdate, o_orderkey) = 1) SELECT study, o_orderkey FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.study = a.study AND b.o_totalprice <= a.o_totalprice AND b.o_custkey <= a.o_custkey AND (b.o_totalprice < a.o_totalprice OR b.o_custkey < a.o_custkey))")
+def _(s, d):
+    trials = read(s, d, "orders").withColumn("study", F.col("o_orderkey") % 7)
+    first = review.first_trials(trials, ["o_custkey", "study"], ["o_orderdate", "o_orderkey"])
+    return pareto_front(first, ["study"], ["o_totalprice", "o_custkey"]).select("study", "o_orderkey")

@@ -151,3 +151,15 @@ def _(s, d):
     df = ras(s, d)
     out = spatial.locked_validation(df.where("on"), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), "object", df, {"connectivity": 8, "operation": "closing", "radius": 1, "least": 4})
     return rounded(out.where("map = 'raw'").select("image", "map", "tp", "fn", "fp", "tn", "dice"))
+
+
+@query("r4_least_area", f"{R} SELECT image, label, count(*) AS n FROM r GROUP BY image, label HAVING count(*) >= 24")
+def _(s, d):
+    return raster.remove_small(ras(s, d), 24).groupBy("image", "label").agg(F.count("*").alias("n"))
+
+
+@query("r4_manual_labels", f"{R} SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN -1 WHEN vec_id % 50 = 1 THEN NULL ELSE label END AS label FROM r WHERE vec_id % 50 <> 1")
+def _(s, d):
+    df = ras(s, d)
+    manual = df.where("vec_id % 50 < 2").select(*AT, F.when(F.col("vec_id") % 50 == 0, -1).cast("long").alias("manual"))
+    return raster.manual_labels(df.withColumn("label", F.col("label").cast("long")), manual).select("vec_id", "label")
