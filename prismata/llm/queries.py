@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, warc
+from prismata.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_alignment, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under both tokenizers."""
+    return token_alignment.Alignment(_table(spark, sf_dir, "documents").select("doc_id", "text")).documents()
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
