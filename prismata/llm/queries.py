@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_alignment, warc
+from prismata.llm import decontaminate, fingerprints, lexical_search, licenses, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_alignment, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    out = fingerprints.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    near_edited, near_next = fingerprints.likeness("f", "g"), fingerprints.likeness("f", "after")
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprints.spelled("f").alias("fingerprint"), fingerprints.spelled("g").alias("edited_fingerprint"), near_edited.alias("near_edited"), near_next.alias("near_next"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of every document under both tokenizers."""
     return token_alignment.Alignment(_table(spark, sf_dir, "documents").select("doc_id", "text")).documents()
@@ -79,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fingerprints": op12_fingerprints,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -98,6 +112,16 @@ common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y
 e AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c * 10 >= 8 * (na.n + nb.n - c)),
 r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
 SELECT doc_id, coalesce((SELECT min(root) FROM r WHERE node = doc_id), doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links FROM d""",
+    "op11_lexical_search": """
+WITH i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+f AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term),
+x AS (SELECT item_id, doc_id, CAST(sum(k * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN g USING (term), s GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
     "op10_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) WHERE len(w) >= 50),
