@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.operators import nearest
+
 
 def object_matrix(pixels: DataFrame, keys: list[str], spectrum: str = "spectrum", median: bool = False) -> DataFrame:
     """One row per object: the band-wise mean or median of its pixels."""
@@ -75,9 +77,5 @@ def robust_outliers(objects: DataFrame, by: list[str], key: str, spectrum: str =
 
 
 def nearest_box(boxes: DataFrame, image: str, key: str) -> DataFrame:
-    """Distance of each bounding box to the nearest other box of its image; infinite for a single one. Pairs meet within an image only."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    gap = lambda lo, hi: F.greatest(F.lit(0), F.col(f"a.{lo}") - F.col(f"b.{hi}"), F.col(f"b.{lo}") - F.col(f"a.{hi}"))
-    pairs = a.join(b, (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")), "left")
-    d = F.hypot(gap("min_row", "max_row"), gap("min_col", "max_col"))
-    return pairs.groupBy(F.col(f"a.{image}").alias(image), F.col(f"a.{key}").alias(key)).agg(F.coalesce(F.min(d), F.lit(float("inf"))).alias("nearest"))
+    """Distance of each bounding box to the nearest other box of its image; infinite for a single one."""
+    return nearest.nearest(boxes, image, key).drop("nearest_key")

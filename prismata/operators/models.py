@@ -1,8 +1,8 @@
-"""PCA and one-class SIMCA from distributed Gram matrices.
+"""PCA and one-class SIMCA from distributed QR factors and Gram matrices.
 
-A Gram matrix is summed per model key in Arrow batches, so one bands x bands block per task and key is shuffled,
-whatever the number of rows. Eigenproblems are solved in grouped tasks, one per model, on that block alone. Models are
-rows (arrays and doubles) that scoring joins.
+One bands x bands block per task and key is shuffled, whatever the number of rows: a triangle where a model is fitted, a
+Gram matrix where sums are added and subtracted. Eigenproblems are solved in grouped tasks, one per model, on that block
+alone. Models are rows (arrays and doubles) that scoring joins.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.operators import factor
+
 MODEL = "model string, n long, mean array<double>, eigenvalues array<double>, loadings array<array<double>>"
 
 
@@ -43,19 +45,21 @@ def grams(df: DataFrame, key: str, spectrum: str) -> DataFrame:
     return cells.groupBy("model").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("cells"))
 
 
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    r = pdf.iloc[0]
+    mean, value, vector = factor.eigen(np.asarray(r["triangle"], float).reshape(-1, int(r["width"]) + 1), int(r["n"]))
+    return pd.DataFrame([{"model": r["model"], "n": int(r["n"]), "mean": mean.tolist(), "eigenvalues": value.tolist(), "loadings": vector.tolist()}])
+
+
 def fit_pca(df: DataFrame, key: str, spectrum: str) -> DataFrame:
-    """One row of MODEL per key: all eigenvalues of the covariance (n - 1), descending, and their loadings."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        cells = np.asarray(r["cells"], float)
-        b = int((math.isqrt(1 + 4 * len(cells)) - 1) // 2)
-        n, mean = int(r["n"]), cells[:b] / r["n"]
-        cov = (cells[b:].reshape(b, b) - n * np.outer(mean, mean)) / max(1, n - 1)
-        value, vector = np.linalg.eigh(cov)
-        order = np.argsort(value)[::-1]
-        return pd.DataFrame([{"model": r["model"], "n": n, "mean": mean.tolist(), "eigenvalues": np.maximum(value[order], 0).tolist(), "loadings": vector[:, order].T.tolist()}])
-
-    return grams(df, key, spectrum).groupBy("model").applyInPandas(solve, MODEL)
+    """One row of MODEL per key: all eigenvalues of the covariance (n - 1), descending, and their loadings, from a QR
+    factorisation; digits that rows have in common do not cost precision."""
+    return solve_pca(factor.merged(factor.triangles(df, key, spectrum)))
+
+
+def solve_pca(stored: DataFrame) -> DataFrame:
+    """Rows of MODEL from rows of ``factor.TRIANGLE``."""
+    return stored.groupBy("model").applyInPandas(_solve, MODEL)
 
 
 def component_table(models: DataFrame, levels: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:

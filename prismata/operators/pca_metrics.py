@@ -147,24 +147,6 @@ def loading_stability(models: DataFrame, candidate: str, run: str, k: int) -> Da
     return models.select(F.col(candidate).cast("string").alias(candidate), F.col(run).cast("string").alias(run), F.slice("loadings", 1, k).alias("loadings")).groupBy(candidate).applyInPandas(compare, schema)
 
 
-def bootstrap_rows(df: DataFrame, group: str, replicates: int, seed: int = 1) -> DataFrame:
-    """Whole-group bootstrap: each replicate draws as many groups as there are, with repeats; rows come as often as their
-    group was drawn (``replicate``). Draws are hashes of seed, replicate and draw."""
-    groups = df.select(group).distinct()
-    n = groups.count()
-    named = groups.withColumn("_i", F.row_number().over(_order(group)) - 1)
-    draws = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("_d"))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d"), F.lit(max(n, 1))))
-    weights = draws.join(named, "_i").groupBy("replicate", group).agg(F.count("*").alias("_w"))
-    return df.join(weights, group).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_w")))).drop("_w", "_c")
-
-
-def _order(group: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(group)  # groups are images: one row each
-
-
 def candidate_plan(matrices: DataFrame, chains: DataFrame, feasible: DataFrame, window: int) -> DataFrame:
     """Accepted matrices with accepted chains and feasible samplings. Matrix ids name m and strategy
     (``..._m<m>_<strategy>``); chains with a Savitzky-Golay step count only at the chosen window."""

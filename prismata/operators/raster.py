@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismata.plans.components import connected_components
+from prismata.operators import runs, tiles
 
 AT = ["image", "row", "col"]
 
@@ -15,41 +15,28 @@ def _disk(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in r for b in r if a * a + b * b <= radius * radius]
 
 
-def _shifted(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in offsets])).alias("o")
-    return mask.select("image", "row", "col", o).select("image", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
-
-
 def dilate(mask: DataFrame, radius: int, within: DataFrame | None = None) -> DataFrame:
     """``within`` bounds the raster: only its pixels come back."""
-    out = _shifted(mask, _disk(radius)).distinct()
+    out = runs.pixels(runs.dilate(runs.runs(mask), radius))
     return out.join(within.select(*AT), AT, "left_semi") if within is not None else out
 
 
-def erode(mask: DataFrame, radius: int) -> DataFrame:
-    """Pixels whose whole disk is in the mask; what lies outside the raster is background."""
-    disk = _disk(radius)
-    return _shifted(mask, disk).groupBy(*AT).agg(F.count("*").alias("n")).where(F.col("n") == len(disk)).select(*AT)
+def erode(mask: DataFrame, radius: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Pixels whose whole disk is in the mask; what lies outside the raster is background, or, with ``bounds``, not asked."""
+    return runs.pixels(runs.erode(runs.runs(mask), radius, bounds))
 
 
-def opening(mask: DataFrame, radius: int) -> DataFrame:
-    return dilate(erode(mask, radius), radius)
+def opening(mask: DataFrame, radius: int, bounds: DataFrame | None = None) -> DataFrame:
+    return runs.pixels(runs.opening(runs.runs(mask), radius, bounds))
 
 
-def closing(mask: DataFrame, radius: int) -> DataFrame:
-    return erode(dilate(mask, radius), radius)
+def closing(mask: DataFrame, radius: int, bounds: DataFrame | None = None) -> DataFrame:
+    return runs.pixels(runs.closing(runs.runs(mask), radius, bounds))
 
 
 def components(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """``(image, row, col, label)``: label is the smallest pixel code of the component. Coordinates are below 2^20."""
-    code = lambda r, c: F.xxhash64("image", r, c)
-    offsets = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in offsets])).alias("o")
-    here = mask.select(*AT, code("row", "col").alias("id"))
-    there = here.select(*AT, "id", o).select("image", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), F.col("id").alias("a"))
-    edges = there.join(here, AT).select("a", F.col("id").alias("b"))
-    found = connected_components(edges, "raster-components").withColumnRenamed("node", "id")
-    return here.join(found, "id", "left").select(*AT, F.coalesce("component", "id").alias("label"))
+    """``(image, row, col, label)``: label is the smallest pixel code of the component."""
+    return tiles.components(mask, connectivity)
 
 
 def component_table(labelled: DataFrame) -> DataFrame:
@@ -95,12 +82,14 @@ def fill_holes(mask: DataFrame, within: DataFrame) -> DataFrame:
 
 
 def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radius: int = 0, closing_radius: int = 1, holes: bool = True, connectivity: int = 4) -> DataFrame:
-    """Opening, closing, holes, then components under ``least`` pixels go; a radius of 0 leaves a step out."""
-    out = mask.select(*AT)
+    """Opening, closing, holes, then components under ``least`` pixels go; a radius of 0 leaves a step out. ``within`` holds
+    all pixels of each raster: beyond its edges there is neither mask nor background."""
+    edge, out = runs.bounds(within), runs.runs(mask)
     if opening_radius:
-        out = opening(out, opening_radius)
+        out = runs.opening(out, opening_radius, edge)
     if closing_radius:
-        out = closing(out, closing_radius).join(within.select(*AT), AT, "left_semi")
+        out = runs.closing(out, closing_radius, edge)
+    out = runs.pixels(out).join(within.select(*AT), AT, "left_semi")
     if holes:
         out = fill_holes(out, within)
     return remove_small(components(out, connectivity), least).select(*AT)

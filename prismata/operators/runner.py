@@ -128,7 +128,7 @@ def locked_refit(rows: DataFrame, train_batches: list[int], projection_batches:
 
 def configuration_validity(plan: DataFrame, pca: DataFrame) -> DataFrame:
     """``plan(k, alpha)`` against every class's eigensystem: ``valid`` or the first reason against it."""
-    facts = pca.select("model", "n", F.size("mean").alias("bands"), F.size(F.filter("eigenvalues", lambda x: x > simca.EPS)).alias("rank"))
+    facts = pca.select("model", "n", F.size("mean").alias("bands"), "rank")
     k, alpha = F.col("k"), F.col("alpha")
     status = F.when(k < 1, "components_not_positive").when((alpha <= 0) | (alpha >= 1), "alpha_out_of_range").when(k > F.col("bands"), "components_above_bands").when(k >= F.col("n"), "too_few_target_rows").when(k > F.col("rank"), "components_above_rank").otherwise("valid")
     return facts.crossJoin(F.broadcast(plan)).withColumn("status", status)  # the plan is a parameter

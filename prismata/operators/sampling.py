@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
+from prismata.operators import factor
 from prismata.operators.matrices import object_matrix
 
 
@@ -71,22 +72,50 @@ def build_matrix(pixels: DataFrame, method: str, keys: list[str], pixel: str, m:
     return out.withColumns({"matrix_method": F.lit(method), "matrix_family": F.lit(FAMILIES[method])})
 
 
+def matrix_rank(matrix: DataFrame, spectrum: str = "spectrum") -> DataFrame:
+    """One row: numerical ``matrix_rank`` and ``rank_ratio`` to the shorter side; both NULL where rows differ in length or a
+    value is not finite, and without rows."""
+    found = factor.ranks(factor.factors(matrix.withColumn("_w", F.size(spectrum)), "_w", spectrum))  # a row a length
+    one = F.count("*") == 1
+    return found.agg(F.when(one, F.max("rank")).alias("matrix_rank"), F.when(one, F.max(F.col("rank") / F.least("n", "width"))).alias("rank_ratio"))
+
+
 def matrix_summary(matrix: DataFrame, label: str, image: str, spectrum: str = "spectrum", eps: float = 1e-12) -> DataFrame:
-    """One row: rows, bands, classes, images, values that are not finite, and the share of bands without variance."""
+    """One row: rows, bands, classes, images, values that are not finite, bands without variance, rank, and ``status``: accepted
+    with rows, finite values and two classes or more."""
     one = matrix.agg(F.count("*").alias("n_rows"), F.min(F.size(spectrum)).alias("n_bands"), F.max(F.size(spectrum)).alias("most_bands"), F.count_distinct(label).alias("n_classes"), F.count_distinct(image).alias("n_images"), F.sum(F.size(F.filter(spectrum, lambda x: ~sp.finite(x)))).alias("n_non_finite"))
     bands = matrix.select(F.posexplode(spectrum).alias("band", "v")).groupBy("band").agg(F.var_pop("v").alias("v"))
-    return one.crossJoin(bands.agg(F.avg((F.col("v") <= eps).cast("double")).alias("zero_variance_rate"), F.count_if(F.col("v") <= eps).alias("n_zero_variance_bands")))  # one row each
+    one = one.crossJoin(bands.agg(F.avg((F.col("v") <= eps).cast("double")).alias("zero_variance_rate"), F.count_if(F.col("v") <= eps).alias("n_zero_variance_bands")))  # one row each
+    good = (F.col("n_rows") > 0) & (F.col("n_bands") > 0) & (F.col("n_non_finite") == 0) & (F.col("n_classes") >= 2)
+    return one.crossJoin(matrix_rank(matrix, spectrum)).withColumn("status", F.when(good, "accepted").otherwise("invalid"))
+
+
+SPATIAL = ("row", "col", "pixel_index")
 
 
-def matrix_contract(matrix: DataFrame, label: str, image: str, key: str, classes: list[str], objects: DataFrame, spectrum: str = "spectrum") -> DataFrame:
+def matrix_contract(matrix: DataFrame, label: str, image: str, key: str, classes: list[str], objects: DataFrame, spectrum: str = "spectrum", level: str | None = None, spatial: tuple[str, ...] = SPATIAL) -> DataFrame:
     """Checks of a matrix, one row each with what breaks it: no rows, ragged bands, values that are not finite, bands
-    without variance, classes that are missing or not expected, objects that are not expected."""
+    without variance, rank 0, classes that are missing or not expected, objects that are not expected; with a ``level``, spatial
+    columns that a pixel matrix lacks or an object matrix has."""
     s = matrix_summary(matrix, label, image, spectrum)
     found = matrix.select(F.col(label).cast("string").alias("c")).distinct().agg(F.collect_set("c").alias("found"))  # classes are few
     strange = matrix.select(key).distinct().join(objects.select(key), key, "left_anti").agg(F.count("*").alias("strange"))
     wanted = F.array(*map(F.lit, classes))
     one = s.crossJoin(found).crossJoin(strange)
-    rows = [("not_empty", F.when(F.col("n_rows") == 0, 1).otherwise(0)), ("aligned", F.when(F.col("n_bands") == F.col("most_bands"), 0).otherwise(1)), ("finite", F.col("n_non_finite")), ("varying_bands", F.col("n_zero_variance_bands")), ("classes_present", F.size(F.array_except(wanted, "found"))), ("classes_expected", F.size(F.array_except("found", wanted))), ("two_classes", F.when(F.col("n_classes") >= 2, 0).otherwise(1)), ("objects_expected", F.col("strange"))]
+    rows = [
+        ("not_empty", F.when(F.col("n_rows") == 0, 1).otherwise(0)),
+        ("aligned", F.when(F.col("n_bands") == F.col("most_bands"), 0).otherwise(1)),
+        ("finite", F.col("n_non_finite")),
+        ("varying_bands", F.col("n_zero_variance_bands")),
+        ("rank_above_zero", F.when(F.col("matrix_rank") > 0, 0).otherwise(1)),
+        ("classes_present", F.size(F.array_except(wanted, "found"))),
+        ("classes_expected", F.size(F.array_except("found", wanted))),
+        ("two_classes", F.when(F.col("n_classes") >= 2, 0).otherwise(1)),
+        ("objects_expected", F.col("strange")),
+    ]
+    if level:
+        there = set(spatial) & set(matrix.columns)
+        rows.append(("spatial_columns", F.lit(len(set(spatial) - there) if level in ("pixel", "balanced_pixel") else len(there))))
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), c.cast("long").alias("n_broken")) for n, c in rows])).alias("x")).select("x.*").withColumn("passed", F.coalesce(F.col("n_broken"), F.lit(0)) == 0)
 
 

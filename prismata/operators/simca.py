@@ -1,6 +1,6 @@
 """One-class SIMCA: fits with all limits, ten rule variants, thresholds by grouped cross-validation, projections.
 
-A fit needs one Gram matrix per model. Cross-validation needs no pass per fold: the Gram matrix of a fold's training rows is
+A fit needs one QR factor per model. Cross-validation needs no pass per fold: the Gram matrix of a fold's training rows is
 that of all rows minus that of the rows held out. Scoring multiplies Arrow batches by the loadings, which are sent to the
 tasks up to a checked size; larger model tables are joined.
 """
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismata.operators.models import MODEL, chi2_inverse, grams, score
+from prismata.operators import factor
+from prismata.operators.models import MODEL, chi2_inverse, grams, score, solve_pca
 from prismata.plans.shared import materialize
 
 EPS = 1e-12
@@ -78,8 +79,10 @@ def quantile_udf(p: float):
 
 
 def eigensystems(rows: DataFrame, key: str, spectrum: str) -> DataFrame:
-    """Stored rows of MODEL per key: all components, so that one pass serves every number of them."""
-    return materialize(grams(rows, key, spectrum).groupBy("model").applyInPandas(_solve, MODEL), "simca-pca")
+    """Stored rows of MODEL per key, with the numerical ``rank`` of its rows: all components, so that one pass serves every
+    number of them."""
+    stored = factor.factors(rows, key, spectrum)
+    return materialize(solve_pca(stored).join(factor.ranks(stored).select("model", "rank"), "model"), "simca-pca")
 
 
 def fit(rows: DataFrame, key: str, spectrum: str, k: int, alpha: float, h_method: str = "theoretical", q_method: str = "box", pca: DataFrame | None = None) -> DataFrame:
@@ -94,7 +97,7 @@ def fit(rows: DataFrame, key: str, spectrum: str, k: int, alpha: float, h_method
     own = materialize(distances(rows.select(key, spectrum), pca, k, spectrum, key).select("model", "h", "q"), "simca-training")
     h0 = k * (F.col("n") - 1) / F.col("n")
     rest = F.filter(F.slice("eigenvalues", k + 1, 1_000_000), lambda x: x > EPS)
-    df = pca.withColumns({"h0": F.greatest(h0, F.lit(EPS)), "_rest": rest, "rank": F.size(F.filter("eigenvalues", lambda x: x > EPS))})
+    df = pca.withColumns({"h0": F.greatest(h0, F.lit(EPS)), "_rest": rest, "rank": F.col("rank") if "rank" in pca.columns else F.size(F.filter("eigenvalues", lambda x: x > EPS))})
     df = df.withColumns({"_q1": F.aggregate("_rest", F.lit(0.0), lambda a, x: a + x), "_q2": F.aggregate("_rest", F.lit(0.0), lambda a, x: a + x * x)})
     moments = own.join(df.select("model", F.col("h0").alias("_h0")), "model").groupBy("model").agg(F.avg("q").alias("_mq"), F.var_pop("q").alias("_vq"), F.avg((F.col("h") - F.col("_h0")) * (F.col("h") - F.col("_h0"))).alias("_vh"))
     df = df.join(moments, "model", "left")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismata.operators import raster
+from prismata.operators import distance, raster, runs
 from prismata.plans.components import connected_components
 from prismata.plans.shared import materialize
 
@@ -40,17 +40,15 @@ def extract_objects(pixels: DataFrame, label: str, least: int, spectrum: str = "
     return shape.join(lists, ["image", label]).select("*", *[F.col(f"b.{c}").alias(f"{c}_spectrum") for c in ("mean", "std", "median")]).drop("b")
 
 
-def border_distance(pixels: DataFrame, item: str, radius: int) -> DataFrame:
-    """``distance_to_border``: from each pixel to the nearest position of its object's box that is not the object's, up
-    to ``radius``; NULL means farther (the box's own edge is no background)."""
-    box = pixels.groupBy("image", item).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    steps = [(a, b) for a, b in raster._disk(radius) if (a, b) != (0, 0)]
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c"), F.lit(float(np.hypot(a, b))).alias("d")) for a, b in steps])).alias("o")
-    near = pixels.select("image", item, "row", "col").join(box, ["image", item]).select("image", item, "row", "col", "r0", "r1", "c0", "c1", o)
-    near = near.select("image", item, "row", "col", (F.col("row") + F.col("o.r")).alias("_r"), (F.col("col") + F.col("o.c")).alias("_c"), F.col("o.d").alias("d"), "r0", "r1", "c0", "c1").where("_r BETWEEN r0 AND r1 AND _c BETWEEN c0 AND c1")
-    own = pixels.select("image", item, F.col("row").alias("_r"), F.col("col").alias("_c"))
-    least = near.join(own, ["image", item, "_r", "_c"], "left_anti").groupBy("image", item, "row", "col").agg(F.min("d").alias("distance_to_border"))
-    return pixels.join(least, ["image", item, "row", "col"], "left")
+def border_distance(pixels: DataFrame, item: str, radius: int | None = None) -> DataFrame:
+    """``distance_to_border``: from each pixel to the nearest position of its object's box that is not the object's (the
+    box's own edge is no background); NULL where there is none, or, with a ``radius``, none that near."""
+    found = distance.to_background(pixels, item)
+    if radius is not None:
+        found = found.where(F.col("distance") <= radius)
+    at = ["image", item, "row", "col"]
+    on = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"d.{c}")) for c in at])
+    return pixels.alias("p").join(found.alias("d"), on, "left").select("p.*", F.col("d.distance").alias("distance_to_border"))
 
 
 def core_flag(distance: str, width: int) -> Column:
@@ -88,15 +86,19 @@ def resolve_truth(pixels: DataFrame, annotations: DataFrame, class_truth: Column
 
 
 def post_process(target: DataFrame, uncertain: DataFrame, valid: DataFrame, connectivity: int = 8, operation: str = "none", radius: int = 1, least: int = 0) -> DataFrame:
-    """The target mask after morphology, without small components. Uncertain and invalid pixels never become target."""
-    out = target.select(*AT).distinct()
-    if operation in ("opening", "opening_closing"):
-        out = raster.opening(out, radius)
-    if operation in ("closing", "opening_closing"):
-        out = raster.closing(out, radius)
+    """The target mask after morphology, without small components. Uncertain and invalid pixels are no target before it and
+    never become target. The raster of an image ends at its outermost valid pixels."""
+    free = lambda mask: mask.join(valid.select(*AT), AT, "left_semi").join(uncertain.select(*AT), AT, "left_anti")
+    out = free(target.select(*AT).distinct())
     if operation not in ("none", "opening", "closing", "opening_closing"):
         raise ValueError(operation)
-    out = out.join(valid.select(*AT), AT, "left_semi").join(uncertain.select(*AT), AT, "left_anti")
+    if operation != "none":
+        edge, found = runs.bounds(valid), runs.runs(out)
+        if operation != "closing":
+            found = runs.opening(found, radius, edge)
+        if operation != "opening":
+            found = runs.closing(found, radius, edge)
+        out = free(runs.pixels(found))
     return raster.remove_small(raster.components(out, connectivity), least).select(*AT) if least > 1 else out
 
 

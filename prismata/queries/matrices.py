@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from prismata.operators import chain, matrices, pca_metrics, sampling, simca
+from prismata.operators import chain, factor, matrices, models, pca_metrics, sampling, simca
 from prismata.plans.shared import materialize
-from prismata.registry import P, pixels, query, read, rounded
+from prismata.registry import BANDS, P, pixels, query, read, rounded
 
 
 @query("m2_all_pixels", f"{P}, v AS (SELECT *, list_transform(spectrum, lambda x: x - 0.75) AS s FROM p) SELECT vec_id, n_object FROM v JOIN (SELECT object, count(*) AS n_object FROM p GROUP BY object) USING (object) WHERE len(list_filter(s, lambda x: x <= 0)) = 0")
@@ -57,12 +57,12 @@ def _(s, d):
 
 @query(
     "m8_matrix_contract",
-    f"{P}, n AS (SELECT count(DISTINCT label) AS k FROM p), o AS (SELECT count(*) AS k FROM (SELECT DISTINCT object FROM p WHERE vec_id % 10 = 3 EXCEPT SELECT object FROM p WHERE vec_id % 10 <> 3)) SELECT unnest(['not_empty', 'aligned', 'finite', 'varying_bands', 'classes_present', 'classes_expected', 'two_classes', 'objects_expected']) AS \"check\", unnest([0, 0, 0, 0, 1, n.k - 2, 0, o.k]) AS n_broken, unnest([true, true, true, true, false, n.k = 2, true, o.k = 0]) AS passed FROM n, o",
+    f"{P}, n AS (SELECT count(DISTINCT label) AS k FROM p), o AS (SELECT count(*) AS k FROM (SELECT DISTINCT object FROM p WHERE vec_id % 10 = 3 EXCEPT SELECT object FROM p WHERE vec_id % 10 <> 3)) SELECT unnest(['not_empty', 'aligned', 'finite', 'varying_bands', 'rank_above_zero', 'classes_present', 'classes_expected', 'two_classes', 'objects_expected', 'spatial_columns']) AS \"check\", unnest([0, 0, 0, 0, 0, 1, n.k - 2, 0, o.k, 0]) AS n_broken, unnest([true, true, true, true, true, false, n.k = 2, true, o.k = 0, true]) AS passed FROM n, o",
 )
 def _(s, d):
     p = pixels(s, d)
     known = p.where("vec_id % 10 <> 3").select("object").distinct()
-    return sampling.matrix_contract(p, "label", "image", "object", ["0", "1", "none"], known)
+    return sampling.matrix_contract(p, "label", "image", "object", ["0", "1", "none"], known, level="pixel", spatial=("row", "col", "vec_id"))
 
 
 _NOBJ = P + ", o AS (SELECT object, min(label) AS label, min(image) AS image, count(*) AS n FROM p GROUP BY object)"
@@ -78,9 +78,23 @@ def _(s, d):
     return rounded(sampling.feasibility_grid(objects, "label", "image", "n", [1, 2, 3]))
 
 
-@query("m13_matrix_summary", f"{P} SELECT count(*) AS n_rows, 64 AS n_bands, count(DISTINCT label) AS n_classes, count(DISTINCT image) AS n_images, 0 AS n_non_finite, 0.0::DOUBLE AS zero_variance_rate FROM p")
+@query("m13_matrix_summary", f"{P} SELECT count(*) AS n_rows, 64 AS n_bands, count(DISTINCT label) AS n_classes, count(DISTINCT image) AS n_images, 0 AS n_non_finite, 0.0::DOUBLE AS zero_variance_rate, CAST(least(count(*), 64) AS INT) AS matrix_rank, 1.0::DOUBLE AS rank_ratio, 'accepted' AS status FROM p")
 def _(s, d):
-    return sampling.matrix_summary(pixels(s, d), "label", "image").select("n_rows", "n_bands", "n_classes", "n_images", "n_non_finite", "zero_variance_rate")
+    return sampling.matrix_summary(pixels(s, d), "label", "image").select("n_rows", "n_bands", "n_classes", "n_images", "n_non_finite", "zero_variance_rate", "matrix_rank", "rank_ratio", "status")
+
+
+@query(
+    "m13_rank_at_offset",
+    f"{BANDS}, v AS (SELECT label, band, var_samp(v) AS v FROM b GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM p GROUP BY label) SELECT CAST(label AS VARCHAR) AS model, n, 67 AS width, CAST(least(n, 64) AS INT) AS rank, CAST(least(n - 1, 64) AS INT) AS centred_rank, CAST(least(n, 64) AS BIGINT) AS n_independent, round(sum(v.v), 4) AS total_variance FROM n JOIN v USING (label) GROUP BY label, n",
+)
+def _(s, d):
+    """A million is added to every value, and three bands are sums of two others: rank, and the eigenvalues' sum without these."""
+    x = F.transform("spectrum", lambda v: v + 1e6)
+    p = pixels(s, d).select("label", x.alias("x")).withColumn("y", F.concat("x", F.array(F.col("x")[0] + F.col("x")[1], F.col("x")[2] - F.col("x")[3], F.col("x")[4] + F.col("x")[5])))
+    stored = factor.factors(p, "label", "y")
+    variance = models.fit_pca(p, "label", "x").select("model", F.aggregate("eigenvalues", F.lit(0.0), lambda a, v: a + v).alias("total_variance"))
+    found = factor.independent_bands(stored).groupBy("model").agg(F.count("*").alias("n_independent"))
+    return rounded(factor.ranks(stored).select("model", "n", "width", "rank", "centred_rank").join(found, "model").join(variance, "model"), 4)
 
 
 @query("m14_preprocessing_grid", f"{P}, e AS (SELECT vec_id, unnest(spectrum) AS v, generate_subscripts(spectrum, 1) AS band FROM p WHERE batch = 3), x AS (SELECT 'raw' AS chain, v FROM e UNION ALL SELECT 'absorbance', -log10(v) FROM e UNION ALL SELECT 'snv', (v - avg(v) OVER w) / stddev_samp(v) OVER w FROM e WINDOW w AS (PARTITION BY vec_id)) SELECT chain, (SELECT count(DISTINCT vec_id) FROM e) AS n_rows, 0 AS n_nan, 0 AS n_inf, round(min(v), 6) AS least, round(max(v), 6) AS largest, 0.0::DOUBLE AS zero_variance_rate, 'accepted' AS status FROM x GROUP BY chain")
@@ -231,13 +245,3 @@ def _(s, d):
         share = fit.select((F.aggregate(F.slice("eigenvalues", 1, 3), F.lit(0.0), lambda a, x: a + x) / F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x)).alias("explained"))
         out.append(share.crossJoin(q(train).withColumnRenamed("q", "train_q")).crossJoin(q(proj).withColumnRenamed("q", "projection_q")).select(F.lit(name).alias("chain"), "explained", "train_q", "projection_q"))
     return rounded(reduce(lambda a, b: a.unionByName(b), out))
-
-
-@query("g16_bootstrap_stability")
-def _(s, d):
-    """Whole-image bootstrap of the first components: per replicate one Gram matrix."""
-    p = pixels(s, d).where("batch < 3").select("image", "spectrum")
-    rows = pca_metrics.bootstrap_rows(p, "image", 5).select(F.concat(F.lit("1_"), F.col("replicate")).alias("run"), "spectrum").union(p.select(F.lit("0_all"), "spectrum"))
-    fit = simca.eigensystems(rows, "run", "spectrum").select(F.lit("all").alias("candidate"), F.col("model").alias("run"), "loadings")
-    table = pca_metrics.loading_stability(fit, "candidate", "run", 3).where("run <> '0_all'")
-    return rounded(table.groupBy("component").agg(F.avg("loading_abs_correlation").alias("mean_correlation"), F.max("loading_angle_deg").alias("worst_angle"), F.avg("subspace_similarity").alias("mean_similarity"), F.count("*").alias("n_runs")), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import raster, spatial
+from prismata.operators import raster, runs, spatial
 from prismata.plans.shared import materialize
 from prismata.registry import P, pixels, query, rounded
 
@@ -41,6 +41,31 @@ def _(s, d):
     return rounded(out.select("vec_id", "distance_to_border"))
 
 
+@query(
+    "r6_exact_distance",
+    f"{R}, b AS (SELECT image, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM r GROUP BY image, label), a AS (SELECT image, label, y AS row, x AS col FROM (SELECT image, label, c0, c1, unnest(range(r0, r1 + 1)) AS y FROM b), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS x)), "
+    "o AS (SELECT * FROM a ANTI JOIN r USING (image, label, row, col)) SELECT vec_id, round(min(sqrt(power(o.row - r.row, 2) + power(o.col - r.col, 2))), 6) AS distance_to_border FROM r LEFT JOIN o USING (image, label) GROUP BY vec_id",
+)
+def _(s, d):
+    return rounded(spatial.border_distance(ras(s, d), "label").select("vec_id", "distance_to_border"))
+
+
+_DISK2 = "(VALUES " + ", ".join(f"({a}, {b})" for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4) + ") o(dr, dc)"
+_DIL2 = f"d AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM r, {_DISK2} WHERE on_ AND spectrum[3] > 1.0)"
+
+
+@query("r3_dilation_by_disk", f"{R}, {_DIL2} SELECT image, row, col FROM d")
+def _(s, d):
+    return raster.dilate(ras(s, d).where(F.col("on") & (F.col("spectrum")[2] > 1.0)), 2)
+
+
+@query("r3_closing_at_borders", f"{R}, {_DIL2}, n AS (SELECT image, row, col FROM r ANTI JOIN d USING (image, row, col)), hurt AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM n, {_DISK2}) SELECT image, row, col FROM d JOIN r USING (image, row, col) ANTI JOIN hurt USING (image, row, col)")
+def _(s, d):
+    """Beyond the borders of an image there is neither mask nor background."""
+    df = ras(s, d)
+    return raster.closing(df.where(F.col("on") & (F.col("spectrum")[2] > 1.0)), 2, runs.bounds(df))
+
+
 @query("r6_core_flag", f"{R}, b AS (SELECT image, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM r GROUP BY image, label), x AS (SELECT x.image, x.vec_id, count(y.vec_id) > 0 AS border FROM r x JOIN b USING (image, label) LEFT JOIN r y ON y.image = x.image AND y.label <> x.label AND y.row BETWEEN r0 AND r1 AND y.col BETWEEN c0 AND c1 AND abs(y.row - x.row) + abs(y.col - x.col) = 1 GROUP BY x.image, x.vec_id) SELECT image, count_if(border) AS n_border, count_if(NOT border) AS n_core FROM x GROUP BY image")
 def _(s, d):
     out = spatial.border_distance(ras(s, d), "label", 1).withColumn("core", spatial.core_flag("distance_to_border", 1))
@@ -62,7 +87,11 @@ def _(s, d):
     return spatial.mixture_truth(keyed, refs, 1).select("vec_id", "available", "truth")
 
 
-@query("r8_post_processing", f"{R}, t AS (SELECT image, row, col FROM r WHERE on_), e AS (SELECT image, row + dr AS row, col + dc AS col FROM t, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc) GROUP BY ALL HAVING count(*) = 5), n AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM e, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc)) SELECT image, row, col FROM n JOIN r USING (image, row, col) WHERE NOT near")
+_CROSS = "(VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc)"
+_FREE = f"{R}, t AS (SELECT image, row, col FROM r WHERE on_ AND NOT near), hurt AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM r ANTI JOIN t USING (image, row, col), {_CROSS}), e AS (SELECT * FROM t ANTI JOIN hurt USING (image, row, col))"
+
+
+@query("r8_post_processing", f"{_FREE}, n AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM e, {_CROSS}) SELECT image, row, col FROM n JOIN r USING (image, row, col) WHERE NOT near")
 def _(s, d):
     df = ras(s, d)
     return spatial.post_process(df.where("on"), df.where("near"), df, operation="opening", radius=1)
