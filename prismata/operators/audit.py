@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.plans.nulls import join_same
+
 
 def split_leakage(df: DataFrame, group: str, role: str) -> DataFrame:
     """Groups that occur in more than one role; empty when the split is clean."""
@@ -74,5 +76,5 @@ def risk_coverage(df: DataFrame, by: list[str], confidence: str, grid: list[floa
     """At each coverage the error rate of the most confident rows, with the threshold that gives it."""
     cuts = df.groupBy(*by).agg(F.percentile(confidence, F.array(*[F.lit(1 - g) for g in grid])).alias("q"))
     cuts = cuts.select(*by, F.posexplode("q").alias("i", "threshold")).withColumn("coverage", F.element_at(F.array(*map(F.lit, grid)), F.col("i") + 1)).drop("i")
-    kept = df.join(cuts, by).where(F.col(confidence) >= F.col("threshold"))
+    kept = join_same(df, cuts, by).where(F.col(confidence) >= F.col("threshold"))
     return kept.groupBy(*by, "coverage").agg(F.count("*").alias("n"), F.avg((F.col("truth") != F.col("prediction")).cast("double")).alias("risk"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.operators.selection import pareto_front
+from prismata.plans.nulls import join_same
 
 
 def _same(a: list[Column], b: list[Column]) -> Column:
@@ -20,8 +21,9 @@ def front_with_witness(df: DataFrame, by: list[str], minimise: list[str], key: s
     front = pareto_front(df, by, minimise).select(*[F.col(c).alias(f"_f_{c}") for c in [*by, *minimise, key]])
     no_worse = reduce(lambda a, b: a & b, [F.col(f"_f_{g}") <= F.col(g) for g in minimise])
     better = reduce(lambda a, b: a | b, [F.col(f"_f_{g}") < F.col(g) for g in minimise])
-    met = df.join(front, _same([F.col(c) for c in by], [F.col(f"_f_{c}") for c in by]) & no_worse & better, "left")
-    out = met.groupBy(*df.columns).agg(F.min(f"_f_{key}").alias("witness"))
+    met = df.withColumn("_row", F.monotonically_increasing_id()).join(front, _same([F.col(c) for c in by], [F.col(f"_f_{c}") for c in by]) & no_worse & better, "left")
+    # equal rows are rows of their own
+    out = met.groupBy("_row").agg(F.first(F.struct(*df.columns)).alias("_v"), F.min(f"_f_{key}").alias("witness")).select("_v.*", "witness")
     return out.withColumn("on_front", F.col("witness").isNull())
 
 
@@ -116,7 +118,7 @@ def unit_diagnostics(df: DataFrame, unit: list[str], variant: str, metrics: list
     covered = df.groupBy(*unit).agg((F.size(F.array_except(F.array(*map(F.lit, expected)), F.collect_set(F.col(variant).cast("string")))) == 0).alias("covered"))
     long = df.select(*unit, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(unit, metrics, "metric", "value")
     stats = long.groupBy(*unit, "metric").agg(F.min("value").alias("least"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("largest"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"))
-    return stats.join(covered, unit)
+    return join_same(stats, covered, unit)
 
 
 def artifact_gate(artifacts: DataFrame, reviews: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -164,5 +166,5 @@ def diverse_picks(df: DataFrame, family: str, order: list, n: int, per_family: i
 def picked_images(df: DataFrame, config: str, image: str, metric: str) -> DataFrame:
     """Per configuration its worst, best and most middling image by a metric (ties by name)."""
     m = df.groupBy(config).agg(F.percentile(metric, 0.5).alias("_m"), F.min(F.struct((-F.col(metric)).alias("v"), image))[image].alias("worst"), F.min(F.struct(metric, image))[image].alias("best"))
-    mid = df.join(m, config).groupBy(config, "worst", "best").agg(F.min(F.struct(F.abs(F.col(metric) - F.col("_m")).alias("v"), image))[image].alias("middle"))
+    mid = join_same(df, m, [config]).groupBy(config, "worst", "best").agg(F.min(F.struct(F.abs(F.col(metric) - F.col("_m")).alias("v"), image))[image].alias("middle"))
     return mid

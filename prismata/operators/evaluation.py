@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.operators.catalog import join_once
 from prismata.operators.decisions import rates
 from prismata.operators.selection import pareto_front
+from prismata.plans.nulls import join_same
 
 Z95 = 1.959963984540054
 
@@ -25,13 +27,14 @@ def decide_by_config(objects: DataFrame, thresholds: DataFrame, key: str, ratio:
 
 
 def decision_shares(df: DataFrame, by: list[str], decision: str = "decision") -> DataFrame:
-    return df.groupBy(*by, decision).agg(F.count("*").alias("n")).join(df.groupBy(*by).agg(F.count("*").alias("n_all")), by).select(*by, decision, "n", (F.col("n") / F.col("n_all")).alias("rate"))
+    return join_same(df.groupBy(*by, decision).agg(F.count("*").alias("n")), df.groupBy(*by).agg(F.count("*").alias("n_all")), by).select(*by, decision, "n", (F.col("n") / F.col("n_all")).alias("rate"))
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Chosen columns of ``facts``, one row a key, on rows of that key; columns that rows have already stay theirs."""
+    """Chosen columns of ``facts`` on rows of their key; columns that rows have already stay theirs. A key that ``facts`` has
+    twice is an error."""
     new = [c for c in columns if c not in rows.columns]
-    return rows.join(facts.select(*key, *new).dropDuplicates(key), key, "left")
+    return join_once(rows, facts.select(*key, *new), key, "left") if new else rows
 
 
 def object_threshold_grid(objects: DataFrame, thresholds: list[float], by: list[str], ratio: str = "ratio") -> DataFrame:

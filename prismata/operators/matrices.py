@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.operators import nearest
+from prismata.plans.nulls import join_same
 
 
 def object_matrix(pixels: DataFrame, keys: list[str], spectrum: str = "spectrum", median: bool = False) -> DataFrame:
@@ -69,10 +70,10 @@ def robust_outliers(objects: DataFrame, by: list[str], key: str, spectrum: str =
     """Distance of an object: the median over bands of |x - group median| / group MAD (0 or infinite where MAD is 0)."""
     long = objects.select(*by, key, F.posexplode(spectrum).alias("band", "v"))
     centre = long.groupBy(*by, "band").agg(F.percentile("v", 0.5).alias("centre"))
-    gaps = long.join(centre, [*by, "band"]).withColumn("gap", F.abs(F.col("v") - F.col("centre")))
+    gaps = join_same(long, centre, [*by, "band"]).withColumn("gap", F.abs(F.col("v") - F.col("centre")))
     mad = gaps.groupBy(*by, "band").agg(F.percentile("gap", 0.5).alias("mad"))
     ratio = F.when(F.col("mad") > eps, F.col("gap") / F.col("mad")).when(F.col("gap") <= eps, 0.0).otherwise(float("inf"))
-    out = gaps.join(mad, [*by, "band"]).groupBy(*by, key).agg(F.percentile(ratio, 0.5).alias("distance"))
+    out = join_same(gaps, mad, [*by, "band"]).groupBy(*by, key).agg(F.percentile(ratio, 0.5).alias("distance"))
     return out.withColumn("outlier", F.col("distance") > threshold)
 
 

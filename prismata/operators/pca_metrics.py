@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismata.plans.nulls import join_same
+
 UNNAMED = ("None", "nan", "unknown")
 
 
@@ -98,7 +100,7 @@ def projection_shift(train: DataFrame, projected: DataFrame, label: str, k: int
     """One row: mean and largest centroid shift over shared labels, plain and over the square root of the train trace."""
     t = train.groupBy(label).agg(*_means(k, scores), F.count("*").alias("n"), _variances(k, scores).alias("trace"))
     p = projected.groupBy(label).agg(*[F.avg(F.col(scores)[i]).alias(f"p{i}") for i in range(k)])
-    d = t.join(p, label).withColumn("shift", _norm([F.col(f"m{i}") - F.col(f"p{i}") for i in range(k)]))
+    d = join_same(t, p, [label]).withColumn("shift", _norm([F.col(f"m{i}") - F.col(f"p{i}") for i in range(k)]))
     norm = F.col("shift") / (F.when(F.col("n") > 1, F.sqrt("trace")).otherwise(eps) + eps)
     return d.agg(F.avg("shift").alias("mean_shift"), F.max("shift").alias("max_shift"), F.avg(norm).alias("mean_shift_norm"), F.max(norm).alias("max_shift_norm"))
 

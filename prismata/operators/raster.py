@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismata.operators import runs, tiles
+from prismata.plans.nulls import join_same
 
 AT = ["image", "row", "col"]
 
@@ -18,7 +19,7 @@ def _disk(radius: int) -> list[tuple[int, int]]:
 def dilate(mask: DataFrame, radius: int, within: DataFrame | None = None) -> DataFrame:
     """``within`` bounds the raster: only its pixels come back."""
     out = runs.pixels(runs.dilate(runs.runs(mask), radius))
-    return out.join(within.select(*AT), AT, "left_semi") if within is not None else out
+    return join_same(out, within.select(*AT), AT, "left_semi") if within is not None else out
 
 
 def erode(mask: DataFrame, radius: int, bounds: DataFrame | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def component_table(labelled: DataFrame) -> DataFrame:
 
 def remove_small(labelled: DataFrame, least: int) -> DataFrame:
     keep = labelled.groupBy("image", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return labelled.join(keep.select("image", "label"), ["image", "label"], "left_semi")
+    return join_same(labelled, keep.select("image", "label"), ["image", "label"], "left_semi")
 
 
 def mask_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -61,7 +62,7 @@ def component_iou(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("overlap"))
     area_a = df.where(F.col(a).isNotNull()).groupBy(*by, a).agg(F.count("*").alias("area_a"))
     area_b = df.where(F.col(b).isNotNull()).groupBy(*by, b).agg(F.count("*").alias("area_b"))
-    out = pairs.join(area_a, [*by, a]).join(area_b, [*by, b])
+    out = join_same(join_same(pairs, area_a, [*by, a]), area_b, [*by, b])
     return out.withColumn("iou", F.col("overlap") / (F.col("area_a") + F.col("area_b") - F.col("overlap")))
 
 
@@ -75,10 +76,10 @@ def fill_holes(mask: DataFrame, within: DataFrame) -> DataFrame:
     """The mask and its holes: background components, by edges only, that do not reach the border of the raster.
     ``within`` holds all pixels of each raster; its extreme rows and columns are the border."""
     border = within.groupBy("image").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    background = components(within.select(*AT).join(mask.select(*AT), AT, "left_anti"), 4)
+    background = components(join_same(within.select(*AT), mask.select(*AT), AT, "left_anti"), 4)
     on_border = F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1"))
-    outside = background.join(border, "image").where(on_border).select("image", "label").distinct()
-    return mask.select(*AT).unionByName(background.join(outside, ["image", "label"], "left_anti").select(*AT))
+    outside = join_same(background, border, ["image"]).where(on_border).select("image", "label").distinct()
+    return mask.select(*AT).unionByName(join_same(background, outside, ["image", "label"], "left_anti").select(*AT))
 
 
 def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radius: int = 0, closing_radius: int = 1, holes: bool = True, connectivity: int = 4) -> DataFrame:
@@ -89,7 +90,7 @@ def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radi
         out = runs.opening(out, opening_radius, edge)
     if closing_radius:
         out = runs.closing(out, closing_radius, edge)
-    out = runs.pixels(out).join(within.select(*AT), AT, "left_semi")
+    out = join_same(runs.pixels(out), within.select(*AT), AT, "left_semi")
     if holes:
         out = fill_holes(out, within)
     return remove_small(components(out, connectivity), least).select(*AT)
@@ -99,5 +100,5 @@ def manual_labels(labelled: DataFrame, manual: DataFrame) -> DataFrame:
     """``manual(image, row, col, manual)`` decides where it has a row: its label replaces that of the pixel, and a NULL
     takes the pixel out of its component."""
     m = manual.select(*AT, "manual", F.lit(True).alias("_by_hand"))
-    out = labelled.join(m, AT, "left").withColumn("label", F.when(F.col("_by_hand"), F.col("manual")).otherwise(F.col("label")))
+    out = join_same(labelled, m, AT, "left").withColumn("label", F.when(F.col("_by_hand"), F.col("manual")).otherwise(F.col("label")))
     return out.drop("manual", "_by_hand").where("label IS NOT NULL")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismata.operators.decisions import three_way_rates
+from prismata.plans.nulls import join_same
 
 # fixed values: decisions of a review and the status each leads to
 STATUS = {"accept_as_is": "accepted", "exclude": "excluded", "correct_segmentation": "needs_new_cycle"}
@@ -96,7 +97,7 @@ def crossfit_rates(df: DataFrame, score: str, by: list[str], fold: str, centre:
     cuts = spread.groupBy(*by, "evaluation_fold").agg(cut(F.col("_s") < centre, lower).alias("lower"), cut(F.col("_s") > centre, upper).alias("upper"))
     held = df.select(*by, score, "truth", F.explode(F.array(F.col(fold).cast("long"), F.lit(-1).cast("long"))).alias("evaluation_fold"))
     d = F.when(F.col(score) >= F.col("upper"), "target").when(F.col(score) <= F.col("lower"), "non_target").otherwise("uncertain")
-    return three_way_rates(held.join(cuts, [*by, "evaluation_fold"]).withColumn("decision", d), [*by, "evaluation_fold", "lower", "upper"])
+    return three_way_rates(join_same(held, cuts, [*by, "evaluation_fold"]).withColumn("decision", d), [*by, "evaluation_fold", "lower", "upper"])
 
 
 def aggregate_policies(df: DataFrame, by: list[str], run: list[str], metric: str, value: str, metrics: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismata.operators.selection import pareto_front
+from prismata.plans.nulls import join_same
 
 
 def _same(a: list[str], b: list[str]) -> Column:
@@ -122,7 +123,7 @@ def coverage_of(pairs: DataFrame) -> DataFrame:
 
 def practical_effects(df: DataFrame, tolerances: DataFrame, metric: str = "metric", delta: str = "delta") -> DataFrame:
     """Whether a difference is within its metric's tolerance, and which side is better (``higher_is_better``)."""
-    out = df.join(F.broadcast(tolerances), metric)  # a row a metric
+    out = join_same(df, tolerances, [metric])  # a row a metric
     better = F.when(F.col("higher_is_better"), F.col(delta)).otherwise(-F.col(delta))
     status = F.when(F.col(delta).isNull() | F.isnan(delta), "not_estimable").when(F.abs(delta) <= F.col("tolerance"), "within_tolerance").otherwise("outside_tolerance")
     return out.withColumn("effect_status", status).withColumn("direction", F.when(F.col("effect_status") != "outside_tolerance", "no_practical_difference").when(better > 0, "alternative_better").otherwise("reference_better"))
@@ -176,7 +177,7 @@ def stratified_shift(train: DataFrame, projected: DataFrame, key: str, value: st
     gap = F.col(value) - F.col("_m")
     z = F.when(F.col("_s") > 0, gap / F.nullif("_s", F.lit(0.0))).when(gap == 0, 0.0).when(gap > 0, float("inf")).otherwise(float("-inf"))
     cells = F.explode(F.array(F.struct(F.lit("overall").alias("stratum"), F.lit("all").alias("level")), *[F.struct(F.lit(n).alias("stratum"), F.col(c).cast("string").alias("level")) for n, c in strata.items()])).alias("x")
-    df = projected.join(ref, key).withColumn("z", z).select(key, "z", cells).select(key, "z", "x.*")
+    df = join_same(projected, ref, [key]).withColumn("z", z).select(key, "z", cells).select(key, "z", "x.*")
     out = df.groupBy(key, "stratum", "level").agg(F.count("z").alias("n"), F.avg(F.when(F.abs("z") < float("inf"), F.col("z"))).alias("_z"), F.max(F.when(F.col("z") == float("inf"), 1).otherwise(0)).alias("_up"), F.max(F.when(F.col("z") == float("-inf"), 1).otherwise(0)).alias("_down"))
     mean = F.when((F.col("_up") == 1) & (F.col("_down") == 1), float("nan")).when(F.col("_up") == 1, float("inf")).when(F.col("_down") == 1, float("-inf")).otherwise(F.col("_z"))
     return out.withColumns({"mean_z": mean, "status": F.when(F.col("n") < least, "not_estimable").otherwise("estimable")}).drop("_z", "_up", "_down")
@@ -191,7 +192,7 @@ def track_eligibility(shift: DataFrame, tracks: DataFrame, track: str, value: st
 
 def expand_projections(fits: DataFrame, contracts: DataFrame, family: str, fit_id: str) -> DataFrame:
     """Each fit with every track of its family, and ids of the projection (fit and level) and the evaluation (and mode)."""
-    df = fits.join(F.broadcast(contracts), family)  # tracks are a table of the protocol
+    df = join_same(fits, contracts, [family])  # tracks are a table of the protocol
     ident = lambda prefix, cols: F.concat(F.lit(prefix), F.substring(F.sha2(F.to_json(F.struct(*cols)), 256), 1, 20))
     return df.withColumns({"projection_id": ident("prj_", [fit_id, "projection_level"]), "evaluation_id": ident("evl_", [fit_id, "projection_level", "decision_mode"])})
 
@@ -254,7 +255,7 @@ def segmentation_diagnostics(pixels: DataFrame, item: str, least: int, merged_ab
     frame = pixels.groupBy("image").agg(F.min("row").alias("R0"), F.max("row").alias("R1"), F.min("col").alias("C0"), F.max("col").alias("C1"))
     o = pixels.where(F.col(item).isNotNull()).groupBy("image", item).agg(F.count("*").alias("area"), F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"))
     med = o.groupBy("image").agg(F.percentile("area", 0.5).alias("median_area"))
-    o = o.join(frame, "image").join(med, "image")
+    o = join_same(join_same(o, frame, ["image"]), med, ["image"])
     touches = (F.col("min_row") <= F.col("R0") + margin) | (F.col("max_row") >= F.col("R1") - margin) | (F.col("min_col") <= F.col("C0") + margin) | (F.col("max_col") >= F.col("C1") - margin)
     fill = F.col("area") / ((F.col("max_row") - F.col("min_row") + 1) * (F.col("max_col") - F.col("min_col") + 1))
     return o.withColumns({"fill_ratio": fill, "touches_border": touches, "too_small": F.col("area") < least, "maybe_merged": F.col("area") > merged_above * F.col("median_area")}).drop("R0", "R1", "C0", "C1")
@@ -263,7 +264,7 @@ def segmentation_diagnostics(pixels: DataFrame, item: str, least: int, merged_ab
 def object_quality(segmented: DataFrame, invalid_pixels: DataFrame, item: str) -> DataFrame:
     """Geometry joined with the number of invalid pixels: excluded (no valid pixel), warning (small, merged, at the border or
     with invalid pixels) or accepted."""
-    df = segmented.join(invalid_pixels, ["image", item], "left").fillna(0, ["n_invalid"])
+    df = join_same(segmented, invalid_pixels, ["image", item], "left").fillna(0, ["n_invalid"])
     return df.withColumn("qc_status", F.when(F.col("n_invalid") >= F.col("area"), "excluded").when(F.col("too_small") | F.col("maybe_merged") | F.col("touches_border") | (F.col("n_invalid") > 0), "warning").otherwise("accepted"))
 
 

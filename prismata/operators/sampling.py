@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prismata.functions import spectra as sp
 from prismata.operators import factor
 from prismata.operators.matrices import object_matrix
+from prismata.plans.nulls import join_same
 
 
 def hash_order(seed: Column, *parts: str) -> Column:
@@ -23,7 +24,7 @@ def all_pixels(pixels: DataFrame, objects: DataFrame, key: str, spectrum: str =
 def centre_distance(pixels: DataFrame, by: list[str]) -> DataFrame:
     """``centre_distance``: from each pixel to the centroid of its object."""
     centre = pixels.groupBy(*by).agg(F.avg("row").alias("_r"), F.avg("col").alias("_c"))
-    return pixels.join(centre, by).withColumn("centre_distance", F.hypot(F.col("row") - F.col("_r"), F.col("col") - F.col("_c"))).drop("_r", "_c")
+    return join_same(pixels, centre, by).withColumn("centre_distance", F.hypot(F.col("row") - F.col("_r"), F.col("col") - F.col("_c"))).drop("_r", "_c")
 
 
 def draw(pixels: DataFrame, by: list[str], m: int, order: list, policy: str = "short") -> DataFrame:
@@ -47,7 +48,7 @@ def selection_diagnostics(pixels: DataFrame, drawn: DataFrame, by: list[str], pi
     """Per object raw, valid, invalid and selected pixels, and a hash of the selection (of m pixels at most)."""
     raw = pixels.groupBy(*by).agg(F.count("*").alias("n_raw"), F.count_if(valid).alias("n_available"))
     chosen = drawn.groupBy(*by).agg(F.count("*").alias("n_selected"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(pixel))), ","), 256).alias("selection_hash"), F.max("status").alias("status"))
-    return raw.join(chosen, by, "left").withColumn("n_invalid", F.col("n_raw") - F.col("n_available")).fillna(0, ["n_selected"]).fillna("none", ["status"])
+    return join_same(raw, chosen, by, "left").withColumn("n_invalid", F.col("n_raw") - F.col("n_available")).fillna(0, ["n_selected"]).fillna("none", ["status"])
 
 
 # fixed values: names of matrix methods and their families

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from prismata.operators import factor
 from prismata.operators.models import MODEL, chi2_inverse, grams, score, solve_pca
+from prismata.plans.nulls import join_same
 from prismata.plans.shared import materialize
 
 EPS = 1e-12
@@ -165,11 +166,11 @@ def higher_quantiles(df: DataFrame, by: list[str], value: str, q: float) -> Data
     one = [F.lit(0).alias("_one")] if not by else []
     on = by or ["_one"]
     df, sketch = (df.select("*", *one), sketch.select("*", *one)) if one else (df, sketch)
-    near = df.join(sketch, on)
+    near = join_same(df, sketch, on)
     below = near.groupBy(*on).agg(F.count_if(F.col("_v") < F.col("_b")[0]).alias("_below"))
     counts = near.where((F.col("_v") >= F.col("_b")[0]) & (F.col("_v") <= F.col("_b")[1])).groupBy(*on, "_v", "_n").agg(F.count("*").alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*on).orderBy("_v"))
-    counts = counts.join(below, on).withColumn("_upto", F.col("_below") + upto)
+    counts = join_same(counts, below, on).withColumn("_upto", F.col("_below") + upto)
     return counts.where(F.col("_upto") > F.ceil(F.lit(q) * (F.col("_n") - 1))).groupBy(*on).agg(F.min("_v").alias("quantile")).drop("_one")
 
 
