@@ -113,6 +113,10 @@ class Chain:
             return sp.apply_matrix(s, sp.savgol_matrix(self.bands, self.window, self.order, SG[step], self.delta))
         return s
 
+    def msc_by(self, s: Column, reference: Column, at: int) -> Column:
+        """The steps from ``at`` (an MSC) on, with a reference that is a column."""
+        return reduce(lambda x, i: self._step(i, x), range(at + 1, len(self.steps)), sp.msc(s, reference, self.eps))
+
     def fit(self, df: DataFrame, spectrum: str = "spectrum") -> Chain:
         rows = df.where(row_valid(spectrum, self.steps, self.nonpositive)).select(spectrum)
         first = rows.first()

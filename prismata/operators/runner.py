@@ -1,129 +1,97 @@
-"""Grids of SIMCA configurations over pixel tables: fits, projections, votes and rates, with failures as rows.
-
-A pixel table has ``object``, ``image``, ``class`` and ``spectrum``. Configurations of one data setting (chain, sampling,
-seed) share the transformed rows and one eigensystem, whose first k components serve every k.
-"""
+"""Runs of SIMCA configurations over pixel tables: grids, folds, locked batches, held-out tests and mixtures. All of them
+are grids of one plan (``grid.fit_grid``) with their own splits; failures are rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismata.operators import simca
-from prismata.operators.chain import Chain, catalogue
+from prismata.operators import grid
+from prismata.operators.catalog import join_covered
 from prismata.operators.decisions import rates
-from prismata.operators.matrices import balanced_pixels
-from prismata.plans.shared import materialize
+from prismata.operators.grid import Config
+from prismata.plans.nulls import join_same
+from prismata.sources.tables import stable_id
 
+_ID = ["chain", "k", "variant", "alpha", "m", "seed"]
 
-@dataclass(frozen=True)
-class Config:
-    """A model configuration; ``m`` pixels per object are drawn by seed, or all are taken (None)."""
 
-    chain: str
-    k: int
-    variant: str = "simple_chi2"
-    alpha: float = 0.05
-    m: int | None = None
-    seed: int = 0
-    window: int = 9
-    order: int = 2
+def settings_of(settings: list[tuple[str, list[int], list[str]]], alpha: float) -> list[Config]:
+    """Chain, numbers of components and rules as configurations."""
+    return [Config(name, k, rule, alpha) for name, ks, rules in settings for k in ks for rule in rules]
 
-    @property
-    def data(self) -> tuple:
-        return (self.chain, self.m, self.seed, self.window, self.order)
 
+def run_grid(train: DataFrame, projected: DataFrame, configs: list[Config], target: str, thresholds: list[float]) -> DataFrame:
+    """Per configuration and object threshold the rates of object decisions on the projected rows; a configuration
+    that cannot be fitted gives one row with its ``error``. Truth of an object is its class."""
+    out = grid.fit_grid(grid.simple_roles(train, projected), configs, target).metrics(thresholds)
+    return out.drop("setting", "split")
 
-def sample(rows: DataFrame, m: int | None, seed: int, pixel: str = "vec_id") -> DataFrame:
-    if m is None:
-        return rows
-    order = F.struct(F.xxhash64(F.lit(seed), "object", pixel), F.col(pixel))
-    return balanced_pixels(rows, ["object"], m, order).drop("draw", "n_available")
 
+def out_of_fold_grid(rows: DataFrame, fold: str, target: str, settings: list[tuple[str, list[int], list[str]]], alpha: float = 0.05) -> grid.Grid:
+    """Every fold under models of the others, with the tables, events and diagnostics of ``grid.Grid``."""
+    return grid.fit_grid(grid.fold_roles(rows, fold), settings_of(settings, alpha), target)
 
-def _prepared(train: DataFrame, c: Config, target: str) -> tuple[Chain, DataFrame, DataFrame]:
-    """The fitted chain, its stored target rows and their eigensystem."""
-    chosen = sample(train, c.m, c.seed)
-    chain = Chain(catalogue()[c.chain], c.window, c.order).fit(chosen)
-    rows = materialize(chain.transform(chosen.where(F.col("class") == target)).select("class", "spectrum"), "grid-train")
-    return chain, rows, simca.eigensystems(rows, "class", "spectrum")
 
+def out_of_fold(rows: DataFrame, fold: str, target: str, settings: list[tuple[str, list[int], list[str]]], alpha: float = 0.05) -> DataFrame:
+    """The pixels of ``out_of_fold_grid``: one row per pixel, k and rule with statistic, limit, ratio and margin."""
+    p = out_of_fold_grid(rows, fold, target, settings, alpha).pixels()
+    return p.select(F.col("split").cast(rows.schema[fold].dataType).alias(fold), "chain", "k", F.col("variant").alias("rule"), "vec_id", "object", "image", "truth", "h", "q", "statistic", "limit", "ratio", "margin")
 
-def _failure(c: Config, fit: DataFrame | None) -> str | None:
-    if fit is None:
-        return "chain_failed"
-    r = fit.select("status").first()
-    return "no_target_row" if r is None else (None if r["status"] == "ok" else r["status"])
 
+def locked_refit(rows: DataFrame, train_batches: list[int], projection_batches: list[int], forbidden: list[int], target: str, settings: list[tuple[str, list[int], list[str]]], alpha: float = 0.05) -> DataFrame:
+    """One projection of the validation batches per setting, with its ``projection_id``: batches and configuration decide
+    it. Batches must not overlap, and none may be forbidden."""
+    if set(train_batches) & set(projection_batches) or (set(train_batches) | set(projection_batches)) & set(forbidden):
+        raise ValueError("training, projection and forbidden batches must be apart")
+    train, proj = rows.where(F.col("batch").isin(train_batches)), rows.where(F.col("batch").isin(projection_batches))
+    p = grid.fit_grid(grid.simple_roles(train, proj), settings_of(settings, alpha), target).pixels()
+    p = p.withColumns({"_train": F.lit(",".join(map(str, sorted(train_batches)))), "_proj": F.lit(",".join(map(str, sorted(projection_batches))))})
+    ident = stable_id("prj", ["_train", "_proj", "chain", "matrix", "k", "variant", "alpha", "m", "seed"])
+    return p.select(ident.alias("projection_id"), "chain", "k", F.col("variant").alias("rule"), "vec_id", "object", "image", "class", "truth", "h", "q", "statistic", "limit", "ratio", "margin")
 
-_ID = ["chain", "k", "variant", "alpha", "m", "seed"]
 
+@dataclass
+class HeldOut:
+    """Outputs of configurations on held-out rows; two-way decisions are those of the rules, three-way ones of thresholds."""
 
-def _named(df: DataFrame, c: Config) -> DataFrame:
-    values = {"chain": F.lit(c.chain), "k": F.lit(c.k), "variant": F.lit(c.variant), "alpha": F.lit(c.alpha), "m": F.lit(c.m).cast("int"), "seed": F.lit(c.seed)}
-    return df.select(*[v.alias(n) for n, v in values.items()], *df.columns)
+    pixels: DataFrame
+    objects: DataFrame
+    by: list[str]
 
+    def two_way(self, level: str = "objects", image: bool = False) -> DataFrame:
+        """Rates per configuration (and image) of object votes (half of the pixels or more) or pixel decisions."""
+        df = self.objects.withColumn("prediction", F.col("ratio") >= 0.5) if level == "objects" else self.pixels.withColumn("prediction", F.col("decision"))
+        return df.groupBy(*self.by, *(["image"] if image else [])).agg(F.count("*").alias("n"), *rates())
 
-def run_grid(train: DataFrame, projected: DataFrame, configs: list[Config], target: str, thresholds: list[float]) -> DataFrame:
-    """Per configuration and object threshold the rates of object decisions on the projected rows; a configuration
-    that cannot be fitted gives one row with its ``error``. Truth of an object is its class."""
-    parts = []
-    for data in dict.fromkeys(c.data for c in configs):
-        mine = [c for c in configs if c.data == data]
-        try:
-            chain, rows, pca = _prepared(train, mine[0], target)
-        except ValueError as e:
-            parts += [_named(train.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(str(e)).alias("error")), c) for c in mine]
-            continue
-        ready = materialize(chain.transform(sample(projected, mine[0].m, mine[0].seed)).select("object", "class", "spectrum"), "grid-projection")
-        scored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-        for c in mine:
-            if (c.k, c.alpha) not in scored:
-                f = simca.fit(rows, "class", "spectrum", c.k, c.alpha, pca=pca)
-                scored[c.k, c.alpha] = (f, simca.distances(ready, f, c.k, "spectrum"))
-            f, dist = scored[c.k, c.alpha]
-            if error := _failure(c, f):
-                parts.append(_named(train.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(error).alias("error")), c))
-                continue
-            long = simca.project(dist, f, variants=[c.variant])
-            votes = long.groupBy("object").agg(F.avg(F.col("decision").cast("double")).alias("ratio"), (F.max("class") == target).alias("truth"))
-            grid = votes.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).withColumn("prediction", F.col("ratio") >= F.col("threshold"))
-            parts.append(_named(grid.groupBy("threshold").agg(*rates(), F.lit(None).cast("string").alias("error")), c))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
+    def three_way(self, image: bool = False) -> DataFrame:
+        """Per configuration (and image): objects, misses, false accepts and uncertain ones of the three-way decision."""
+        t, d = F.col("truth"), F.col("decision")
+        out = self.objects.groupBy(*self.by, *(["image"] if image else [])).agg(F.count("*").alias("n_objects"), F.count_if(t).alias("n_target"), F.count_if(t & (d == "non_target")).alias("n_missed"), F.count_if(~t & (d == "target")).alias("n_false_accepted"), F.count_if(d == "uncertain").alias("n_uncertain"))
+        n, nt = F.col("n_objects"), F.col("n_target")
+        return out.withColumns({"miss_rate": F.try_divide("n_missed", nt), "false_accept_rate": F.try_divide(F.col("n_false_accepted"), n - nt), "uncertain_rate": F.try_divide("n_uncertain", n), "coverage": 1 - F.try_divide("n_uncertain", n)})
 
 
-def out_of_fold(rows: DataFrame, fold: str, target: str, settings: list[tuple[str, list[int], list[str]]], alpha: float = 0.05) -> DataFrame:
-    """Every fold projected with models of the others: ``settings`` lists chain, numbers of components and rules. One
-    row per pixel, k and rule with statistic, limit, ratio and margin; a fold's chain and eigensystem serve every k."""
-    parts = []
-    for name, ks, rules in settings:
-        for f in sorted(r[0] for r in rows.select(fold).distinct().collect()):  # folds are a handful by design
-            chain, train, pca = _prepared(rows.where(F.col(fold) != f), Config(name, max(ks)), target)
-            held = materialize(chain.transform(rows.where(F.col(fold) == f)).select("vec_id", "object", "image", "class", "spectrum"), "held-out")
-            for k in ks:
-                fitted = simca.fit(train, "class", "spectrum", k, alpha, pca=pca)
-                long = simca.project(simca.distances(held, fitted, k, "spectrum"), fitted, variants=rules)
-                parts.append(long.select(F.lit(f).alias(fold), F.lit(name).alias("chain"), F.lit(k).alias("k"), "rule", "vec_id", "object", "image", (F.col("class") == target).alias("truth"), "h", "q", "statistic", "limit", "ratio", "margin"))
-    return reduce(DataFrame.unionByName, parts)
+def held_out_test(train: DataFrame, test: DataFrame, configs: list[Config], target: str, thresholds: DataFrame) -> HeldOut:
+    """Refit locked configurations on ``train``, score ``test`` and decide: an object is target from the ``upper`` share of
+    accepted pixels on, non-target up to the ``lower``, uncertain between. ``thresholds`` has ``_ID``, lower and upper (and
+    more columns, such as a track, that stay); a configuration without thresholds is an error."""
+    g = grid.fit_grid(grid.simple_roles(train, test), configs, target)
+    p = join_covered(g.pixels(), thresholds, _ID, "upper")
+    o = join_covered(g.objects(), thresholds, _ID, "upper")
+    decision = F.when(F.col("ratio") >= F.col("upper"), "target").when(F.col("ratio") <= F.col("lower"), "non_target").otherwise("uncertain")
+    more = [c for c in thresholds.columns if c not in (*_ID, "lower", "upper")]
+    return HeldOut(p, o.withColumn("decision", decision), [*_ID, *more])
 
 
-def locked_refit(rows: DataFrame, train_batches: list[int], projection_batches: list[int], forbidden: list[int], target: str, settings: list[tuple[str, list[int], list[str]]], alpha: float = 0.05) -> DataFrame:
-    """One projection of the validation batches per setting. Batches must not overlap, and none may be forbidden."""
-    if set(train_batches) & set(projection_batches) or (set(train_batches) | set(projection_batches)) & set(forbidden):
-        raise ValueError("training, projection and forbidden batches must be apart")
-    parts = []
-    train, proj = rows.where(F.col("batch").isin(train_batches)), rows.where(F.col("batch").isin(projection_batches))
-    for name, ks, rules in settings:
-        chain, fitted_rows, pca = _prepared(train, Config(name, max(ks)), target)
-        ready = materialize(chain.transform(proj).select("vec_id", "object", "image", "class", "spectrum"), "locked-projection")
-        for k in ks:
-            f = simca.fit(fitted_rows, "class", "spectrum", k, alpha, pca=pca)
-            long = simca.project(simca.distances(ready, f, k, "spectrum"), f, variants=rules)
-            parts.append(long.select(F.lit(name).alias("chain"), F.lit(k).alias("k"), "rule", "vec_id", "object", "image", (F.col("class") == target).alias("truth"), "ratio", "margin"))
-    return reduce(DataFrame.unionByName, parts)
+def mixture_application(train: DataFrame, mixtures: DataFrame, configs: list[Config], target: str, thresholds: DataFrame, track: str) -> tuple[DataFrame, DataFrame]:
+    """Locked configurations on rows without truth: every object with votes, decision and the configuration's ``track``, and per
+    track, configuration and image the shares of decisions."""
+    out = held_out_test(train, mixtures, configs, target, thresholds).objects.drop("truth", "class")
+    shares = out.groupBy(track, *_ID, "image").agg(F.count("*").alias("n_objects"), *[F.avg((F.col("decision") == x).cast("double")).alias(f"{x}_rate") for x in ("target", "non_target", "uncertain")])
+    return out, shares
 
 
 def configuration_validity(plan: DataFrame, pca: DataFrame) -> DataFrame:
@@ -140,3 +108,14 @@ def technical_audit(metrics: DataFrame) -> DataFrame:
     df = metrics.groupBy(*_ID).agg(F.max("error").alias("error"), F.count("threshold").alias("n_metric_rows"), F.count_if(F.col("threshold").isNotNull() & F.col("balanced_accuracy").isNull()).alias("n_undefined"))
     reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("error:"), F.col("error"))).when(F.col("n_metric_rows") == 0, "no_metrics").when(F.col("n_undefined") > 0, "undefined_metric")
     return df.withColumns({"valid": reason.isNull(), "reason": reason})
+
+
+def prediction_audit(g: grid.Grid, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``technical_audit`` with what the predictions say: also a configuration without a prediction, or with a statistic
+    that is not finite, is no valid one. The audit, and the metric rows of the valid configurations."""
+    broken = F.col("statistic").isNull() | F.isnan("statistic") | (F.abs("statistic") == float("inf"))
+    seen = g.pixels().groupBy(*_ID).agg(F.count("*").alias("n_predictions"), F.count_if(broken).alias("n_broken"))
+    out = join_same(technical_audit(metrics), seen, _ID, "left").fillna(0, ["n_predictions", "n_broken"])
+    reason = F.coalesce("reason", F.when(F.col("n_predictions") == 0, "no_predictions").when(F.col("n_broken") > 0, "prediction_not_finite"))
+    out = out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    return out, join_same(metrics, out.where("valid").select(*_ID), _ID, "left_semi")

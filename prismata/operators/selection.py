@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +27,6 @@ def pareto_front(df: DataFrame, by: list[str], minimise: list[str], maximise: li
     return df.join(keep, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in [*by, *goals]]), "left_semi")
 
 
-def epsilon_front(df: DataFrame, by: list[str], minimise: list[str], epsilon: float) -> DataFrame:
-    """The front with tolerance, built in the order of the objectives: a dropped row drops no other. Distinct vectors
-    of one group reach a task, in order; only the front is held against each."""
-    schema = df.select(*by, *minimise).schema
-    broken = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in minimise])
-    first = minimise[0]
-    df = df.withColumn(first, F.when(broken, F.raise_error(F.lit("an objective is not finite"))).otherwise(F.col(first)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        front: list[int] = []
-        x = pdf[minimise].to_numpy(float)
-        order = sorted(range(len(x)), key=lambda i: tuple(x[i]))
-        for i in order:
-            if not any((x[j] <= x[i] + epsilon).all() and (x[j] < x[i] - epsilon).any() for j in front):
-                front = [j for j in front if not ((x[i] <= x[j] + epsilon).all() and (x[i] < x[j] - epsilon).any())] + [i]
-        return pdf.iloc[front]
-
-    front = df.select(*by, *minimise).distinct().groupBy(*by).applyInPandas(run, schema)
-    keep = front.select(*[F.col(c).alias(f"_f_{c}") for c in front.columns])
-    return df.join(keep, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in [*by, *minimise]]), "left_semi")
-
-
 def top_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group; ``order`` must end in a unique key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).withColumnRenamed("_r", "rank")

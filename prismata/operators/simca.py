@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.operators import factor
+from prismata.operators.chain import mean_spectrum
 from prismata.operators.models import MODEL, chi2_inverse, grams, score, solve_pca
 from prismata.plans.nulls import join_same
 from prismata.plans.shared import materialize
@@ -181,18 +182,28 @@ def cv_distances(rows: DataFrame, key: str, group: str, spectrum: str, k: int, a
     fold = F.col(group).cast("string") if folds is None else F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).cast("string")
     rows = rows.withColumns({"_class": F.col(key).cast("string"), "_fold": fold})
     rows = rows.withColumn("_fit", F.to_json(F.struct(F.col("_class").alias("c"), F.col("_fold").alias("f"))))
-    held = materialize(grams(rows, "_fit", spectrum), "held-grams").withColumn("_c", F.get_json_object("model", "$.c"))
+    # sums are taken about one mean of all rows, so that digits they have in common do not cancel
+    centre = (mean_spectrum(rows, [], spectrum).first() or {"mean": []})["mean"]
+    centre = F.array(*map(F.lit, centre)) if centre else F.array().cast("array<double>")
+    shifted = rows.select("_fit", F.zip_with(spectrum, centre, lambda x, c: x - c).alias("_x"))
+    held = materialize(grams(shifted, "_fit", "_x"), "held-grams").withColumn("_c", F.get_json_object("model", "$.c"))
     total = held.select("_c", "n", F.posexplode("cells").alias("i", "v")).groupBy("_c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     total = total.groupBy("_c").agg(F.max("n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_all"))
     train = held.join(total, "_c").select("model", (F.col("_n") - F.col("n")).alias("n"), F.zip_with("_all", "cells", lambda a, b: a - b).alias("cells")).where(F.col("n") > k)
-    models = materialize(train.groupBy("model").applyInPandas(_solve, MODEL), "fold-models")
+    solved = train.groupBy("model").applyInPandas(_solve, MODEL)
+    models = materialize(solved.withColumn("mean", F.zip_with("mean", centre, lambda x, c: x + c)), "fold-models")
+    held_rows = rows.select("_fit", "_class", "_fold", *(keep or []), F.col(spectrum).alias("spectrum"))
+    return held_out(held_rows, models, k, alpha, keep or [])
+
+
+def held_out(rows: DataFrame, models: DataFrame, k: int, alpha: float, keep: list[str]) -> DataFrame:
+    """Rows (``_fit, _class, _fold``, ``keep``, ``spectrum``) under the model of their ``_fit``, with the statistics of its limits."""
     rest = F.filter(F.slice("eigenvalues", k + 1, 1_000_000), lambda x: x > EPS)
     q1, q2 = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x), F.aggregate(rest, F.lit(0.0), lambda a, x: a + x * x)
     quantile = quantile_udf(1 - alpha)
     par = models.select("model", (k * (F.col("n") - 1) / F.col("n")).alias("h0"), F.lit(float(k)).alias("nh"), F.greatest(q1, F.lit(EPS)).alias("q0"), F.coalesce(F.try_divide(q1 * q1, q2), F.greatest(F.size("mean") - k, F.lit(1)).cast("double")).alias("nq"))
     par = materialize(par.withColumns({"h_limit": F.col("h0") / F.col("nh") * quantile("nh"), "q_limit": F.col("q0") / F.col("nq") * quantile("nq")}), "fold-limits")
-    keep = keep or []
-    scored = distances(rows.select("_fit", "_class", "_fold", *keep, spectrum), models, k, spectrum, "_fit").join(par, "model")
+    scored = distances(rows, models, k, "spectrum", "_fit").join(par, "model")
     stats = statistics()
     return scored.select(F.col("_class").alias("model"), F.col("_fold").alias("fold"), *keep, "h", "q", stats["simple"].alias("simple_stat"), stats["sum"].alias("sum_stat"), stats["dd"].alias("dd_stat"))
 

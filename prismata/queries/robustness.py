@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import audit, robustness, spatial
+from prismata.operators import audit, robustness, runner, spatial
 from prismata.queries.evaluation import DEC, OBJ, decided, objects
 from prismata.registry import M, P, margins, pixels, query, read, rounded
 
@@ -177,14 +177,53 @@ def _(s, d):
     return rounded(robustness.held_out_report(decided(s, d), "fold", "image", "object"))
 
 
-@query("u2_mixture_application", f"{P} SELECT object, count(*) AS n_pixels FROM p WHERE batch = 4 AND label IN (7, 8, 9) GROUP BY object")
+_LOCKED = [runner.Config("snv", 3, "data_driven_chi2"), runner.Config("absorbance_msc", 3, "simple_chi2")]
+
+
+def locked_thresholds(s):
+    rows = [(c.chain, c.k, c.variant, c.alpha, c.m, c.seed, 0.2, 0.6, t) for c, t in zip(_LOCKED, ("conservative", "balanced"), strict=True)]
+    return s.createDataFrame(rows, "chain string, k int, variant string, alpha double, m int, seed int, lower double, upper double, track string")
+
+
+def tested(s, d):
+    rows = pixels(s, d).withColumn("class", F.col("label").cast("string"))
+    return runner.held_out_test(rows.where("batch < 4"), rows.where("batch = 4"), _LOCKED, "0", locked_thresholds(s))
+
+
+@query("u1_refit_objects", f"{P}, t AS (SELECT unnest(['conservative', 'balanced']) AS track) SELECT track, object, CAST(count(*) AS BIGINT) AS n_pixels, min(label) = 0 AS truth, true AS consistent FROM p, t WHERE batch = 4 GROUP BY track, object")
+def _(s, d):
+    """Every held-out object of every locked model, and whether its decision is that of its thresholds; the tests hold the
+    scores against refits."""
+    o = tested(s, d).objects
+    said = F.when(F.col("ratio") >= 0.6, "target").when(F.col("ratio") <= 0.2, "non_target").otherwise("uncertain")
+    return o.select("track", "object", "n_pixels", "truth", (F.col("decision") == said).alias("consistent"))
+
+
+@query("u1_refit_two_way")
 def _(s, d):
-    """Models of class 0 from batches 1 to 3 score the objects of three other classes in batch 4."""
-    from prismata.operators import runner
+    out = tested(s, d)
+    return rounded(out.two_way().withColumn("level", F.lit("object")).unionByName(out.two_way("pixels").withColumn("level", F.lit("pixel"))))
 
+
+@query("u1_refit_three_way")
+def _(s, d):
+    return rounded(tested(s, d).three_way(image=True))
+
+
+def mixed(s, d):
+    """Models of class 0 from batches 1 to 3 on the objects of three other classes in batch 4."""
     rows = pixels(s, d).withColumn("class", F.col("label").cast("string"))
-    out = runner.locked_refit(rows.where("batch < 4 OR label IN (7, 8, 9)"), [1, 2, 3], [4], [], "0", [("snv", [3], ["data_driven_chi2"])])
-    return out.groupBy("object").agg(F.count("*").alias("n_pixels"))
+    return runner.mixture_application(rows.where("batch < 4"), rows.where("batch = 4 AND label IN (7, 8, 9)"), _LOCKED, "0", locked_thresholds(s), "track")
+
+
+@query("u2_mixture_application", f"{P}, t AS (SELECT unnest(['conservative', 'balanced']) AS track) SELECT track, object, count(*) AS n_pixels FROM p, t WHERE batch = 4 AND label IN (7, 8, 9) GROUP BY ALL")
+def _(s, d):
+    return mixed(s, d)[0].select("track", "object", "n_pixels")
+
+
+@query("u2_mixture_shares")
+def _(s, d):
+    return rounded(mixed(s, d)[1])
 
 
 @query("u4_inventory", f"{P}, i AS (SELECT image, min(label) AS label, min(batch) AS batch, count(DISTINCT object) AS k FROM p GROUP BY image) SELECT label, batch, count(*) AS n_images, CAST(sum(k) AS BIGINT) AS n_objects, min(k) AS least_objects, max(k) AS most_objects FROM i GROUP BY ALL")

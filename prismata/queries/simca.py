@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import chain, runner, simca
+from prismata.functions import spectra as sp
+from prismata.operators import chain, grid, runner, simca
 from prismata.plans.shared import materialize
 from prismata.registry import BANDS, P, pixels, query, read, rounded
 
@@ -178,9 +179,42 @@ def _(s, d):
 GRID = [runner.Config("raw", 3), runner.Config("snv", 3), runner.Config("snv", 5, variant="data_driven_chi2"), runner.Config("absorbance_snv", 5, variant="combined_index_chi2"), runner.Config("snv", 500), runner.Config("absorbance_sg_d1", 4, m=10, seed=1), runner.Config("absorbance_sg_d1", 4, m=10, seed=2)]
 
 
+def projected_grid(s, d):
+    return grid.fit_grid(grid.simple_roles(calibration(s, d), projection(s, d)), [*GRID, *MATRIX_AXIS], "0")
+
+
+MATRIX_AXIS = [runner.Config("snv", 3, matrix=x) for x in ("object_mean", "object_median")] + [runner.Config("absorbance_msc", 3)]
+
+
 @query("c14_projection_grid")
 def _(s, d):
-    return rounded(runner.run_grid(calibration(s, d), projection(s, d), GRID, "0", [0.5, 0.75]))
+    return rounded(projected_grid(s, d).metrics([0.5, 0.75]).drop("setting", "split"))
+
+
+_EVENTS = f"{P}, c AS (SELECT unnest([{', '.join(repr(c.data) for c in dict.fromkeys([c for c in GRID if c.m is None]))}]) AS data), e AS (SELECT DISTINCT data, CASE WHEN batch < 3 THEN 'fit' ELSE 'project' END AS role, vec_id, len(list_filter(spectrum, lambda x: x <= 0.75)) = 0 OR data NOT LIKE 'absorbance%' AS taken FROM p, c WHERE batch < 4)"
+
+
+@query("c17_row_events", f"{_EVENTS} SELECT data, role, count(*) AS n_input_rows, count_if(taken) AS n_valid_rows, count_if(NOT taken) AS n_filtered_rows FROM e GROUP BY ALL")
+def _(s, d):
+    """Rows seen, taken and filtered by every chain, counted while they are projected."""
+    shift = lambda df: df.withColumn("spectrum", F.transform("spectrum", lambda x: x - 0.75))
+    configs = [c for c in GRID if c.m is None]
+    return grid.fit_grid(grid.simple_roles(shift(calibration(s, d)), shift(projection(s, d))), configs, "0").events
+
+
+@query("c17_diagnostics")
+def _(s, d):
+    """Fit and rule diagnostics of an out-of-fold run, one row per fold and configuration."""
+    rows = calibration(s, d).withColumn("fold", F.col("batch") - 1)
+    g = runner.out_of_fold_grid(rows, "fold", "0", [("snv", [3, 5], ["simple_chi2", "data_driven_chi2"]), ("absorbance_msc", [3], ["simple_chi2"])])
+    fits = g.fit_diagnostics().select("setting", "k", "alpha", "n", "rank", "explained", "h_limit", "q_limit", "status")
+    return rounded(g.rule_diagnostics().join(fits, ["setting", "k", "alpha"]).drop("setting"), 4)
+
+
+@query("h1_domain_rates")
+def _(s, d):
+    """Shift of H, Q, ratio and margin, rate out of the domain and rejection of the target, per configuration."""
+    return rounded(projected_grid(s, d).shift().drop("setting", "split"), 4)
 
 
 @query("c15_refit_selected")
@@ -189,6 +223,21 @@ def _(s, d):
     return rounded(runner.run_grid(calibration(s, d), projection(s, d), chosen, "0", [0.5]))
 
 
+def chosen_grid(s, d):
+    chosen = [c for c in GRID if c.variant != "simple_chi2"]
+    return grid.fit_grid(grid.simple_roles(calibration(s, d), projection(s, d)), chosen, "0")
+
+
+@query("c15_refit_objects")
+def _(s, d):
+    return rounded(chosen_grid(s, d).objects().drop("setting", "split"))
+
+
+@query("c15_refit_pixels")
+def _(s, d):
+    return rounded(chosen_grid(s, d).pixels().drop("setting", "split"))
+
+
 @query("c16_seed_stability")
 def _(s, d):
     out = runner.run_grid(calibration(s, d), projection(s, d), [runner.Config("snv", 3, m=10, seed=i) for i in (1, 2, 3)], "0", [0.5])
@@ -218,6 +267,38 @@ def _(s, d):
     return runner.configuration_validity(plan, pca).select("model", "k", "alpha", "status")
 
 
+_CHECKED = [runner.Config("snv", 3), runner.Config("sg_d1", 3, window=8), runner.Config("sg_d2", 3, order=1), runner.Config("sg_smooth", 3, window=65), runner.Config("raw", 3, m=0), runner.Config("raw", 3, m=1000), runner.Config("raw", 0), runner.Config("raw", 3, alpha=1.0), runner.Config("raw", 65), runner.Config("raw", 3, variant="other")]
+_SAID = ["valid", "window_even", "derivative_above_order", "window_exceeds_bands", "m_not_positive", "too_few_pixels_an_object", "components_not_positive", "alpha_out_of_range", "components_above_bands", "unknown_rule"]
+
+
+@query("c19_configuration_checks", f"{P}, t AS (SELECT unnest(['0', '3', 'none']) AS target), c AS (SELECT unnest([{', '.join(map(repr, _SAID))}]) AS said, unnest([{', '.join('NULL' if c.m is None else str(c.m) for c in _CHECKED)}]) AS m), o AS (SELECT CAST(label AS VARCHAR) AS class, object, count(*) AS n FROM p WHERE batch < 3 GROUP BY ALL) SELECT target, CASE WHEN said IN ('window_even', 'derivative_above_order', 'window_exceeds_bands', 'unknown_rule') THEN said WHEN count(object) = 0 THEN 'target_class_missing' WHEN said <> 'valid' THEN said WHEN sum(n) <= 3 THEN 'too_few_target_rows' ELSE 'valid' END AS status, CAST(count(object) AS BIGINT) AS n_objects, CAST(coalesce(sum(CASE WHEN m IS NULL THEN n ELSE least(n, m) END), 0) AS BIGINT) AS n_rows FROM t CROSS JOIN c LEFT JOIN o ON class = target GROUP BY target, said, m")
+def _(s, d):
+    roles = grid.simple_roles(calibration(s, d), projection(s, d))
+    return grid.configuration_status(roles, _CHECKED, ["0", "3", "none"]).select("target", "status", "n_objects", "n_rows")
+
+
+@query("c9_msc_references", f"{BANDS}, a AS (SELECT CAST(label AS VARCHAR) AS class, CAST(batch AS VARCHAR) AS fold, band, -log10(v) AS v FROM b), f AS (SELECT DISTINCT class, fold FROM a) SELECT a.class, f.fold, band, round(avg(v), 6) AS value FROM a JOIN f ON a.class = f.class AND a.fold <> f.fold GROUP BY ALL")
+def _(s, d):
+    """Mean absorbance of a class without each fold in turn, from band sums."""
+    p = pixels(s, d).withColumns({"class": F.col("label").cast("string"), "fold": F.col("batch").cast("string"), "x": sp.absorbance(F.col("spectrum"), None)})
+    refs = grid.leave_out_means(p, "class", "fold", "x")
+    return rounded(refs.select("class", "fold", F.posexplode("mean").alias("band", "value")).withColumn("band", F.col("band").cast("long")))
+
+
+@query("c9_group_cv_msc")
+def _(s, d):
+    """Cross-validated thresholds of a chain whose MSC reference is fitted without each fold; the tests hold it against refits."""
+    cv = materialize(grid.cross_validated(calibration(s, d), chain.Chain(("absorbance", "msc")), "class", "object", K, ALPHA, folds=4, keep=["vec_id"]), "cv")
+    return rounded(simca.cv_thresholds(cv, ALPHA), 4)
+
+
+@query("c20_valid_predictions")
+def _(s, d):
+    """Metric rows of the configurations whose predictions are there and finite."""
+    g = projected_grid(s, d)
+    return rounded(runner.prediction_audit(g, g.metrics([0.5]))[1].drop("setting", "split"))
+
+
 @query("c20_technical_audit")
 def _(s, d):
     return rounded(runner.technical_audit(runner.run_grid(calibration(s, d), projection(s, d), GRID, "0", [0.5])))

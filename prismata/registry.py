@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismata.functions import spectra as sp
-from prismata.operators import audit, catalog, decisions, matrices, models, raster, review, selection, simca
+from prismata.operators import audit, catalog, decisions, fronts, matrices, models, raster, review, selection, simca
 from prismata.plans.shared import materialize
 from prismata.sources import tables
 
@@ -244,7 +244,7 @@ def _(s, d):
 
 @query("j1_epsilon_front")
 def _(s, d):
-    return selection.epsilon_front(read(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), ["p_brand"], ["p_size", "p_retailprice"], 1.0)
+    return fronts.epsilon_front(read(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), ["p_brand"], ["p_size", "p_retailprice"], 1.0)
 
 
 # matrices and quality
