@@ -60,9 +60,11 @@ def pixel_quality(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
 
 
 def band_quality(df: DataFrame, spectrum: str = "spectrum", last: int = 5) -> DataFrame:
-    """Counts and low quantiles per band over rows that are not all zero; one of the last bands fails on a negative."""
+    """Counts, their rates and low quantiles per band over rows that are not all zero; one of the last bands fails on a
+    negative."""
     rows = df.where(~F.forall(spectrum, lambda x: F.abs(x) <= 1e-12)).select(F.size(spectrum).alias("n_bands"), F.posexplode(spectrum).alias("band", "v"))
-    out = rows.groupBy("band", "n_bands").agg(F.count("*").alias("n"), F.count_if(F.col("v") < 0).alias("n_negative"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_if(F.col("v") <= 0).alias("n_nonpositive"), F.min("v").alias("least"), F.percentile("v", 0.01).alias("q01"))
+    out = rows.groupBy("band", "n_bands").agg(F.count("*").alias("n"), F.count_if(F.col("v") < 0).alias("n_negative"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_if(F.col("v") <= 0).alias("n_nonpositive"), F.min("v").alias("least"), F.percentile("v", 0.01).alias("q01"), F.percentile("v", 0.001).alias("q001"))
+    out = out.withColumns({f"{c}_rate": F.col(f"n_{c}") / F.col("n") for c in ("negative", "zero", "nonpositive")})
     return out.withColumn("failed", (F.col("band") >= F.col("n_bands") - last) & (F.col("n_negative") > 0)).drop("n_bands")
 
 

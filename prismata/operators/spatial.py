@@ -201,11 +201,12 @@ def annotation_agreement(masks: DataFrame, image: str, dice: float = 0.85, iou:
 
 
 def annotation_checks(masks: DataFrame, by: list[str], area: DataFrame) -> DataFrame:
-    """Per annotation its pixels outside the object area, positive pixels that are not valid, and accepted or pending."""
+    """Per annotation its pixels outside the object area, positive pixels that are not valid, and accepted, or error where there is
+    any of these."""
     inside = area.select(*AT, F.lit(True).alias("_in"))
     df = masks.join(inside, AT, "left")
     out = df.groupBy(*by).agg(F.count("*").alias("n_pixels"), F.count_if(F.col("_in").isNull() & F.col("truth")).alias("n_outside"), F.count_if(F.col("truth") & ~F.coalesce("valid", F.lit(False))).alias("n_positive_invalid"), F.count_if("truth").alias("n_positive"))
-    return out.withColumn("status", F.when((F.col("n_outside") == 0) & (F.col("n_positive_invalid") == 0), "accepted").otherwise("pending"))
+    return out.withColumn("status", F.when((F.col("n_outside") == 0) & (F.col("n_positive_invalid") == 0), "accepted").otherwise("error"))
 
 
 def calibration_input(pixels: DataFrame, thresholds: DataFrame, key: str, score: str, allowed: list[int]) -> DataFrame:

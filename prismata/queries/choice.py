@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from prismata.operators import choice, review
+from prismata.operators import choice, leaders, review
 from prismata.operators.selection import pareto_front
 from prismata.registry import query, read, rounded
 
@@ -65,6 +65,28 @@ def _(s, d):
     return choice.metric_equivalent(df, "p_partkey", ["m"], ["p_brand"], [["p_type"], ["u"]])[1]
 
 
+def variants(s, d):
+    df = part(s, d).withColumns({"m": F.round(F.col("p_retailprice") / 200, 0), "u": F.col("p_size") % 3})
+    return leaders.collapse(df, "p_partkey", ["m"], ["p_brand", "p_type", "u"], ["p_partkey"], 1)
+
+
+@query("j9_greedy_kept")
+def _(s, d):
+    """What is left when every part drops later ones of equal price class that differ in one of three parameters; the tests
+    hold it against a plain loop."""
+    return variants(s, d)[0].select("p_partkey")
+
+
+@query("j9_greedy_dropped")
+def _(s, d):
+    return variants(s, d)[1]
+
+
+@query("j9_greedy_summary")
+def _(s, d):
+    return variants(s, d)[2]
+
+
 @query("j10_output_signatures", "WITH p AS (SELECT l_suppkey % 4 AS cfg, l_orderkey % 3 AS item, l_linenumber AS v FROM lineitem), q AS (SELECT DISTINCT 0 AS x, cfg, item FROM p) SELECT cfg, n AS n_predictions, CASE WHEN cfg % 2 = 0 THEN min(cfg) FILTER (cfg % 2 = 0) OVER () ELSE min(cfg) FILTER (cfg % 2 = 1) OVER () END AS representative, 2 AS group_size FROM (SELECT c.cfg, count(*) AS n FROM orders, (SELECT unnest([0, 1, 2, 3]) AS cfg) c GROUP BY c.cfg)")
 def _(s, d):
     runs = read(s, d, "orders").select("o_orderkey", "o_totalprice", F.explode(F.array(*map(F.lit, range(4)))).alias("cfg"))

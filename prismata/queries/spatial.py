@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import raster, runs, spatial
+from prismata.operators import annotations, raster, runs, spatial
 from prismata.plans.shared import materialize
 from prismata.registry import P, pixels, query, rounded
 
@@ -143,7 +143,40 @@ def _(s, d):
     return rounded(spatial.annotation_agreement(notes[0].union(notes[1]).union(notes[2]), "image"))
 
 
-@query("a5_annotation_checks", f"{R} SELECT image, count(*) AS n_pixels, count_if(vec_id % 2 = 1 AND on_) AS n_outside, count_if(on_ AND NOT near) AS n_positive_invalid, count_if(on_) AS n_positive, CASE WHEN count_if(vec_id % 2 = 1 AND on_) = 0 AND count_if(on_ AND NOT near) = 0 THEN 'accepted' ELSE 'pending' END AS status FROM r GROUP BY image")
+def annotated(s, d):
+    df = ras(s, d)
+    odd = F.col("vec_id") % 7 > 0
+    notes = [df.select(*AT, F.lit(n).alias("annotator"), t.alias("truth"), ok.alias("valid")) for n, t, ok in ((1, F.col("on"), odd), (2, F.col("on") & (F.col("vec_id") % 11 > 0), F.lit(True)), (3, F.col("near"), F.lit(True)))]
+    return notes[0].union(notes[1]).union(notes[2]), df
+
+
+_PAIRS = f"{R}, n AS (SELECT image, row, col, vec_id, 1 AS who, on_ AS t, vec_id % 7 > 0 AS v FROM r UNION ALL SELECT image, row, col, vec_id, 2, on_ AND vec_id % 11 > 0, true FROM r UNION ALL SELECT image, row, col, vec_id, 3, near, true FROM r), c AS (SELECT x.image, x.who AS first, y.who AS second, x.t AS a, y.t AS b, x.v AS va, y.v AS vb FROM n x JOIN n y ON x.vec_id = y.vec_id AND x.who < y.who)"
+
+
+@query(
+    "a4_agreement_report",
+    f"{_PAIRS} SELECT image, first, second, count(*) AS n_roi_pixels, count_if(va AND vb) AS n_pairwise_valid, round(avg(CAST(va AND vb AS DOUBLE)), 6) AS pairwise_valid_coverage, round(avg(CAST(NOT va AS DOUBLE)), 6) AS ambiguous_rate_first, round(avg(CAST(va = vb AS DOUBLE)), 6) AS validity_agreement, "
+    "round(coalesce(2 * count_if(a AND b AND va AND vb) / nullif(count_if(a AND va AND vb) + count_if(b AND va AND vb), 0), 1), 6) AS dice, round(coalesce(count_if(a AND b AND va AND vb) / nullif(count_if((a OR b) AND va AND vb), 0), 1), 6) AS iou FROM c GROUP BY ALL",
+)
+def _(s, d):
+    masks, df = annotated(s, d)
+    return rounded(annotations.agreement_report(masks, df).select("image", "first", "second", "n_roi_pixels", "n_pairwise_valid", "pairwise_valid_coverage", "ambiguous_rate_first", "validity_agreement", "dice", "iou"))
+
+
+@query("a4_component_status")
+def _(s, d):
+    """Matched components and status of every pair; the tests hold them against plain labelling."""
+    masks, df = annotated(s, d)
+    return rounded(annotations.agreement_report(masks, df).select("image", "first", "second", "n_components_first", "n_components_second", "n_matched", "unmatched_component_rate", "status"))
+
+
+@query("a5_annotation_errors", f"{R}, e AS (SELECT image, row, col, CASE WHEN vec_id % 2 = 1 THEN ['outside_area'] ELSE [] END || CASE WHEN NOT near THEN ['invalid_positive'] ELSE [] END AS es FROM r WHERE on_) SELECT image, row, col, unnest(es) AS error FROM e")
+def _(s, d):
+    df = ras(s, d)
+    return annotations.annotation_errors(df.select(*AT, F.col("on").alias("truth"), F.col("near").alias("valid")), ["image"], df.where("vec_id % 2 = 0"))
+
+
+@query("a5_annotation_checks", f"{R} SELECT image, count(*) AS n_pixels, count_if(vec_id % 2 = 1 AND on_) AS n_outside, count_if(on_ AND NOT near) AS n_positive_invalid, count_if(on_) AS n_positive, CASE WHEN count_if(vec_id % 2 = 1 AND on_) = 0 AND count_if(on_ AND NOT near) = 0 THEN 'accepted' ELSE 'error' END AS status FROM r GROUP BY image")
 def _(s, d):
     df = ras(s, d)
     return spatial.annotation_checks(df.select(*AT, F.col("on").alias("truth"), F.col("near").alias("valid")), ["image"], df.where("vec_id % 2 = 0"))

@@ -301,7 +301,7 @@ def _(s, d):
     return rounded(matrices.pixel_quality(pixels(s, d)).select("vec_id", "n_zero", "n_nonpositive", "zero_fraction", "min_reflectance"))
 
 
-@query("q4_band_quality", f"{BANDS} SELECT band, count(*) AS n, count_if(v - 1.3 < 0) AS n_negative, count_if(v - 1.3 = 0) AS n_zero, count_if(v - 1.3 <= 0) AS n_nonpositive, round(min(v - 1.3), 6) AS least, round(quantile_cont(v - 1.3, 0.01), 6) AS q01, band >= 59 AND count_if(v - 1.3 < 0) > 0 AS failed FROM b GROUP BY band")
+@query("q4_band_quality", f"{BANDS} SELECT band, count(*) AS n, count_if(v - 1.3 < 0) AS n_negative, count_if(v - 1.3 = 0) AS n_zero, count_if(v - 1.3 <= 0) AS n_nonpositive, round(min(v - 1.3), 6) AS least, round(quantile_cont(v - 1.3, 0.01), 6) AS q01, round(quantile_cont(v - 1.3, 0.001), 6) AS q001, round(count_if(v - 1.3 < 0) / count(*), 6) AS negative_rate, round(count_if(v - 1.3 = 0) / count(*), 6) AS zero_rate, round(count_if(v - 1.3 <= 0) / count(*), 6) AS nonpositive_rate, band >= 59 AND count_if(v - 1.3 < 0) > 0 AS failed FROM b GROUP BY band")
 def _(s, d):
     lowered = pixels(s, d).withColumn("spectrum", F.transform("spectrum", lambda x: x - 1.3))
     return rounded(matrices.band_quality(lowered).withColumn("band", F.col("band").cast("long")))
