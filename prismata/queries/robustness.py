@@ -30,10 +30,15 @@ _VAR = "(VALUES (0, -0.2, 0.2), (1, -0.1, 0.3)) c(fold, lower, upper), (VALUES (
 _NEW = "CASE WHEN kind = 'centre_shift' THEN lower + amount * (upper - lower) ELSE (lower + upper) / 2 - amount * (upper - lower) / 2 END AS nl, CASE WHEN kind = 'centre_shift' THEN upper + amount * (upper - lower) ELSE (lower + upper) / 2 + amount * (upper - lower) / 2 END AS nu"
 
 
-@query("b4_threshold_plan", f"WITH p AS (SELECT DISTINCT l_orderkey % 2 AS fold FROM lineitem), x AS (SELECT c.fold, kind, CAST(amount AS DOUBLE) AS amount, {_NEW} FROM {_VAR} WHERE c.fold IN (SELECT fold FROM p)) SELECT fold, kind, amount, round(CAST(nl AS DOUBLE), 6) AS new_lower, round(CAST(nu AS DOUBLE), 6) AS new_upper, CASE WHEN NOT nl < nu THEN 'invalid' WHEN kind = 'centre_shift' AND amount = 0 THEN 'no_effect' ELSE 'estimable' END AS status FROM x")
+@query(
+    "b4_threshold_plan",
+    f"{M}, q AS (SELECT image, quantile_cont(score, 0.25) AS lower, quantile_cont(score, 0.75) AS upper FROM m GROUP BY image), x AS (SELECT image, kind, CAST(amount AS DOUBLE) AS amount, {_NEW} FROM q, (VALUES ('centre_shift', -0.25), ('centre_shift', 0.0), ('centre_shift', 0.25), ('width_scale', 0.0), ('width_scale', 0.5), ('width_scale', 2.0)) v(kind, amount)) "
+    "SELECT image, kind, amount, round(nl, 6) AS new_lower, round(nu, 6) AS new_upper, CASE WHEN NOT nl < nu THEN 'invalid' WHEN kind = 'centre_shift' AND amount = 0 THEN 'no_effect' ELSE 'estimable' END AS status FROM x",
+)
 def _(s, d):
-    used = _pairs(s).join(margins(s, d).select("fold").distinct(), "fold")
-    return rounded(robustness.threshold_plan(used, "fold", [-0.25, 0.0, 0.25], [0.0, 0.5, 2.0]).select("fold", "kind", "amount", "new_lower", "new_upper", "status"))
+    """Pairs are the quartiles of each image's scores."""
+    pairs = margins(s, d).groupBy("image").agg(F.percentile("score", 0.25).alias("lower"), F.percentile("score", 0.75).alias("upper"))
+    return rounded(robustness.threshold_plan(pairs, "image", [-0.25, 0.0, 0.25], [0.0, 0.5, 2.0]).select("image", "kind", "amount", "new_lower", "new_upper", "status"))
 
 
 @query(

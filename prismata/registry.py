@@ -465,10 +465,10 @@ def _(s, d):
     return rounded(audit.seed_statistics(o, "model", F.avg("o_totalprice"), "seed"), 3)
 
 
-@query("b2_seed_disagreement", f"{M}, e AS (SELECT image % 10 AS model, object, count(DISTINCT line) AS s, count(DISTINCT score >= 0) AS d FROM m WHERE line <= 3 GROUP BY ALL HAVING count(DISTINCT line) = 3) SELECT model, round(avg(CAST(d > 1 AS DOUBLE)), 6) AS disagreement, count(*) AS n_entities FROM e GROUP BY model")
+@query("b2_seed_disagreement", f"{M}, e AS (SELECT image % 10 AS model, object, count(DISTINCT line % 3) AS s, count(DISTINCT score >= 0) AS d FROM m GROUP BY ALL HAVING count(DISTINCT line % 3) = 3) SELECT model, round(avg(CAST(d > 1 AS DOUBLE)), 6) AS disagreement, count(*) AS n_entities FROM e GROUP BY model")
 def _(s, d):
-    m = margins(s, d).where("line <= 3").select((F.col("image") % 10).alias("model"), "object", "line", (F.col("score") >= 0).alias("decision"))
-    return rounded(audit.seed_disagreement(m, "model", "object", "line", "decision", 3))
+    m = margins(s, d).select((F.col("image") % 10).alias("model"), "object", (F.col("line") % 3).alias("seed"), (F.col("score") >= 0).alias("decision"))
+    return rounded(audit.seed_disagreement(m, "model", "object", "seed", "decision", 3))
 
 
 @query("b6_leave_one_image_out", f"{M}, i AS (SELECT fold, image, avg(CAST(score < 0 AS DOUBLE)) AS v FROM m GROUP BY fold, image) SELECT fold, image, round((sum(v) OVER w - v) / (count(v) OVER w - 1), 6) AS left_out_mean, round(avg(v) OVER w, 6) AS full_mean FROM i WINDOW w AS (PARTITION BY fold)")
@@ -650,10 +650,10 @@ def _(s, d):
     return review.retention_funnel(read(s, d, "part"), ["p_brand"], [("size", F.col("p_size") <= 35), ("price", F.col("p_retailprice") <= 1500)])
 
 
-@query("j17_shortlist", "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice > 1400 AND b.p_brand = a.p_brand AND b.p_size = a.p_size)")
+@query("j17_shortlist", "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice % 20 > 19.5 AND b.p_brand = a.p_brand AND b.p_size = a.p_size)")
 def _(s, d):
     p = read(s, d, "part")
-    return review.in_shortlist(p, p.where("p_retailprice > 1400"), ["p_brand", "p_size"]).select("p_partkey")
+    return review.in_shortlist(p, p.where("p_retailprice % 20 > 19.5"), ["p_brand", "p_size"]).select("p_partkey")
 
 
 @query(
