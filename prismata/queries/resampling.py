@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import folds, object_quality, pca_metrics, resample
+from prismata.operators import folds, object_quality, pca_metrics, resample, sampling_grid
 from prismata.plans.shared import materialize
 from prismata.queries.spatial import R, ras
 from prismata.registry import BANDS, P, pixels, query, rounded
@@ -123,3 +123,16 @@ def _(s, d):
     df = ras(s, d).withColumn("spectrum", F.transform("spectrum", lambda v: v - 0.8))
     table = materialize(object_quality.object_table(df, "label", least_area=3, least_fill=0.1, least_gap=1.0), "object-table")
     return object_quality.warnings(table, "label").groupBy("finding", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "m12_sampling_grid",
+    f"{P}, o AS (SELECT object, min(label) AS label, min(image) AS image, count(*) AS n FROM p GROUP BY object), g AS (SELECT o.*, m, least(n, m) AS take FROM o, (SELECT unnest([1, 2, 4]) AS m)), a AS (SELECT m, count(*) AS n_objects_total, count_if(n < m) AS n_objects_under_m, avg(CAST(n >= m AS DOUBLE)) AS e, CAST(sum(take) AS BIGINT) AS n_rows FROM g GROUP BY m), c AS (SELECT m, min(k) / max(k) AS r, count(*) AS n FROM (SELECT m, label, sum(take) AS k FROM g GROUP BY m, label) GROUP BY m), i AS (SELECT m, min(k) / max(k) AS r, count(*) AS n FROM (SELECT m, image, sum(take) AS k FROM g GROUP BY m, image) GROUP BY m), s AS (SELECT unnest(['random', 'center']) AS strategy) "
+    "SELECT a.m, strategy, n_objects_total, n_objects_under_m, round(e, 6) AS eligible_rate, n_rows, c.n AS n_classes, i.n AS n_images, round(c.r, 6) AS class_balance_ratio, round(i.r, 6) AS image_balance_ratio, CASE strategy WHEN 'center' THEN 1.0::DOUBLE END AS stability_of_centre, true AS within, CASE WHEN e >= 0.9 THEN 'accepted' ELSE 'warning' END AS status FROM a JOIN c USING (m) JOIN i USING (m), s",
+)
+def _(s, d):
+    """Sizes, strategies and three seeds; a random selection's stability is between 0 and 1, the tests hold its value."""
+    out = sampling_grid.feasibility(pixels(s, d), ["object"], "label", "image", "vec_id", [1, 2, 4], ["random", "center"], [1, 2, 3])
+    v = F.col("selection_stability")
+    out = out.select("m", "strategy", "n_objects_total", "n_objects_under_m", "eligible_rate", "n_rows", "n_classes", "n_images", "class_balance_ratio", "image_balance_ratio", F.when(F.col("strategy") == "center", v).alias("stability_of_centre"), v.between(0, 1).alias("within"), "status")
+    return rounded(out)

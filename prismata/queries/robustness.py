@@ -120,7 +120,12 @@ def _(s, d):
     return rounded(robustness.interval_envelope(r, ["model"], "m1", "high", "seed", 1).drop("n_images"), 8)
 
 
-@query("b12_coverage_auc")
+@query(
+    "b12_coverage_auc",
+    f"{M}, c AS (SELECT *, abs(score) AS conf FROM m), q AS (SELECT fold, quantile_cont(conf, [0.75, 0.5, 0.25, 0.0]) AS t FROM c GROUP BY fold), g AS (SELECT fold, coverage, t[i] AS t FROM q, (VALUES (1, 0.25::DOUBLE), (2, 0.5), (3, 0.75), (4, 1.0)) g(i, coverage)), "
+    "r AS (SELECT c.fold, coverage, avg(CAST(truth <> (score >= 0) AS DOUBLE)) AS risk FROM c JOIN g ON c.fold = g.fold AND conf >= t GROUP BY ALL), n AS (SELECT *, lead(coverage) OVER w AS c2, lead(risk) OVER w AS r2 FROM r WINDOW w AS (PARTITION BY fold ORDER BY coverage)) "
+    "SELECT fold, round(coalesce(sum((c2 - coverage) * (risk + r2) / 2), 0), 6) AS auc, round(max(coverage) FILTER (risk <= 0.5), 6) AS coverage_at_limit FROM n GROUP BY fold",
+)
 def _(s, d):
     m = margins(s, d).withColumns({"confidence": F.abs("score"), "prediction": F.col("score") >= 0})
     return rounded(robustness.coverage_auc(audit.risk_coverage(m, ["fold"], "confidence", [0.25, 0.5, 0.75, 1.0]), ["fold"], limit=0.5))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prismata.operators import evaluation
 from prismata.plans.shared import new_path
 from prismata.registry import P, labelled, pixels, query, read, rounded
-from prismata.sources import tables
+from prismata.sources import contracts, tables
 
 
 @query("s1_batch_load", f"{P} SELECT vec_id, batch FROM p WHERE batch IN (1, 3)")
@@ -158,3 +158,23 @@ def _(s, d):
     k = F.col("doc_id") % 5
     text = F.when(k == 0, " PEA ").when(k == 1, "Non_Target").when(k == 2, "  ").when(k == 3, F.concat(F.lit(" "), F.upper("lang")))
     return read(s, d, "documents").select("doc_id", tables.class_label(text).alias("label"))
+
+
+@query("s7_contract_form", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def _(s, d):
+    """The contract's columns in its order, unique by key, without the column that holds nothing."""
+    o = read(s, d, "orders").withColumn("note", F.lit(None).cast("string"))
+    return contracts.conform(o, contracts.Contract(("o_custkey", "note", "o_orderkey", "o_totalprice"), ("o_orderkey",)))
+
+
+@query("s10_numbered_batches", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, 'batch_' || lpad(CAST(i // 100 + 1 AS VARCHAR), 4, '0') AS batch_id, CAST(i // 100 * 100 AS BIGINT) AS row_start, CAST(least(i // 100 * 100 + 100, n) AS BIGINT) AS row_stop FROM r")
+def _(s, d):
+    return contracts.numbered_batches(read(s, d, "orders"), ["o_orderstatus", "o_orderkey"], 100).select("o_orderkey", "batch_id", "row_start", "row_stop")
+
+
+@query("s3_category_columns", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) / count(*) <= 0.5 AS few FROM orders" for c in ("o_orderstatus", "o_orderpriority")))
+def _(s, d):
+    o = read(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    found = contracts.category_columns(o)
+    names = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in found).alias("few")) for c in ("o_orderstatus", "o_orderpriority")])).alias("x")
+    return o.agg(F.count("*").alias("n")).select(names).select("x.*")

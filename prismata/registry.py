@@ -286,7 +286,7 @@ def _(s, d):
     return rounded(matrices.selection_overlap(matrices.balanced_pixels(p, ["label", "seed"], 20, order), "label", "seed", "vec_id"))
 
 
-@query("m17_evenly_spaced")
+@query("m17_evenly_spaced", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_partkey FROM r WHERE n <= 10 OR i = 0 OR floor(i * 9 / greatest(n - 1, 1)) > floor((i - 1) * 9 / greatest(n - 1, 1))")
 def _(s, d):
     return matrices.evenly_spaced(read(s, d, "part"), ["p_brand"], ["p_retailprice", "p_partkey"], 10).select("p_brand", "p_partkey")
 
