@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from prismata.operators import chain, factor, matrices, models, pca_metrics, sampling, simca
+from prismata.operators import chain, chain_audit, factor, matrices, models, pca_metrics, sampling, simca
 from prismata.plans.shared import materialize
 from prismata.registry import BANDS, P, pixels, query, read, rounded
 
@@ -104,6 +104,18 @@ def _(s, d):
     return rounded(chain.grid_audit(p.where("batch IN (1, 2)"), p.where("batch = 3"), [chain.Chain(chain.catalogue()[n]) for n in names], names))
 
 
+@query(
+    "m14_chain_audit",
+    f"{P}, e AS (SELECT vec_id, batch < 3 AS fit, unnest(spectrum) AS v, generate_subscripts(spectrum, 1) AS band FROM p WHERE batch < 4), x AS (SELECT 'raw' AS chain, * FROM e UNION ALL SELECT 'absorbance', vec_id, fit, -log10(v), band FROM e UNION ALL SELECT 'snv', vec_id, fit, (v - avg(v) OVER w) / stddev_samp(v) OVER w, band FROM e WINDOW w AS (PARTITION BY vec_id)) "
+    "SELECT chain, count(DISTINCT vec_id) FILTER (fit) AS n_fit, count(DISTINCT vec_id) FILTER (NOT fit) AS n_eval, 64 AS n_features, round(min(v), 6) AS least, round(max(v), 6) AS largest, round(count_if(v <= -2 OR v >= 2) / count(*), 6) AS saturation_rate, 0.0::DOUBLE AS repeatability_error, CASE WHEN count_if(v <= -2 OR v >= 2) > 0 THEN 'invalid' ELSE 'accepted' END AS status FROM x GROUP BY chain",
+)
+def _(s, d):
+    p = pixels(s, d)
+    chains = {n: chain.Chain(chain.catalogue()[n]) for n in ("raw", "absorbance", "snv")}
+    summary, _ = chain_audit.audit(p.where("batch IN (1, 2)"), p.where("batch = 3"), chains, saturation=(-2.0, 2.0))
+    return rounded(summary.select("chain", "n_fit", "n_eval", "n_features", "least", "largest", "saturation_rate", "repeatability_error", "status"))
+
+
 @query("m15_minhash_sketch", f"{P}, h AS (SELECT image, salt, min(substring(sha256(salt || '|' || object || '|' || row || '|' || col), 1, 16)) AS h FROM p, (SELECT unnest(range(0, 8)) AS salt) GROUP BY image, salt) SELECT image, string_agg(h, ',' ORDER BY salt) AS sketch FROM h GROUP BY image")
 def _(s, d):
     return sampling.minhash_sketch(pixels(s, d), ["image"], F.concat_ws("|", "object", F.col("row").cast("string"), F.col("col").cast("string")))
