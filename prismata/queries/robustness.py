@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import audit, robustness, runner, spatial
+from prismata.operators import audit, domain, robustness, runner, spatial
 from prismata.queries.evaluation import DEC, OBJ, decided, objects
 from prismata.registry import M, P, margins, pixels, query, read, rounded
 
@@ -187,6 +187,22 @@ def _(s, d):
     return rounded(robustness.held_out_report(decided(s, d), "fold", "image", "object"))
 
 
+@query(
+    "h3_eligibility_reasons",
+    f"{M}, a AS (SELECT avg(score) AS mu, stddev_samp(score) AS sd FROM m), d AS (SELECT image, fold, (avg(score) - mu) / sd AS z, avg(CAST(score > 0.4 AS DOUBLE)) AS ood, avg(CAST(score < 0 AS DOUBLE)) FILTER (truth) AS rejection, count_if(truth) >= 3 AS ok FROM m, a GROUP BY image, fold, mu, sd), "
+    "e AS (SELECT image, count(*) AS n, count_if(ok) AS n_ok, max(abs(z)) FILTER (ok) AS z, max(ood) FILTER (ok) AS ood, max(rejection) FILTER (ok) AS rejection FROM d GROUP BY image), "
+    "r AS (SELECT *, list_filter([CASE WHEN n_ok < n THEN 'insufficient_target_support' END, CASE WHEN z IS NULL THEN 'standardized_shift_not_finite' WHEN z > 0.2 THEN 'standardized_shift' END, CASE WHEN ood IS NULL THEN 'ood_not_finite' WHEN ood > 0.15 THEN 'ood' END, CASE WHEN rejection IS NULL THEN 'rejection_not_finite' WHEN rejection > 0.65 THEN 'rejection' END], lambda x: x IS NOT NULL) AS bad, list_filter([CASE WHEN z > 0.1 THEN 'standardized_shift' END, CASE WHEN ood > 0.1 THEN 'ood' END, CASE WHEN rejection > 0.55 THEN 'rejection' END], lambda x: x IS NOT NULL) AS warn FROM e) "
+    "SELECT image, n AS n_diagnostics, round(z, 6) AS max_standardized_shift, round(ood, 6) AS max_ood, round(rejection, 6) AS max_rejection, CASE WHEN len(bad) > 0 THEN 'unsupported_domain_shift' WHEN len(warn) > 0 THEN 'eligible_with_warning' ELSE 'eligible' END AS status, CASE WHEN len(bad) > 0 THEN array_to_string(bad, ';') WHEN len(warn) > 0 THEN array_to_string(warn, ';') ELSE 'all_predeclared_limits_satisfied' END AS reasons FROM r",
+)
+def _(s, d):
+    """Images as tracks, folds as their strata: shift of the score, rate above 0.4, rejection of the truth."""
+    m = margins(s, d)
+    whole = m.agg(F.avg("score").alias("mu"), F.stddev_samp("score").alias("sd"))
+    per = m.groupBy("image", "fold").agg(F.avg("score").alias("v"), F.avg((F.col("score") > 0.4).cast("double")).alias("ood"), F.avg(F.when(F.col("truth"), (F.col("score") < 0).cast("double"))).alias("rejection"), (F.count_if("truth") >= 3).alias("ok"))
+    diagnostics = per.crossJoin(F.broadcast(whole)).withColumn("z", (F.col("v") - F.col("mu")) / F.col("sd"))  # one row
+    return rounded(domain.eligibility(diagnostics, m, "image", ["z"], ["ood", "rejection"], {"standardized_shift": (0.1, 0.2), "ood": (0.1, 0.15), "rejection": (0.55, 0.65)}, "ok"))
+
+
 _LOCKED = [runner.Config("snv", 3, "data_driven_chi2"), runner.Config("absorbance_msc", 3, "simple_chi2")]
 
 
