@@ -241,6 +241,7 @@ def _align(band: int, coverage: float):
     return run
 
 
+MOST_SENT = 500_000  # chosen stretches that are broadcast, about 40 bytes each
 _FOUND = ["license_id", "n_matched", "n_tokens", "coverage", "span_start", "span_end"]
 
 
@@ -273,7 +274,10 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text",
     parts = materialize(texts.mapInArrow(_stretches(tiers), "doc_id long, key long, tier int, stretch long, prints array<long>, tokens array<long>, token_marks array<int>, starts array<int>, ends array<int>"), "stretches")
     hits = parts.select("doc_id", "tier", "stretch", F.explode(F.array_distinct("prints")).alias("h")).distinct().join(entries, ["tier", "h"])
     chosen = hits.groupBy("doc_id", "tier", "stretch", "license_id", "needed").count().where(F.col("count") >= F.col("needed"))
-    pairs = parts.drop("prints").join(chosen.select("doc_id", "tier", "stretch", "license_id"), ["doc_id", "tier", "stretch"]).join(index.select("license_id", "template", "marks"), "license_id")
+    # few stretches are chosen: where these are few enough to send, the tokens of all others need no exchange
+    chosen = materialize(chosen.select("doc_id", "tier", "stretch", "license_id"), "chosen-stretches")
+    sent = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen
+    pairs = parts.drop("prints").join(sent, ["doc_id", "tier", "stretch"]).join(index.select("license_id", "template", "marks"), "license_id")
     each = pairs.select("doc_id", "key", "license_id", "template", "marks", "tokens", "token_marks", "starts", "ends").mapInArrow(_align(band, coverage), found)
     texts_found = each.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*_FOUND)).alias("found"))
     return texts_found.mapInArrow(_best, found.replace("key long, ", ""))
