@@ -116,6 +116,20 @@ def one_factor_pairs(models: DataFrame, evaluated: DataFrame, key: str, factors:
     return reduce(DataFrame.unionByName, parts)
 
 
+def factor_coverage(models: DataFrame, evaluated: DataFrame, key: str, factors: list[str], reference: str) -> DataFrame:
+    """``coverage_of`` the pairs of ``one_factor_pairs``, from counts per value: no pair is made. A factor without a pair has no row."""
+    known = evaluated.select(F.col(key).alias("_k")).distinct()
+    df = models.join(known, F.col(key) == F.col("_k"), "left")
+    cells = df.groupBy(*factors).agg(F.count("*").alias("n"), F.count("_k").alias("e"), F.count_if(F.col(reference)).alias("r"))
+    parts = []
+    for f in factors:
+        rest = [c for c in factors if c != f]
+        # models times references of one rest, less those that share the value too
+        out = cells.groupBy(*rest).agg(*[(F.sum(c) * F.sum("r") - F.sum(F.col(c) * F.col("r"))).alias(f"_{c}") for c in ("n", "e")])
+        parts.append(out.groupBy(F.lit(f).alias("factor")).agg(F.sum("_n").alias("n_planned"), F.sum("_e").alias("n_estimable")))
+    return reduce(DataFrame.unionByName, parts).where("n_planned > 0")
+
+
 def paired_effects(pairs: DataFrame, runs: DataFrame, key: str, seed: str, metric: str) -> DataFrame:
     """Per factor and alternative value the mean and deviation (ddof 0) of the differences at equal seeds."""
     a = runs.select(F.col(key).alias("alternative_id"), F.col(seed).alias("_s"), F.col(metric).alias("_a"))

@@ -86,9 +86,16 @@ def _(s, d):
 _PAIR = "WITH r AS (SELECT * FROM part WHERE p_partkey % 10 = 0), q AS (SELECT 'p_size' AS factor, a.p_partkey AS alternative_id, r.p_partkey AS reference_id, CAST(r.p_size AS VARCHAR) AS reference_value, CAST(a.p_size AS VARCHAR) AS alternative_value FROM part a JOIN r ON a.p_brand = r.p_brand AND a.p_size <> r.p_size UNION ALL SELECT 'p_brand', a.p_partkey, r.p_partkey, r.p_brand, a.p_brand FROM part a JOIN r ON a.p_size = r.p_size AND a.p_brand <> r.p_brand), s AS (SELECT *, CASE WHEN alternative_id % 3 = 0 THEN 'not_evaluated' ELSE 'estimable' END AS status FROM q)"
 
 
-def factor_pairs(s, d):
+def _parts(s, d):
     part = read(s, d, "part")
-    return robustness.one_factor_pairs(part.withColumn("ref", F.col("p_partkey") % 10 == 0), part.where("p_partkey % 3 <> 0"), "p_partkey", ["p_size", "p_brand"], "ref")
+    return part.withColumn("ref", F.col("p_partkey") % 10 == 0), part.where("p_partkey % 3 <> 0")
+
+
+_FACTORS = "p_partkey", ["p_size", "p_brand"], "ref"
+
+
+def factor_pairs(s, d):
+    return robustness.one_factor_pairs(*_parts(s, d), *_FACTORS)
 
 
 @query("b9_one_factor_pairs", f"{_PAIR} SELECT * FROM s")
@@ -104,7 +111,7 @@ def _(s, d):
 
 @query("b9_coverage", f"{_PAIR} SELECT factor, count(*) AS n_planned, count_if(status = 'estimable') AS n_estimable FROM s GROUP BY factor")
 def _(s, d):
-    return robustness.coverage_of(factor_pairs(s, d))
+    return robustness.factor_coverage(*_parts(s, d), *_FACTORS)
 
 
 @query("b10_practical_effects", "WITH e AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'accuracy' ELSE 'miss' END AS metric, (p_size - 25) / 100 AS delta FROM part) SELECT p_partkey, CASE WHEN abs(delta) <= 0.1 THEN 'within_tolerance' ELSE 'outside_tolerance' END AS effect_status, CASE WHEN abs(delta) <= 0.1 THEN 'no_practical_difference' WHEN (delta > 0) = (metric = 'accuracy') THEN 'alternative_better' ELSE 'reference_better' END AS direction FROM e")

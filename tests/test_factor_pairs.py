@@ -28,3 +28,12 @@ def test_pairs_are_not_joined_or_moved_again(spark, tables):
     text = lambda v: None if v is None else str(v)
     want = [(f, a.id, b.id, text(b[f]), text(a[f]), "not_evaluated" if a.id % 3 == 0 else "estimable") for f, rest in (("p", "q"), ("q", "p")) for a in rows for b in rows if b.ref and a[rest] == b[rest] and a[f] != b[f]]
     assert sorted(map(str, map(tuple, pairs.collect()))) == sorted(map(str, want))
+
+
+def test_coverage_without_pairs(spark, tables):
+    models, evaluated, _ = tables
+    want = robustness.coverage_of(robustness.one_factor_pairs(models, evaluated, *FACTORS))
+    got = robustness.factor_coverage(models, evaluated, *FACTORS)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
+    assert robustness.factor_coverage(models.where("ref IS NULL"), evaluated, *FACTORS).count() == 0
