@@ -130,6 +130,29 @@ def factor_coverage(models: DataFrame, evaluated: DataFrame, key: str, factors:
     return reduce(DataFrame.unionByName, parts).where("n_planned > 0")
 
 
+def factor_effects(models: DataFrame, evaluated: DataFrame, runs: DataFrame, key: str, factors: list[str], reference: str, seed: str, metric: str) -> DataFrame:
+    """``paired_effects`` of the pairs of ``one_factor_pairs``, from count, mean and variance per value, rest and seed: no pair is made.
+    All differences of two such cells have the difference of their means as mean, and the sum of their variances as variance.
+    The sums of a decimal metric are exact."""
+    known = evaluated.select(F.col(key).alias("_k")).distinct()
+    x = F.col("_x")
+    stats = lambda df, to: df.groupBy(*factors, "_seed").agg(F.count("*").alias("n"), F.count(x).alias("k"), F.sum(x).alias("s"), F.avg(x.cast("double")).alias("m"), F.var_pop(x.cast("double")).alias("v")).select(*[F.col(c).alias(f"{to}_{c}") for c in [*factors, "_seed", "n", "k", "s", "m", "v"]])
+    r = runs.select(F.col(key).alias("_key"), F.col(seed).alias("_seed"), F.col(metric).alias("_x")).where("_seed IS NOT NULL")
+    rows = models.join(r, F.col(key) == F.col("_key"))
+    a, b = stats(rows.join(known, F.col(key) == F.col("_k"), "left_semi"), "a"), stats(rows.where(F.col(reference)), "b")
+    parts = []
+    for f in factors:
+        rest = [c for c in factors if c != f]
+        pair = a.join(b, _same([f"a_{c}" for c in [*rest, "_seed"]], [f"b_{c}" for c in [*rest, "_seed"]]) & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")))
+        parts.append(pair.select(F.lit(f).alias("factor"), F.col(f"a_{f}").cast("string").alias("alternative_value"), F.col(f"b_{f}").cast("string").alias("reference_value"), (F.col("a_n") * F.col("b_n")).alias("n"), (F.col("a_k") * F.col("b_k")).alias("k"), (F.col("b_k") * F.col("a_s") - F.col("a_k") * F.col("b_s")).alias("s"), (F.col("a_m") - F.col("b_m")).alias("m"), (F.col("a_v") + F.col("b_v")).alias("v")))
+    cells, by = reduce(DataFrame.unionByName, parts), ["factor", "alternative_value", "reference_value"]
+    mean = F.try_divide(F.sum("s").cast("double"), F.sum("k"))
+    total = cells.groupBy(*by).agg(F.sum("n").alias("n_pairs"), mean.alias("mean_delta"))
+    # squares are taken about the mean itself, so that a large mean does not cancel their digits
+    square = F.sum(F.col("k") * (F.col("v") + F.pow(F.col("m") - F.col("mean_delta"), 2)))
+    return join_same(cells, total, by).groupBy(*by, "n_pairs", "mean_delta").agg(F.sqrt(F.try_divide(square, F.sum("k"))).alias("std_delta"))
+
+
 def paired_effects(pairs: DataFrame, runs: DataFrame, key: str, seed: str, metric: str) -> DataFrame:
     """Per factor and alternative value the mean and deviation (ddof 0) of the differences at equal seeds."""
     a = runs.select(F.col(key).alias("alternative_id"), F.col(seed).alias("_s"), F.col(metric).alias("_a"))

@@ -94,19 +94,18 @@ def _parts(s, d):
 _FACTORS = "p_partkey", ["p_size", "p_brand"], "ref"
 
 
-def factor_pairs(s, d):
-    return robustness.one_factor_pairs(*_parts(s, d), *_FACTORS)
-
-
 @query("b9_one_factor_pairs", f"{_PAIR} SELECT * FROM s")
 def _(s, d):
-    return factor_pairs(s, d)
+    return robustness.one_factor_pairs(*_parts(s, d), *_FACTORS)
 
 
 @query("b9_paired_effects", f"{_PAIR}, e AS (SELECT factor, alternative_value, reference_value, a.p_retailprice - b.p_retailprice AS delta FROM s JOIN part a ON a.p_partkey = alternative_id JOIN part b ON b.p_partkey = reference_id WHERE status = 'estimable') SELECT factor, alternative_value, reference_value, count(*) AS n_pairs, round(avg(delta), 4) AS mean_delta, round(stddev_pop(delta), 4) AS std_delta FROM e GROUP BY ALL")
 def _(s, d):
-    one = read(s, d, "part").withColumn("seed", F.lit(0))
-    return rounded(robustness.paired_effects(factor_pairs(s, d), one, "p_partkey", "seed", "p_retailprice"), 4)
+    # whole multiples of 2 ** -43 (prices of 512 or more are), whose sums do not depend on an order
+    unit = 2.0**43
+    one = read(s, d, "part").select("p_partkey", F.lit(0).alias("seed"), (F.col("p_retailprice") * unit).cast("decimal(20,0)").alias("price"))
+    e = robustness.factor_effects(*_parts(s, d), one, *_FACTORS, "seed", "price")
+    return rounded(e.withColumns({c: F.col(c) / unit for c in ("mean_delta", "std_delta")}), 4)
 
 
 @query("b9_coverage", f"{_PAIR} SELECT factor, count(*) AS n_planned, count_if(status = 'estimable') AS n_estimable FROM s GROUP BY factor")

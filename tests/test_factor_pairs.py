@@ -37,3 +37,20 @@ def test_coverage_without_pairs(spark, tables):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
     assert robustness.factor_coverage(models.where("ref IS NULL"), evaluated, *FACTORS).count() == 0
+
+
+def test_effects_without_pairs(spark, tables):
+    models, evaluated, runs = tables
+    want = robustness.paired_effects(robustness.one_factor_pairs(models, evaluated, *FACTORS), runs, "id", "seed", "m").collect()
+    got = {tuple(r)[:3]: r for r in robustness.factor_effects(models, evaluated, runs, *FACTORS, "seed", "m").collect()}
+    assert len(got) == len(want) == 18
+    for w in want:
+        g = got[tuple(w)[:3]]
+        assert g.n_pairs == w.n_pairs and g.mean_delta == pytest.approx(w.mean_delta, abs=1e-6) and g.std_delta == pytest.approx(w.std_delta, abs=1e-6)
+
+
+def test_sums_of_decimals_are_exact(spark):
+    rows = [(i, i % 2, i % 2 == 0, str(v)) for i, v in enumerate(["0.1", "0.2", "0.7", "0.3", "0.9", "0.6"] * 50)]
+    models = spark.createDataFrame(rows, "id int, p int, ref boolean, m string").withColumns({"q": F.lit("x"), "seed": F.lit(0), "m": F.col("m").cast("decimal(20,6)")})
+    r = robustness.factor_effects(models, models, models, *FACTORS, "seed", "m").collect()
+    assert [(x.factor, x.n_pairs, x.mean_delta) for x in r] == [("p", 150 * 150, -0.2)]
