@@ -23,7 +23,8 @@ def dilate(mask: DataFrame, radius: int, within: DataFrame | None = None) -> Dat
 
 
 def erode(mask: DataFrame, radius: int, bounds: DataFrame | None = None) -> DataFrame:
-    """Pixels whose whole disk is in the mask; what lies outside the raster is background, or, with ``bounds``, not asked."""
+    """Pixels whose whole disk is in the mask; what lies outside the raster is background, or, with ``bounds`` (or the
+    runs of its pixels), not asked."""
     return runs.pixels(runs.erode(runs.runs(mask), radius, bounds))
 
 
@@ -85,7 +86,7 @@ def fill_holes(mask: DataFrame, within: DataFrame) -> DataFrame:
 def clean_mask(mask: DataFrame, within: DataFrame, least: int = 20, opening_radius: int = 0, closing_radius: int = 1, holes: bool = True, connectivity: int = 4) -> DataFrame:
     """Opening, closing, holes, then components under ``least`` pixels go; a radius of 0 leaves a step out. ``within`` holds
     all pixels of each raster: beyond its edges there is neither mask nor background."""
-    edge, out = runs.bounds(within), runs.runs(mask)
+    edge, out = runs.runs(within), runs.runs(mask)
     if opening_radius:
         out = runs.opening(out, opening_radius, edge)
     if closing_radius:

@@ -6,8 +6,9 @@ of one raster row at a time.
 
 ``bounds(image, r0, r1, c0, c1)`` names the raster of each image and sets the border rule. With it the raster is all there is: a
 dilation ends at its edge, and an erosion asks only the part of the disk that lies inside (mirrored borders give the same).
-Without it the plane goes on, and what is outside is background. An image that ``bounds`` does not name has no raster and
-gives no rows.
+A raster that is no full rectangle is given by the runs of its pixels instead (``runs`` of all of them); its gaps and what lies
+beyond are not asked either. Without a raster the plane goes on, and what is outside is background. An image that the raster
+does not name gives no rows.
 """
 
 from __future__ import annotations
@@ -54,6 +55,25 @@ def union(found: DataFrame) -> DataFrame:
     return named.groupBy("image", "row", "_k").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select(*RUN)
 
 
+def _sweep(a: DataFrame, b: DataFrame, in_b: bool) -> DataFrame:
+    """Stretches of runs of ``a`` that lie in runs of ``b`` (or, without ``in_b``, outside them)."""
+    ends = [F.explode(F.array(F.struct(F.col("c0").alias("at"), F.lit(1).alias("step")), F.struct((F.col("c1") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"), F.col("image"), F.col("row")]
+    one, none = F.col("e.step"), F.lit(0)
+    steps = a.select(*ends).select("image", "row", "e.at", one.alias("a"), none.alias("b")).unionByName(b.select(*ends).select("image", "row", "e.at", none.alias("a"), one.alias("b")))
+    line = Window.partitionBy("image", "row").orderBy("at")
+    level = steps.groupBy("image", "row", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    level = level.select("image", "row", F.col("at").alias("c0"), (F.lead("at").over(line) - 1).alias("c1"), F.sum("a").over(line).alias("_a"), F.sum("b").over(line).alias("_b"))
+    return union(level.where((F.col("_a") > 0) & ((F.col("_b") > 0) == in_b)).select(*RUN))
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _sweep(a, b, True)
+
+
+def minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _sweep(a, b, False)
+
+
 def _in(found: DataFrame, raster: DataFrame) -> DataFrame:
     b = raster.select(F.col("image").alias("_image"), F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), F.col("c0").alias("_c0"), F.col("c1").alias("_c1"))
     return found.join(b, F.col("image").eqNullSafe(F.col("_image"))).drop("_image")  # a row an image
@@ -64,6 +84,8 @@ def dilate(found: DataFrame, radius: int, raster: DataFrame | None = None) -> Da
     out = union(o.select("image", (F.col("row") + F.col("o.d")).alias("row"), (F.col("c0") - F.col("o.w")).alias("c0"), (F.col("c1") + F.col("o.w")).alias("c1")))
     if raster is None:
         return out
+    if "row" in raster.columns:
+        return common(out, raster)
     cut = _in(out, raster).where("row BETWEEN _r0 AND _r1 AND c1 >= _c0 AND c0 <= _c1")
     return cut.select("image", "row", F.greatest("c0", "_c0").alias("c0"), F.least("c1", "_c1").alias("c1"))
 
@@ -71,6 +93,8 @@ def dilate(found: DataFrame, radius: int, raster: DataFrame | None = None) -> Da
 def erode(found: DataFrame, radius: int, raster: DataFrame | None = None) -> DataFrame:
     """What keeps its whole disk. Every row of the disk covers a column at most once, so a column stays where as many rows
     cover it as there are."""
+    if raster is not None and "row" in raster.columns:
+        return minus(common(found, raster), dilate(minus(raster, found), radius))
     c0, c1, wanted = F.col("c0"), F.col("c1"), F.lit(2 * radius + 1)
     if raster is not None:
         found = _in(found, raster).where("row BETWEEN _r0 AND _r1")

@@ -61,9 +61,9 @@ def _(s, d):
 
 @query("r3_closing_at_borders", f"{R}, {_DIL2}, n AS (SELECT image, row, col FROM r ANTI JOIN d USING (image, row, col)), hurt AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM n, {_DISK2}) SELECT image, row, col FROM d JOIN r USING (image, row, col) ANTI JOIN hurt USING (image, row, col)")
 def _(s, d):
-    """Beyond the borders of an image there is neither mask nor background."""
+    """Beyond the borders of an image there is neither mask nor background; nor is there where its last row ends early."""
     df = ras(s, d)
-    return raster.closing(df.where(F.col("on") & (F.col("spectrum")[2] > 1.0)), 2, runs.bounds(df))
+    return raster.closing(df.where(F.col("on") & (F.col("spectrum")[2] > 1.0)), 2, runs.runs(df))
 
 
 @query("r6_core_flag", f"{R}, b AS (SELECT image, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM r GROUP BY image, label), x AS (SELECT x.image, x.vec_id, count(y.vec_id) > 0 AS border FROM r x JOIN b USING (image, label) LEFT JOIN r y ON y.image = x.image AND y.label <> x.label AND y.row BETWEEN r0 AND r1 AND y.col BETWEEN c0 AND c1 AND abs(y.row - x.row) + abs(y.col - x.col) = 1 GROUP BY x.image, x.vec_id) SELECT image, count_if(border) AS n_border, count_if(NOT border) AS n_core FROM x GROUP BY image")

@@ -105,6 +105,21 @@ def test_morphology_equals_the_disk(spark, radius, bounded):
     assert _set(runs.pixels(runs.closing(found, radius, edge))) == _eroded(_dilated(points, radius, box), radius, box)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 4])
+def test_rasters_that_are_no_rectangle(spark, radius):
+    """A last row that ends early and gaps inside are beyond the border."""
+    holds = {("a", r, c) for r in range(9) for c in range(12) if (r, c) < (8, 5)} - _noise(5, 9, 12, 0.1)
+    points = _noise(8, 9, 12, 0.5) & holds
+    edge = runs.runs(_mask(spark, holds))
+    grown = lambda p: _dilated(p, radius) & holds
+    shrunk = lambda p: (p & holds) - _dilated(holds - p, radius)
+    found = runs.runs(_mask(spark, points))
+    assert _set(runs.pixels(runs.dilate(found, radius, edge))) == grown(points)
+    assert _set(runs.pixels(runs.erode(found, radius, edge))) == shrunk(points)
+    assert _set(raster.opening(_mask(spark, points), radius, edge)) == grown(shrunk(points))
+    assert _set(raster.closing(_mask(spark, points), radius, edge)) == shrunk(grown(points)) >= points
+
+
 def test_runs_stay_apart(spark):
     found = runs.closing(runs.runs(_mask(spark, _noise(9, 12, 40, 0.6))), 1)
     got = sorted(tuple(r) for r in found.collect())
