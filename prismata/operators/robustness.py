@@ -17,11 +17,26 @@ def _same(a: list[str], b: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(q)) for p, q in zip(a, b, strict=True)])
 
 
-def stability_status(runs: DataFrame, model: str, seed: str, metrics: dict[str, tuple[float, bool]], expected: int) -> DataFrame:
+def _deviation_in_order(value: str, order: str) -> Column:
+    """Welford's sample deviation of the values that are not NULL, in ascending order of a key."""
+    x = F.col(value).cast("double")
+    runs = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(order).alias("o"), x.alias("x")))))
+
+    def add(a: Column, r: Column) -> Column:
+        mean = a["mean"] + (r["x"] - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (r["x"] - mean) * (r["x"] - a["mean"])).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(runs, start, add, lambda a: F.when(a["n"] > 1, F.sqrt(a["m2"] / F.greatest(a["n"] - 1, F.lit(1.0)))))
+
+
+def stability_status(runs: DataFrame, model: str, seed: str, metrics: dict[str, tuple[float, bool]], expected: int, order: str | None = None) -> DataFrame:
     """Per model: ``missing_seed``, ``deterministic`` (no metric varies), ``unstable_blocking`` (a blocking metric's standard deviation is
     above its limit), ``robust_with_supporting_warnings`` (only others are) or ``robust``; ``metrics`` names limit and
-    whether it blocks."""
-    stats = runs.groupBy(model).agg(F.count_distinct(seed).alias("n_seeds"), *[x for m in metrics for x in (F.stddev_samp(m).alias(f"{m}_std"), (F.max(m) - F.min(m)).alias(f"{m}_range"))])
+    whether it blocks. A deviation that equals its limit but for rounding is on the one or the other side by the order of the runs; with
+    ``order``, a unique key, it is theirs in this order however the table is split (the runs of one model are then one array)."""
+    deviation = lambda m: _deviation_in_order(m, order) if order else F.stddev_samp(m)
+    stats = runs.groupBy(model).agg(F.count_distinct(seed).alias("n_seeds"), *[x for m in metrics for x in (deviation(m).alias(f"{m}_std"), (F.max(m) - F.min(m)).alias(f"{m}_range"))])
     over = lambda blocks: reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{m}_std") > limit, F.lit(False)) for m, (limit, b) in metrics.items() if b == blocks] or [F.lit(False)])
     still = reduce(lambda a, b: a & b, [F.col(f"{m}_range") == 0 for m in metrics])
     return stats.withColumn("status", F.when(F.col("n_seeds") < expected, "missing_seed").when(still, "deterministic").when(over(True), "unstable_blocking").when(over(False), "robust_with_supporting_warnings").otherwise("robust"))

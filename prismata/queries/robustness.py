@@ -11,7 +11,7 @@ from prismata.registry import M, P, margins, pixels, query, read, rounded
 
 def runs(s, d):
     """Orders as runs: model = customer, seed = order number modulo 3."""
-    return read(s, d, "orders").select(F.col("o_custkey").alias("model"), (F.col("o_orderkey") % 3).alias("seed"), (F.col("o_totalprice") / 1e6).alias("m1"), (F.col("o_orderkey") % 10 / 10).cast("double").alias("m2"), (F.col("o_custkey") % 4).alias("track"))
+    return read(s, d, "orders").select(F.col("o_custkey").alias("model"), (F.col("o_orderkey") % 3).alias("seed"), (F.col("o_totalprice") / 1e6).alias("m1"), (F.col("o_orderkey") % 10 / 10).cast("double").alias("m2"), (F.col("o_custkey") % 4).alias("track"), F.col("o_orderkey").alias("run"))
 
 
 RUNS = "WITH u AS (SELECT o_custkey AS model, o_orderkey % 3 AS seed, o_totalprice / 1e6 AS m1, CAST(o_orderkey % 10 / 10 AS DOUBLE) AS m2, o_custkey % 4 AS track FROM orders)"
@@ -19,7 +19,7 @@ RUNS = "WITH u AS (SELECT o_custkey AS model, o_orderkey % 3 AS seed, o_totalpri
 
 @query("b3_stability_status", f"{RUNS}, a AS (SELECT model, count(DISTINCT seed) AS n_seeds, stddev_samp(m1) AS s1, max(m1) - min(m1) AS r1, stddev_samp(m2) AS s2, max(m2) - min(m2) AS r2 FROM u GROUP BY model) SELECT model, n_seeds, CASE WHEN n_seeds < 3 THEN 'missing_seed' WHEN r1 = 0 AND r2 = 0 THEN 'deterministic' WHEN s1 > 0.12 THEN 'unstable_blocking' WHEN s2 > 0.3 THEN 'robust_with_supporting_warnings' ELSE 'robust' END AS status FROM a")
 def _(s, d):
-    return robustness.stability_status(runs(s, d), "model", "seed", {"m1": (0.12, True), "m2": (0.3, False)}, 3).select("model", "n_seeds", "status")
+    return robustness.stability_status(runs(s, d), "model", "seed", {"m1": (0.12, True), "m2": (0.3, False)}, 3, "run").select("model", "n_seeds", "status")
 
 
 def _pairs(s):
