@@ -81,7 +81,8 @@ def threshold_drift(seeds: DataFrame, model: str, policy: str, warn: float) -> D
 
 def front_jackknife(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str]) -> DataFrame:
     """Each base seed left out of the stochastic models in turn: how often a model is on its track's front, and
-    stable_member, stable_non_member or membership_sensitive; ``reference`` says whether it is with all seeds."""
+    stable_member, stable_non_member or membership_sensitive; ``reference`` says whether it is with all seeds. Means of doubles carry the rounding of their order;
+    give decimals where equal means should tie."""
     grid = runs.withColumn("omitted", F.explode(F.array(*[F.lit(x) for x in [-1, *seeds]])))
     kept = grid.where(~F.col(stochastic) | (F.col(seed) != F.col("omitted")))
     means = kept.groupBy("omitted", track, model).agg(*[F.avg(m).alias(m) for m in metrics])
