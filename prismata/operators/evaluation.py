@@ -112,8 +112,10 @@ def grouped_decisions(df: DataFrame, by: list[str], item: str, truth: str = "tru
     """Counts and rates with uncertainty, and the mean over target objects of each one's miss rate."""
     t, d = F.col(truth), F.col(decision)
     sums = {"n_observations": F.count("*"), "n_target": F.count_if(t), "n_uncertain": F.count_if(d == "uncertain"), "n_target_uncertain": F.count_if(t & (d == "uncertain")), "tp": F.count_if(t & (d == "target")), "fn": F.count_if(t & (d == "non_target")), "fp": F.count_if(~t & (d == "target")), "tn": F.count_if(~t & (d == "non_target"))}
-    per = df.groupBy(*by, item).agg(F.max(t).alias("_t"), *[c.alias(n) for n, c in sums.items()])  # objects have one truth
-    out = per.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums], F.count_if("_t").alias("n_target_objects"), F.avg(F.when(F.col("_t"), F.try_divide("fn", "n_target"))).alias("macro_object_target_miss_rate"))
+    # rows without a true target give counts only, which need no state an item
+    per = df.where(t).groupBy(*by, item).agg(F.count("*").alias("n"), F.count_if(d == "non_target").alias("fn"))
+    macro = per.groupBy(*by).agg(F.count("*").alias("n_target_objects"), F.avg(F.col("fn") / F.col("n")).alias("macro_object_target_miss_rate"))
+    out = join_same(df.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()]), macro, by, "left").fillna(0, ["n_target_objects"])
     out = out.withColumns({"n_non_target": F.col("n_observations") - F.col("n_target"), "n_non_target_uncertain": F.col("n_uncertain") - F.col("n_target_uncertain")})
     out = out.withColumns({"target_miss_rate": F.try_divide("fn", "n_target"), "false_accept_rate": F.try_divide("fp", "n_non_target"), "uncertain_rate": F.try_divide("n_uncertain", "n_observations"), "target_uncertain_rate": F.try_divide("n_target_uncertain", "n_target"), "non_target_uncertain_rate": F.try_divide("n_non_target_uncertain", "n_non_target")})
     decided = (F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")) + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2
