@@ -11,6 +11,7 @@ from prismata.operators.catalog import join_once
 from prismata.operators.decisions import rates
 from prismata.operators.selection import pareto_front
 from prismata.plans.nulls import join_same
+from prismata.plans.shared import materialize
 
 Z95 = 1.959963984540054
 
@@ -172,7 +173,7 @@ def locked_evaluation(predictions: DataFrame, thresholds: DataFrame, key: str, i
 def guardrails(metrics: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """``metrics(key, scope, metric, value)`` against ``limits(metric, operator, warn, fail)``: pass, warning, fail or
     missing per check; where the overall scope fails, its other scopes cannot pass either and become warnings."""
-    df = metrics.join(F.broadcast(limits), "metric")  # a row per kind of check
+    df = materialize(metrics, "guardrails").join(F.broadcast(limits), "metric")  # read twice below; a row per kind of check
     worse = lambda limit: F.when(F.col("operator") == "<=", F.col("value") > F.col(limit)).otherwise(F.col("value") < F.col(limit))
     status = F.when(F.col("value").isNull() | F.isnan("value"), "missing").when(worse("fail"), "fail").when(worse("warn"), "warning").otherwise("pass")
     df = df.withColumn("status", status)

@@ -15,3 +15,11 @@ def test_only_target_rows_are_held_by_item(spark):
     a, n = got["a"], got[None]
     assert (a.n_observations, a.n_target, a.fn, a.tp, a.fp, a.n_target_objects, a.macro_object_target_miss_rate) == (5, 3, 1, 1, 1, 2, pytest.approx(0.25))
     assert (n.n_observations, n.n_target, n.tn, n.n_target_objects, n.macro_object_target_miss_rate) == (2, 0, 1, 0, None)
+
+
+def test_guardrails_store_what_they_read_twice(spark):
+    metrics = spark.createDataFrame([(0, "overall", "miss", 0.9), (0, "x", "miss", 0.1), (1, "overall", "miss", 0.1), (1, "x", "miss", None)], "fold int, scope string, metric string, value double")
+    limits = spark.createDataFrame([("miss", "<=", 0.2, 0.5)], "metric string, operator string, warn double, fail double")
+    out = evaluation.guardrails(metrics, limits, "fold")
+    assert any("guardrails-" in f for f in out.inputFiles())
+    assert {(r.fold, r.scope): r.status for r in out.collect()} == {(0, "overall"): "fail", (0, "x"): "warning", (1, "overall"): "pass", (1, "x"): "missing"}
