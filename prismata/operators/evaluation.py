@@ -28,7 +28,8 @@ def decide_by_config(objects: DataFrame, thresholds: DataFrame, key: str, ratio:
 
 
 def decision_shares(df: DataFrame, by: list[str], decision: str = "decision") -> DataFrame:
-    return join_same(df.groupBy(*by, decision).agg(F.count("*").alias("n")), df.groupBy(*by).agg(F.count("*").alias("n_all")), by).select(*by, decision, "n", (F.col("n") / F.col("n_all")).alias("rate"))
+    n = df.groupBy(*by, decision).agg(F.count("*").alias("n"))
+    return join_same(n, n.groupBy(*by).agg(F.sum("n").alias("n_all")), by).select(*by, decision, "n", (F.col("n") / F.col("n_all")).alias("rate"))
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -23,3 +23,10 @@ def test_guardrails_store_what_they_read_twice(spark):
     out = evaluation.guardrails(metrics, limits, "fold")
     assert any("guardrails-" in f for f in out.inputFiles())
     assert {(r.fold, r.scope): r.status for r in out.collect()} == {(0, "overall"): "fail", (0, "x"): "warning", (1, "overall"): "pass", (1, "x"): "missing"}
+
+
+def test_shares_come_from_one_count(spark):
+    df = spark.createDataFrame([(0, "target"), (0, "target"), (0, None), (None, "target")], "fold int, decision string")
+    out = evaluation.decision_shares(df, ["fold"])
+    assert "sum(n" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.fold, r.decision, r.n, round(r.rate, 6)) for r in out.collect()} == {(0, "target", 2, 0.666667), (0, None, 1, 0.333333), (None, "target", 1, 1.0)}
