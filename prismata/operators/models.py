@@ -121,6 +121,8 @@ def chi2_inverse(p: float, dof: np.ndarray) -> np.ndarray:
             hi *= 2
         for _ in range(200):
             mid = (lo + hi) / 2
+            if mid in (lo, hi):  # no double lies between
+                break
             lo, hi = (mid, hi) if cdf(mid, k) < p else (lo, mid)
         out.append((lo + hi) / 2)
     return np.array(out)

@@ -1,7 +1,7 @@
 """One-class SIMCA: fits with all limits, ten rule variants, thresholds by grouped cross-validation, projections.
 
 A fit needs one QR factor per model. Cross-validation needs no pass per fold: the Gram matrix of a fold's training rows is
-that of all rows minus that of the rows held out. Scoring multiplies Arrow batches by the loadings, which are sent to the
+that of all rows minus that of the rows held out, and small folds are taken off where their rows are. Scoring multiplies Arrow batches by the loadings, which are sent to the
 tasks up to a checked size; larger model tables are joined.
 """
 
@@ -24,6 +24,8 @@ from prismata.plans.shared import materialize
 
 EPS = 1e-12
 SENT = 64 << 20  # bytes of models that scoring sends to the tasks
+BUNDLE = 1024  # rows of small folds of a class that one group fits and scores
+STACK = 16 << 20  # bytes of covariances that are decomposed at once
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,11 +54,16 @@ def distances(rows: DataFrame, models: DataFrame, k: int, spectrum: str, own: st
             if not len(col):
                 continue
             x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
-            mine = np.array(batch.column(batch.schema.get_field_index("_own")).to_pylist(), object)
-            for name, (mean, values, loadings) in fits.items():
-                at = np.flatnonzero(mine == name) if own else np.arange(len(x))
-                if not len(at):
+            if own:  # sorted once: a batch may meet many models
+                codes, names = pd.factorize(np.array(batch.column(batch.schema.get_field_index("_own")).to_pylist(), object), use_na_sentinel=False)
+                order = np.argsort(codes, kind="stable")
+                groups = zip(names, np.split(order, np.flatnonzero(np.diff(codes[order])) + 1), strict=True)
+            else:
+                groups = ((name, np.arange(len(x))) for name in fits)
+            for name, at in groups:
+                if name not in fits:
                     continue
+                mean, values, loadings = fits[name]
                 c = x[at] - mean
                 t = c @ loadings.T
                 h = (t * t / np.maximum(values, EPS)).sum(1)
@@ -178,22 +185,76 @@ def higher_quantiles(df: DataFrame, by: list[str], value: str, q: float) -> Data
 def cv_distances(rows: DataFrame, key: str, group: str, spectrum: str, k: int, alpha: float, folds: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Held-out distances: each row under the model of its class that was fitted without its fold's groups. ``folds``
     None leaves one group out at a time; otherwise groups are dealt to that many folds by hash. Columns: ``model`` (the
-    class), ``fold``, ``keep``, h, q and the statistics of the fold's own limits."""
+    class), ``fold``, ``keep``, h, q and the statistics of the fold's own limits.
+
+    Only the classes' sums are shuffled as matrices. Folds of up to BUNDLE rows are fitted and scored in bundles of about as
+    many rows of a class, where the rows themselves are the smaller form of what is taken off; larger folds have a model each."""
+    keep = keep or []
     fold = F.col(group).cast("string") if folds is None else F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).cast("string")
-    rows = rows.withColumns({"_class": F.col(key).cast("string"), "_fold": fold})
+    rows = rows.where(F.col(spectrum).isNotNull()).withColumns({"_class": F.col(key).cast("string"), "_fold": fold}).where("_class IS NOT NULL")
     rows = rows.withColumn("_fit", F.to_json(F.struct(F.col("_class").alias("c"), F.col("_fold").alias("f"))))
     # sums are taken about one mean of all rows, so that digits they have in common do not cancel
     centre = (mean_spectrum(rows, [], spectrum).first() or {"mean": []})["mean"]
     centre = F.array(*map(F.lit, centre)) if centre else F.array().cast("array<double>")
-    shifted = rows.select("_fit", F.zip_with(spectrum, centre, lambda x, c: x - c).alias("_x"))
-    held = materialize(grams(shifted, "_fit", "_x"), "held-grams").withColumn("_c", F.get_json_object("model", "$.c"))
-    total = held.select("_c", "n", F.posexplode("cells").alias("i", "v")).groupBy("_c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    total = total.groupBy("_c").agg(F.max("n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_all"))
-    train = held.join(total, "_c").select("model", (F.col("_n") - F.col("n")).alias("n"), F.zip_with("_all", "cells", lambda a, b: a - b).alias("cells")).where(F.col("n") > k)
-    solved = train.groupBy("model").applyInPandas(_solve, MODEL)
-    models = materialize(solved.withColumn("mean", F.zip_with("mean", centre, lambda x, c: x + c)), "fold-models")
-    held_rows = rows.select("_fit", "_class", "_fold", *(keep or []), F.col(spectrum).alias("spectrum"))
-    return held_out(held_rows, models, k, alpha, keep or [])
+    shifted = F.zip_with(spectrum, centre, lambda x, c: x - c)
+    total = materialize(grams(rows.select("_class", shifted.alias("_x")), "_class", "_x"), "class-grams").select(F.col("model").alias("_class"), F.col("n").alias("_n"), F.col("cells").alias("_all"))
+    large = materialize(rows.groupBy("_fit").agg(F.count("*").alias("_rows")).where(F.col("_rows") > BUNDLE).select("_fit"), "large-folds")
+    rows = rows.select("_fit", "_class", "_fold", *keep, shifted.alias("spectrum"))
+    out = _bundled(rows.join(large, "_fit", "left_anti").drop("_fit"), total, k, alpha, keep)
+    if large.isEmpty():
+        return out
+    rows = rows.join(large, "_fit", "left_semi")
+    held = materialize(grams(rows, "_fit", "spectrum"), "held-grams").withColumn("_class", F.get_json_object("model", "$.c"))
+    train = held.join(total, "_class").select("model", (F.col("_n") - F.col("n")).alias("n"), F.zip_with("_all", "cells", lambda a, b: a - b).alias("cells")).where(F.col("n") > k)
+    models = materialize(train.groupBy("model").applyInPandas(_solve, MODEL), "fold-models")
+    return out.unionByName(held_out(rows, models, k, alpha, keep))
+
+
+def _bundled(rows: DataFrame, total: DataFrame, k: int, alpha: float, keep: list[str]) -> DataFrame:
+    """Rows (``_class, _fold``, ``keep``, ``spectrum``) of small folds under the model of their class without their fold, with the
+    columns of ``held_out``. ``total``: ``_class, _n, _all`` (rows, and sums and Gram matrix in one array) per class."""
+    deal = total.withColumn("_bundles", F.ceil(F.col("_n") / BUNDLE).cast("long"))
+    rows = rows.join(deal.select("_class", "_bundles"), "_class").withColumn("_bundle", F.pmod(F.xxhash64("_fold"), F.col("_bundles"))).drop("_bundles")
+    deal = deal.select("_class", "_n", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bundles") - 1)).alias("_bundle"))
+    numbers = ["h", "q", "h0", "nh", "q0", "nq", "h_limit", "q_limit"]
+    kept = ["_class", "_fold", *keep]
+    schema = rows.select(*kept, *[F.lit(0.0).alias(c) for c in numbers]).schema
+
+    def fit(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], f.type) for f in map(left.schema.field, kept)] + [pa.array([], pa.float64())] * len(numbers), names=[*kept, *numbers])
+        spectra = left["spectrum"].combine_chunks()
+        x = spectra.flatten().to_numpy(zero_copy_only=False).reshape(len(spectra), -1)
+        cells, n, b = right["_all"].combine_chunks().flatten().to_numpy(zero_copy_only=False), right["_n"][0].as_py(), x.shape[1]
+        codes = pd.factorize(left["_fold"].to_pandas(), use_na_sentinel=False)[0]
+        order = np.argsort(codes, kind="stable")
+        held = [at for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if n - len(at) > k]
+        taken, found = [], []
+        step = max(1, STACK // (8 * b * b))
+        for first in range(0, len(held), step):
+            some = held[first : first + step]
+            m = n - np.array([float(len(at)) for at in some])
+            mean = (cells[:b] - np.stack([x[at].sum(0) for at in some])) / m[:, None]
+            gram = cells[b:].reshape(b, b) - np.stack([x[at].T @ x[at] for at in some])
+            value, vector = np.linalg.eigh((gram - m[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(1, m - 1)[:, None, None])
+            value, vector = np.maximum(value[:, ::-1], 0), vector[:, :, ::-1][:, :, :k]
+            rest = np.where(value[:, k:] > EPS, value[:, k:], 0)
+            q1, q2 = rest.sum(1), (rest * rest).sum(1)
+            nq = np.where(q2 > 0, q1 * q1 / np.where(q2 > 0, q2, 1), float(max(b - k, 1)))
+            h0, nh, q0 = k * (m - 1) / m, np.full(len(m), float(k)), np.maximum(q1, EPS)
+            limits = np.stack([h0, nh, q0, nq, h0 / nh * chi2_inverse(1 - alpha, [float(k)])[0], q0 / nq * chi2_inverse(1 - alpha, nq)], 1)
+            for i, at in enumerate(some):
+                c = x[at] - mean[i]
+                t = c @ vector[i]
+                h = (t * t / np.maximum(value[i, :k], EPS)).sum(1)
+                q = np.maximum(0, (c * c).sum(1) - (t * t).sum(1))
+                taken.append(at)
+                found.append(np.hstack([h[:, None], q[:, None], np.repeat(limits[i][None], len(at), 0)]))
+        rows = left.select(kept).take(pa.array(np.concatenate(taken) if taken else np.zeros(0, int)))
+        found = np.concatenate(found) if found else np.zeros((0, len(numbers)))
+        return pa.table([*rows.columns, *[pa.array(found[:, j]) for j in range(len(numbers))]], names=[*kept, *numbers])
+
+    return _statistics(rows.groupBy("_class", "_bundle").cogroup(deal.groupBy("_class", "_bundle")).applyInArrow(fit, schema), keep)
 
 
 def held_out(rows: DataFrame, models: DataFrame, k: int, alpha: float, keep: list[str]) -> DataFrame:
@@ -203,7 +264,10 @@ def held_out(rows: DataFrame, models: DataFrame, k: int, alpha: float, keep: lis
     quantile = quantile_udf(1 - alpha)
     par = models.select("model", (k * (F.col("n") - 1) / F.col("n")).alias("h0"), F.lit(float(k)).alias("nh"), F.greatest(q1, F.lit(EPS)).alias("q0"), F.coalesce(F.try_divide(q1 * q1, q2), F.greatest(F.size("mean") - k, F.lit(1)).cast("double")).alias("nq"))
     par = materialize(par.withColumns({"h_limit": F.col("h0") / F.col("nh") * quantile("nh"), "q_limit": F.col("q0") / F.col("nq") * quantile("nq")}), "fold-limits")
-    scored = distances(rows, models, k, "spectrum", "_fit").join(par, "model")
+    return _statistics(distances(rows, models, k, "spectrum", "_fit").join(par, "model"), keep)
+
+
+def _statistics(scored: DataFrame, keep: list[str]) -> DataFrame:
     stats = statistics()
     return scored.select(F.col("_class").alias("model"), F.col("_fold").alias("fold"), *keep, "h", "q", stats["simple"].alias("simple_stat"), stats["sum"].alias("sum_stat"), stats["dd"].alias("dd_stat"))
 

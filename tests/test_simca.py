@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismata.operators import simca, spatial
 from prismata.operators.models import chi2_inverse
+from prismata.plans.shared import materialize
 
 K, ALPHA = 2, 0.1
 
@@ -86,6 +87,26 @@ def test_cross_validation_equals_refits(spark, rows):
     assert t.alternative_chi2_emp_cv == pytest.approx(np.quantile(sums, 1 - ALPHA, method="higher")) and t.n_folds == 4
 
 
+def test_small_folds_write_no_matrix_each(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 30))
+    of = [i // 2 if i < 200 else 100 for i in range(240)]  # 100 folds of two rows, one of 40
+    df = spark.createDataFrame([(i, "a", of[i], [float(v) for v in x[i]]) for i in range(240)], "i int, class string, group int, spectrum array<double>").repartition(3)
+    monkeypatch.setattr(simca, "BUNDLE", 20, raising=False)
+    written = []
+    monkeypatch.setattr(simca, "materialize", lambda d, name: written.append((name, t := materialize(d, name))) or t)
+    got = {r.i: r for r in simca.cv_distances(df, "class", "group", "spectrum", K, ALPHA, keep=["i"]).collect()}
+    assert len(got) == 240
+    for g in set(of):
+        out = [i for i in range(240) if of[i] == g]
+        m = _fit(x[[i for i in range(240) if of[i] != g]])
+        h, q = _dist(m, x[out])
+        for i, a, b in zip(out, h, q, strict=True):
+            assert got[i].h == pytest.approx(a) and got[i].q == pytest.approx(b) and got[i].sum_stat == pytest.approx(a / m["h_limit"] + b / m["q_limit"])
+            assert got[i].dd_stat == pytest.approx(m["nq"] * b / m["q0"] + m["nh"] * a / m["h0"]) and got[i].model == "a" and got[i].fold == str(g)
+    assert {name: t.count() for name, t in written if "grams" in name or "models" in name} == {"class-grams": 1, "held-grams": 1, "fold-models": 1}
+
+
 def test_higher_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     data = [(g, float(v)) for g in range(3) for v in np.round(rng.normal(size=200 + g), g)]
