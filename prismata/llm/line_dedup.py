@@ -3,9 +3,11 @@
 Lines are the parts of a text between newlines that hold a word. Equal lines are one node, found by hash with map-side
 combining. Two lines may differ by one edit for each ``least`` / ``threshold`` characters (12) of the shorter one, by
 ``threshold`` at most. A node that allows t edits is cut into t + 1 segments: within t edits of another line, one
-segment at least survives. A line is indexed by number, line length and content of its segments, and probes the
-index of every length from its own down to as many less as that length allows edits, at the few positions where an
-edit can have moved a segment to (multi-match-aware, so a segment's number bounds the shift).
+segment at least survives. Lines of CLASS lengths are cut alike, by the shortest of them: the first half of the segments is
+counted from the line's begin, the others from its end, and what a longer line has more lies between. A line is indexed by
+number, class and content of its segments, and probes the index of its own class, and of the class below where a line
+there may be within the edits, at the few positions where an edit can have moved a segment to (multi-match-aware, so the
+number of segments before or after bounds the shift).
 
 A segment that many lines share is no good key: it is found by counting the keys of one line in SAMPLE, and refined.
 What is left of these lines without the segment is within the same edits, so it is cut into t + 1 segments in turn,
@@ -13,7 +15,8 @@ and the key becomes both segments; up to LEVELS times. Lines that still share a
 everywhere. They are cut into blocks of about BUCKET lines, each pair of which meets in a task of its own. The counts only
 plan the work: whatever the sample says, no pair is lost.
 
-A count filter inside the join drops pairs whose counts of frequent letters differ by more than the edits can explain.
+Lines that share no key with another are left before the join. A count filter inside the join drops pairs whose counts of
+frequent letters differ by more than the edits can explain.
 Candidates are verified by an edit distance that is bit-parallel over the 2 * threshold + 1 diagonals of its band. Near
 lines are linked, linked lines form a class.
 
@@ -28,7 +31,7 @@ the text too the first copy stands before the others; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.plans.components import connected_components
@@ -37,19 +40,20 @@ from prismata.plans.shared import materialize
 
 THRESHOLD, LEAST = 2, 24
 BUCKET, SAMPLE, LEVELS = 512, 16, 8
-LETTERS = "etaoinsrhdlu"  # five bits of each one's count make the count signature
+CLASS = 4  # lengths of a class: its lines are cut alike
+LETTERS = "eta"  # five bits of each one's count make the count signature; each costs a pass over the line
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def entries(threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """All (edits t, how much shorter the indexed line is, segment number, shift of the segment)."""
-    return [(t, d, i, off) for t in range(1, threshold + 1) for d in range(t + 1) for i in range(t + 1) for off in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+def entries(t: int, below: int = 0) -> list[tuple[int, int]]:
+    """All (segment, shift) at which a line that is ``below`` classes of lengths above an indexed line of t edits probes."""
+    least = max(0, (below - 1) * CLASS + 1)  # so much shorter is the indexed line at least
+    shifts = lambda i: range(max(-i, least - (t - i)), i + 1) if i <= t // 2 else range(i - t, min(t - i, i - least) + 1)
+    return [(i, off) for i in range(t + 1) for off in shifts(i)]
 
 
-def segment(length: str, t: int, i: int) -> tuple[str, str]:
-    """SQL: where segment i of t + 1 begins (from 0), and its size; the last segments are the longer ones."""
-    m = t + 1
-    return f"CAST({i} * ({length} DIV {m}) + greatest(0, {i} - ({m} - {length} % {m})) AS int)", f"CAST({length} DIV {m} + IF({i} >= {m} - {length} % {m}, 1, 0) AS int)"
+def _listed(t: int, below: int = 0) -> str:
+    return f"array({', '.join(f'struct({below} AS below, {i} AS i, {off} AS off)' for i, off in entries(t, below))})"
 
 
 def allowed(length: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
@@ -57,23 +61,28 @@ def allowed(length: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
     return f"least({threshold}, CAST({length} * {threshold} DIV {least} AS int))"
 
 
-def probes(when, threshold: int = THRESHOLD, under: str = "") -> str:
-    """SQL array with an entry of ``entries`` each: the key of that segment of ``rest`` (``len`` characters), null
-    where ``when(t, d)`` does not hold; ``under`` names the key that is refined."""
-    keys = []
-    for t, d, i, off in entries(threshold):
-        start, size = segment(f"(len - {d})", t, i)
-        keys.append(f"IF({when(t, d)}, xxhash64({under}{i}, CAST(len - {d} AS int), substring(rest, {start} + {off + 1}, {size})), NULL)")
-    return f"array({', '.join(keys)})"
+def probes(threshold: int = THRESHOLD, least: int = LEAST) -> str:
+    """SQL array of the ``entries`` of a line of ``len`` characters, with the class they are for."""
+    parts = []
+    for below in range((threshold - 1) // CLASS + 2):
+        edits = edits_of(f"(len - len % {CLASS} - {below * CLASS})", threshold, least)
+        cases = " ".join(f"WHEN {edits} = {t} AND len % {CLASS} + {(below - 1) * CLASS} < {t} THEN {_listed(t, below)}" for t in range(1, threshold + 1) if entries(t, below))
+        parts.append(f"CASE {cases} ELSE array() END")
+    return f"concat({', '.join(parts)})"
 
 
-def without_segment(threshold: int = THRESHOLD) -> str:
-    """SQL: ``rest`` without the segment that entry ``at`` cuts."""
-    cases = []
-    for n, (t, d, i, off) in enumerate(entries(threshold)):
-        start, size = segment(f"(len - {d})", t, i)
-        cases.append(f"WHEN {n} THEN concat(substring(rest, 1, {start} + {off}), substring(rest, {start} + {off + 1} + {size}))")
-    return f"CASE at {' '.join(cases)} END"
+def edits_of(base: str, threshold: int = THRESHOLD, least: int = LEAST) -> str:
+    """SQL: the most edits that a line of the class from ``base`` on allows."""
+    return allowed(f"({base} + {CLASS - 1})", threshold, least)
+
+
+# where a key's segment begins in ``rest`` (from 0), and its size: one of t + 1 parts of ``base`` characters, the last ones longer;
+# segments of the second half are counted from the end
+START = "(i * CAST(base DIV (t + 1) AS int) + greatest(0, i - (t + 1 - base % (t + 1))) + off + IF(i > CAST(t DIV 2 AS int), len - base, 0))"
+SIZE = "(CAST(base DIV (t + 1) AS int) + IF(i >= t + 1 - base % (t + 1), 1, 0))"
+# bytes are found at once, characters by counting; the bytes hashed are the same
+SEGMENT = f"IF(octets = len, substring(bytes, {START} + 1, {SIZE}), CAST(substring(rest, {START} + 1, {SIZE}) AS binary))"
+BYTES = ["CAST(rest AS binary) AS bytes", "octet_length(rest) AS octets"]
 
 
 def letter_counts() -> str:
@@ -123,23 +132,22 @@ def _hot(keyed: DataFrame) -> DataFrame:
     return materialize(some.where(F.col("n") >= BUCKET), "hot-segments")
 
 
-def _refined(keyed: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
-    """The keys of hot rows become keys of two segments, where what is left is long enough for another."""
-    t_of, d_of = ([x[k] for x in entries(threshold)] for k in (0, 1))
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("at") + 1)
-    rows = keyed.join(hot.select("hot"), F.col("key") == F.col("hot"), "left")
-    rows = rows.withColumns({"t": pick(t_of), "d": pick(d_of)})
-    rest = F.when(F.col("hot").isNotNull(), F.expr(without_segment(threshold))).otherwise(F.col("rest"))
-    rows = rows.withColumn("rest", rest).withColumn("len", F.when(F.col("hot").isNotNull(), F.char_length("rest")).otherwise(F.col("len")))
-    fine = probes(lambda t, d: f"t = {t} AND d = {d}", threshold, "key, ")
-    rows = rows.withColumn("refine", F.expr("hot IS NOT NULL AND len - d >= 3 * (t + 1)"))
-    rows = rows.select("*", F.posexplode(F.expr(f"IF(refine, {fine}, array(key))")).alias("j", "k")).where("k IS NOT NULL")
-    own = F.col("own") & (~F.col("refine") | F.col("j").isin(_owned(threshold)))
-    return rows.select("l1", "counts", "rest", "len", F.col("k").alias("key"), F.when(F.col("refine"), F.col("j")).otherwise(F.col("at")).alias("at"), own.alias("own"))
+def _keyed(nodes: DataFrame, threshold: int, least: int) -> DataFrame:
+    """``(l1, counts, rest, len, base, t, start, size, key, own)``: the keys of every line (``l1, line``)."""
+    # counted before the keys are listed: what stands beside a generator is computed for each of its rows
+    rows = nodes.select("l1", "line", F.col("line").alias("rest"), F.char_length("line").alias("len")).select("l1", "rest", "len", F.expr(letter_counts()).alias("counts"), *map(F.expr, BYTES))
+    rows = rows.select("*", F.inline(F.expr(probes(threshold, least))))
+    rows = rows.withColumn("base", F.expr(f"len - len % {CLASS} - below * {CLASS}")).withColumn("t", F.expr(edits_of("base", threshold, least)))
+    return rows.selectExpr("l1", "counts", "rest", "len", "base", "t", f"{START} AS start", f"{SIZE} AS size", f"xxhash64(i, base, {SEGMENT}) AS key", "below = 0 AND off = 0 AS own")
 
 
-def _owned(threshold: int) -> list[int]:
-    return [n for n, (_, d, _, off) in enumerate(entries(threshold)) if d == 0 and off == 0]
+def _refined(keyed: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
+    """The keys of hot rows become keys of two segments, where what is left is long enough for another."""
+    rows = keyed.join(hot.select("hot"), F.col("key") == F.col("hot"), "left").withColumn("refine", F.expr("hot IS NOT NULL AND base - size >= 3 * (t + 1)"))
+    rows = rows.selectExpr("l1", "counts", "own", "key", "t", "refine", "start", "size", "IF(refine, concat(substring(rest, 1, start), substring(rest, start + size + 1)), rest) AS rest", "len - IF(refine, size, 0) AS len", "base - IF(refine, size, 0) AS base")
+    cases = " ".join(f"WHEN t = {t} THEN {_listed(t)}" for t in range(1, threshold + 1))
+    rows = rows.selectExpr("*", *BYTES).select("*", F.inline(F.expr(f"CASE WHEN NOT refine THEN array(struct(0 AS below, 0 AS i, 0 AS off)) {cases} END")))
+    return rows.selectExpr("l1", "counts", "rest", "len", "base", "t", f"IF(refine, {START}, start) AS start", f"IF(refine, {SIZE}, size) AS size", f"IF(refine, xxhash64(key, i, base, {SEGMENT}), key) AS key", "own AND off = 0 AS own")
 
 
 def _blocks(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -157,10 +165,7 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     """``(a, b, distance)``: pairs of different lines (by their first hash) within the threshold."""
     long = rows.withColumn("len", F.char_length("line")).where(f"{allowed('len', threshold, least)} > 0")
     nodes = materialize(long.groupBy("l1", "l2").agg(F.first("line").alias("line")).drop("l2"), "line-nodes")
-    keyed = nodes.select("l1", F.col("line").alias("rest"), "line", F.char_length("line").alias("len"))
-    # counted before the keys are listed: what stands beside a generator is computed for each of its rows
-    keyed = keyed.select("l1", "rest", "len", F.expr(letter_counts()).alias("counts")).select("*", F.posexplode(F.expr(probes(lambda t, d: f"len > {d} AND {allowed(f'(len - {d})', threshold, least)} = {t}", threshold))).alias("at", "key"))
-    keyed = keyed.where("key IS NOT NULL").withColumn("own", F.col("at").isin(_owned(threshold)))
+    keyed = _keyed(nodes, threshold, least)
     hot: DataFrame | None = None
     for level in range(LEVELS):
         hot = _hot(keyed)
@@ -169,7 +174,10 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
             break
         if level < LEVELS - 1:
             keyed = _refined(keyed, hot, threshold)
-    met = _blocks(keyed, hot).repartition("cell")  # one exchange serves both sides of the join
+    # most cells hold one line: the join sorts only what is left of them
+    cell = Window.partitionBy("cell")
+    met = _blocks(keyed, hot).withColumns({"n": F.count("*").over(cell), "index": F.max("own").over(cell)}).where("n > 1 AND index").drop("n", "index")
+    met = materialize(met, "line-cells").repartition("cell")  # one exchange serves both sides of the join
     index = met.select("cell", F.explode(F.expr("IF(own, array(struct(l1 AS l1, counts AS counts, probe AS probe)), array())")).alias("x")).select("cell", "x.l1", "x.counts")
     probe = met.select("cell", F.explode(F.expr("IF(probe, array(struct(l1 AS other, counts AS other_counts, own AS own)), array())")).alias("x")).select("cell", "x.other", "x.other_counts")
     near = index.join(probe, "cell").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
