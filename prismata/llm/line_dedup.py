@@ -15,8 +15,9 @@ and the key becomes both segments; up to LEVELS times. Lines that still share a
 everywhere. They are cut into blocks of about BUCKET lines, each pair of which meets in a task of its own. The counts only
 plan the work: whatever the sample says, no pair is lost.
 
-Lines that share no key with another are left before the join. A count filter inside the join drops pairs whose counts of
-frequent letters differ by more than the edits can explain.
+Lines that share no key with another are left before the join; the characters of the others are counted. A filter inside
+the join drops pairs whose counts differ by more than the edits can explain. The text of a line is shuffled once: the table
+of lines is cut by the hash that keys and candidates name, so that only these are sent to it.
 Candidates are verified by an edit distance that is bit-parallel over the 2 * threshold + 1 diagonals of its band. Near
 lines are linked, linked lines form a class.
 
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 
 from prismata.plans.components import connected_components
 from prismata.plans.hot import join_hot
-from prismata.plans.shared import materialize
+from prismata.plans.shared import materialize, materialize_by
 
 THRESHOLD, LEAST = 2, 24
 BUCKET, SAMPLE, LEVELS = 512, 16, 8
 CLASS = 4  # lengths of a class: its lines are cut alike
-LETTERS = "eta"  # five bits of each one's count make the count signature; each costs a pass over the line
+MARKS = 39  # characters are counted by their code point modulo MARKS, which keeps lower-case letters and digits apart
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -85,18 +86,17 @@ SEGMENT = f"IF(octets = len, substring(bytes, {START} + 1, {SIZE}), CAST(substri
 BYTES = ["CAST(rest AS binary) AS bytes", "octet_length(rest) AS octets"]
 
 
-def letter_counts() -> str:
-    """SQL: the counts of LETTERS in ``line``, modulo 32, and its length modulo 16, in one long."""
-    return "shiftleft(CAST(len & 15 AS bigint), 60) | " + " | ".join(f"shiftleft(CAST((len - char_length(replace(line, '{c}', ''))) & 31 AS bigint), {5 * i})" for i, c in enumerate(LETTERS))
+def character_counts(line: str = "line") -> str:
+    """SQL struct of the longs ``low`` and ``high``: the lower and the upper bit of each count of characters modulo 4."""
+    bits = f"transform(split({line}, ''), c -> shiftleft(1L, ascii(c) % {MARKS}))"
+    return f"aggregate({bits}, named_struct('low', 0L, 'high', 0L), (s, b) -> named_struct('low', s.low ^ b, 'high', s.high ^ (s.low & b)))"
 
 
 def counts_apart(x: str, y: str) -> str:
-    """SQL: a lower bound of the summed differences of two count signatures (LETTERS and all other characters), plus
-    the difference in length (``y`` is the longer line). A substitution adds two to the first at most, an insertion
-    or deletion one to either, so lines within t edits are at most 2 * t apart."""
-    parts = [f"((((shiftright({x}, {5 * i}) & 31) - (shiftright({y}, {5 * i}) & 31) + 16) & 31) - 16)" for i in range(len(LETTERS))]
-    longer = f"(((shiftright({y}, 60) & 15) - (shiftright({x}, 60) & 15)) & 15)"
-    return f"{longer} + abs({longer} + {' + '.join(parts)}) + " + " + ".join(f"abs({p})" for p in parts)
+    """SQL: a lower bound of the summed differences of two ``character_counts``. A substitution adds two to the sum at most, an
+    insertion or deletion one, so lines within t edits are at most 2 * t apart."""
+    low, high = f"({x}.low ^ {y}.low)", f"({x}.high ^ {y}.high)"
+    return f"bit_count({low}) + 2 * bit_count({high} & ~{low})"
 
 
 def banded_distance(threshold: int = THRESHOLD) -> str:
@@ -133,38 +133,37 @@ def _hot(keyed: DataFrame) -> DataFrame:
 
 
 def _keyed(nodes: DataFrame, threshold: int, least: int) -> DataFrame:
-    """``(l1, counts, rest, len, base, t, start, size, key, own)``: the keys of every line (``l1, line``)."""
-    # counted before the keys are listed: what stands beside a generator is computed for each of its rows
-    rows = nodes.select("l1", "line", F.col("line").alias("rest"), F.char_length("line").alias("len")).select("l1", "rest", "len", F.expr(letter_counts()).alias("counts"), *map(F.expr, BYTES))
+    """``(l1, rest, len, base, t, start, size, key, own)``: the keys of every line (``l1, line``)."""
+    rows = nodes.select("l1", F.col("line").alias("rest"), F.char_length("line").alias("len")).select("*", *map(F.expr, BYTES))
     rows = rows.select("*", F.inline(F.expr(probes(threshold, least))))
     rows = rows.withColumn("base", F.expr(f"len - len % {CLASS} - below * {CLASS}")).withColumn("t", F.expr(edits_of("base", threshold, least)))
-    return rows.selectExpr("l1", "counts", "rest", "len", "base", "t", f"{START} AS start", f"{SIZE} AS size", f"xxhash64(i, base, {SEGMENT}) AS key", "below = 0 AND off = 0 AS own")
+    return rows.selectExpr("l1", "rest", "len", "base", "t", f"{START} AS start", f"{SIZE} AS size", f"xxhash64(i, base, {SEGMENT}) AS key", "below = 0 AND off = 0 AS own")
 
 
 def _refined(keyed: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
     """The keys of hot rows become keys of two segments, where what is left is long enough for another."""
     rows = keyed.join(hot.select("hot"), F.col("key") == F.col("hot"), "left").withColumn("refine", F.expr("hot IS NOT NULL AND base - size >= 3 * (t + 1)"))
-    rows = rows.selectExpr("l1", "counts", "own", "key", "t", "refine", "start", "size", "IF(refine, concat(substring(rest, 1, start), substring(rest, start + size + 1)), rest) AS rest", "len - IF(refine, size, 0) AS len", "base - IF(refine, size, 0) AS base")
+    rows = rows.selectExpr("l1", "own", "key", "t", "refine", "start", "size", "IF(refine, concat(substring(rest, 1, start), substring(rest, start + size + 1)), rest) AS rest", "len - IF(refine, size, 0) AS len", "base - IF(refine, size, 0) AS base")
     cases = " ".join(f"WHEN t = {t} THEN {_listed(t)}" for t in range(1, threshold + 1))
     rows = rows.selectExpr("*", *BYTES).select("*", F.inline(F.expr(f"CASE WHEN NOT refine THEN array(struct(0 AS below, 0 AS i, 0 AS off)) {cases} END")))
-    return rows.selectExpr("l1", "counts", "rest", "len", "base", "t", f"IF(refine, {START}, start) AS start", f"IF(refine, {SIZE}, size) AS size", f"IF(refine, xxhash64(key, i, base, {SEGMENT}), key) AS key", "own AND off = 0 AS own")
+    return rows.selectExpr("l1", "rest", "len", "base", "t", f"IF(refine, {START}, start) AS start", f"IF(refine, {SIZE}, size) AS size", f"IF(refine, xxhash64(key, i, base, {SEGMENT}), key) AS key", "own AND off = 0 AS own")
 
 
 def _blocks(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``(cell, own, probe, l1, counts)``: rows that meet, as indexed line or as probe; hot keys in pairs of blocks."""
-    slim = keyed.select("key", "l1", "counts", "own")
+    """``(cell, own, probe, l1)``: rows that meet, as indexed line or as probe; hot keys in pairs of blocks."""
+    slim = keyed.select("key", "l1", "own")
     if hot is None:
-        return slim.select(F.col("key").alias("cell"), "own", F.lit(True).alias("probe"), "l1", "counts")
+        return slim.select(F.col("key").alias("cell"), "own", F.lit(True).alias("probe"), "l1")
     rows = slim.join(hot, F.col("key") == F.col("hot"), "left").withColumn("m", F.ceil(F.col("n") / BUCKET))
     row_, column = "transform(sequence(0L, m - 1), b -> struct(xxhash64(key, pmod(l1, m), b) AS cell, true AS own, false AS probe))", "transform(sequence(0L, m - 1), a -> struct(xxhash64(key, a, pmod(l1, m)) AS cell, false AS own, true AS probe))"
     cells = F.expr(f"CASE WHEN m IS NULL THEN array(struct(key AS cell, own AS own, true AS probe)) WHEN own THEN concat({row_}, {column}) ELSE {column} END")
-    return rows.withColumn("c", F.explode(cells)).select("c.cell", "c.own", "c.probe", "l1", "counts")
+    return rows.withColumn("c", F.explode(cells)).select("c.cell", "c.own", "c.probe", "l1")
 
 
 def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """``(a, b, distance)``: pairs of different lines (by their first hash) within the threshold."""
     long = rows.withColumn("len", F.char_length("line")).where(f"{allowed('len', threshold, least)} > 0")
-    nodes = materialize(long.groupBy("l1", "l2").agg(F.first("line").alias("line")).drop("l2"), "line-nodes")
+    nodes = materialize_by(long.groupBy("l1").agg(F.min("line").alias("line")), "line-nodes", "l1")
     keyed = _keyed(nodes, threshold, least)
     hot: DataFrame | None = None
     for level in range(LEVELS):
@@ -177,13 +176,15 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     # most cells hold one line: the join sorts only what is left of them
     cell = Window.partitionBy("cell")
     met = _blocks(keyed, hot).withColumns({"n": F.count("*").over(cell), "index": F.max("own").over(cell)}).where("n > 1 AND index").drop("n", "index")
-    met = materialize(met, "line-cells").repartition("cell")  # one exchange serves both sides of the join
+    met = materialize(met, "line-cells")
+    # only hashes are sent to the lines, which stay where they are
+    texts = materialize_by(nodes.join(met.select("l1").distinct().hint("shuffle_hash"), "l1", "left_semi"), "line-texts", "l1")
+    counted = materialize(texts.select("l1", F.expr(character_counts()).alias("counts")), "line-counts")
+    met = met.join(counted, "l1").repartition("cell")  # one exchange serves both sides of the join
     index = met.select("cell", F.explode(F.expr("IF(own, array(struct(l1 AS l1, counts AS counts, probe AS probe)), array())")).alias("x")).select("cell", "x.l1", "x.counts")
     probe = met.select("cell", F.explode(F.expr("IF(probe, array(struct(l1 AS other, counts AS other_counts, own AS own)), array())")).alias("x")).select("cell", "x.other", "x.other_counts")
     near = index.join(probe, "cell").where(f"l1 <> other AND {counts_apart('counts', 'other_counts')} <= {2 * threshold}").select(F.least("l1", "other").alias("a"), F.greatest("l1", "other").alias("b"))
     pairs = materialize(near.distinct(), "line-candidates")
-    wanted = pairs.select(F.col("a").alias("l1")).union(pairs.select(F.col("b").alias("l1"))).distinct()
-    texts = materialize(nodes.join(wanted, "l1", "left_semi").groupBy("l1").agg(F.min("line").alias("line")), "line-texts")
     sides = pairs.join(texts.select(F.col("l1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("l1").alias("b"), F.col("line").alias("y")), "b")
     # stored before it is filtered: a filter would be pushed through the steps and repeat each of them in itself
     return materialize(differing(sides).select("a", "b", F.expr(allowed("least(char_length(x), char_length(y))", threshold, least)).alias("allowed"), F.expr(banded_distance(threshold)).alias("distance")), "line-distances").where("distance <= allowed").drop("allowed")

@@ -219,3 +219,40 @@ def test_kept_texts_match_their_digests(docs):  # noqa: F811
         if r.n_removed:
             assert hashlib.sha256((r.text or "").encode()).hexdigest() == told[r.doc_id].kept_sha256
     assert substring_dedup.remove_substrings(docs).count() == len(ROWS)
+
+
+def _stored(monkeypatch, name):
+    """What ``near_pairs`` stores by this name, before it is run."""
+    out = []
+    for store in ("materialize", "materialize_by"):
+        monkeypatch.setattr(line_dedup, store, lambda df, at, *column, store=getattr(line_dedup, store): out.extend([df] * (at == name)) or store(df, at, *column))
+    return out
+
+
+def test_near_copies_that_share_segments_do_not_all_meet(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(20)]
+    texts = set()
+    for _ in range(120):
+        at, mark = rnd.randrange(20), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(4))
+        texts |= {" ".join([*base[:at], base[at] + mark, *base[at + 1 :]])}
+    texts = sorted(texts | {t[:-1] for t in sorted(texts)[:5]} | {t.replace(" ", "_", 2) for t in sorted(texts)[:5]})
+    stored = _stored(monkeypatch, "line-candidates")
+    rows = line_dedup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    name = {r.l1: r.line for r in rows.collect()}
+    got = {tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.near_pairs(rows).collect()}
+    assert got == {(x, y) for i, x in enumerate(texts) for y in texts[i + 1 :] if abs(len(x) - len(y)) <= 2 and _edits(x, y) <= 2} and len(got) > 9
+    assert stored[0].count() < len(texts) * len(texts) // 10  # of half as many pairs again as that
+
+
+def test_line_texts_are_shuffled_once(spark, monkeypatch):
+    stored = _stored(monkeypatch, "line-texts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = line_dedup.lines(spark.createDataFrame([(i, f"one of the lines that are alike {i:03d}") for i in range(30)], "doc_id long, text string"))
+        pairs = line_dedup.near_pairs(rows).count()
+        plan = stored[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert pairs == 435 and plan.count("Exchange hashpartitioning") == 1, plan
