@@ -85,15 +85,16 @@ def resolve_truth(pixels: DataFrame, annotations: DataFrame, class_truth: Column
     return df.withColumns({"truth": F.coalesce("_a", "_c", "_m"), "truth_source": source}).drop("_a", "_c", "_m")
 
 
-def post_process(target: DataFrame, uncertain: DataFrame, valid: DataFrame, connectivity: int = 8, operation: str = "none", radius: int = 1, least: int = 0) -> DataFrame:
+def post_process(target: DataFrame, uncertain: DataFrame, valid: DataFrame, connectivity: int = 8, operation: str = "none", radius: int = 1, least: int = 0, pixels: DataFrame | None = None) -> DataFrame:
     """The target mask after morphology, without small components. Uncertain and invalid pixels are no target before it and
-    never become target. The raster of an image ends at its outermost valid pixels."""
+    never become target. The raster of an image is all its ``pixels``, whatever its shape; without them it is the box that ends at its
+    outermost valid pixels."""
     free = lambda mask: mask.join(valid.select(*AT), AT, "left_semi").join(uncertain.select(*AT), AT, "left_anti")
     out = free(target.select(*AT).distinct())
     if operation not in ("none", "opening", "closing", "opening_closing"):
         raise ValueError(operation)
     if operation != "none":
-        edge, found = runs.bounds(valid), runs.runs(out)
+        edge, found = runs.bounds(valid) if pixels is None else runs.runs(pixels), runs.runs(out)
         if operation != "closing":
             found = runs.opening(found, radius, edge)
         if operation != "opening":
@@ -224,12 +225,13 @@ def spatial_grid(connectivities: list[int], operations: list[str], radii: list[i
     return [{"connectivity": c, "operation": o, "radius": r, "least": a} for c in connectivities for o in operations for r in (radii if o != "none" else radii[:1]) for a in areas]
 
 
-def evaluate_spatial(grid: list[dict], target: DataFrame, uncertain: DataFrame, truth: DataFrame, valid: DataFrame) -> DataFrame:
-    """Per candidate the pooled pixel counts of its mask against the truth on valid pixels that are not uncertain."""
+def evaluate_spatial(grid: list[dict], target: DataFrame, uncertain: DataFrame, truth: DataFrame, valid: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
+    """Per candidate the pooled pixel counts of its mask against the truth on valid pixels that are not uncertain; ``pixels`` as in
+    ``post_process``."""
     ground = valid.select(*AT).join(uncertain.select(*AT), AT, "left_anti").join(truth.select(*AT, F.lit(True).alias("_t")), AT, "left")
     parts = []
     for n, g in enumerate(grid):
-        mask = post_process(target, uncertain, valid, **g)
+        mask = post_process(target, uncertain, valid, **g, pixels=pixels)
         both = ground.join(mask.select(*AT, F.lit(True).alias("_p")), AT, "left")
         t, p = F.col("_t").isNotNull(), F.col("_p").isNotNull()
         counts = both.agg(F.count_if(t & p).alias("tp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"))
@@ -248,12 +250,12 @@ def choose_spatial(evaluated: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return evaluated.agg(F.min_by(F.struct(*evaluated.columns), rank).alias("x")).select("x.*")
 
 
-def locked_validation(target: DataFrame, uncertain: DataFrame, truth_objects: DataFrame, item: str, valid: DataFrame, lock: dict) -> DataFrame:
+def locked_validation(target: DataFrame, uncertain: DataFrame, truth_objects: DataFrame, item: str, valid: DataFrame, lock: dict, pixels: DataFrame | None = None) -> DataFrame:
     """Per image and map (raw, post_processed): pixel counts, Dice, and component recall, with the truth's objects as
-    components, so that objects that touch stay apart."""
+    components, so that objects that touch stay apart; ``pixels`` as in ``post_process``."""
     ground = valid.select(*AT).join(uncertain.select(*AT), AT, "left_anti").join(truth_objects.select(*AT, F.col(item).alias("_t")), AT, "left")
     parts = []
-    for name, mask in (("raw", target.select(*AT)), ("post_processed", post_process(target, uncertain, valid, **lock))):
+    for name, mask in (("raw", target.select(*AT)), ("post_processed", post_process(target, uncertain, valid, **lock, pixels=pixels))):
         labelled = raster.components(mask.join(ground.select(*AT), AT, "left_semi"), lock["connectivity"])
         both = ground.join(labelled, AT, "left")
         t, p = F.col("_t").isNotNull(), F.col("label").isNotNull()

@@ -79,7 +79,7 @@ def _(s, d):
     lock = {"connectivity": 8, "operation": "closing", "radius": 1, "least": 4}
     near = robustness.spatial_neighbours(lock, spatial.spatial_grid([8], ["none", "closing"], [1], [0, 4]))
     on = F.col("spectrum")[0] > 1.0
-    out = spatial.evaluate_spatial([lock, *[{k: v for k, v in g.items() if k != "factor"} for g in near]], df.where(on), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), df)
+    out = spatial.evaluate_spatial([lock, *[{k: v for k, v in g.items() if k != "factor"} for g in near]], df.where(on), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), df, df)
     return rounded(out)
 
 

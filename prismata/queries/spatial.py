@@ -94,7 +94,7 @@ _FREE = f"{R}, t AS (SELECT image, row, col FROM r WHERE on_ AND NOT near), hurt
 @query("r8_post_processing", f"{_FREE}, n AS (SELECT DISTINCT image, row + dr AS row, col + dc AS col FROM e, {_CROSS}) SELECT image, row, col FROM n JOIN r USING (image, row, col) WHERE NOT near")
 def _(s, d):
     df = ras(s, d)
-    return spatial.post_process(df.where("on"), df.where("near"), df, operation="opening", radius=1)
+    return spatial.post_process(df.where("on"), df.where("near"), df, operation="opening", radius=1, pixels=df)
 
 
 @query("r10_object_decisions", f"{R}, o AS (SELECT image, label, avg(CAST(on_ AS DOUBLE)) >= 0.5 AS decision FROM r GROUP BY image, label) SELECT vec_id, decision FROM r JOIN o USING (image, label)")
@@ -200,7 +200,7 @@ def _(s, d):
 def _evaluated(s, d):
     df = ras(s, d)
     grid = spatial.spatial_grid([8], ["none", "closing"], [1], [0, 4])
-    return spatial.evaluate_spatial(grid, df.where("on"), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), df)
+    return spatial.evaluate_spatial(grid, df.where("on"), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), df, df)
 
 
 @query("a7_spatial_choice")
@@ -211,7 +211,7 @@ def _(s, d):
 @query("a9_locked_validation", f"{R}, g AS (SELECT image, label = 0 AS t, on_ AS p FROM r WHERE NOT (spectrum[3] > 1.1)) SELECT image, 'raw' AS map, count_if(t AND p) AS tp, count_if(t AND NOT p) AS fn, count_if(NOT t AND p) AS fp, count_if(NOT t AND NOT p) AS tn, round(coalesce(2 * count_if(t AND p) / nullif(count_if(t) + count_if(p), 0), 1), 6) AS dice FROM g GROUP BY image")
 def _(s, d):
     df = ras(s, d)
-    out = spatial.locked_validation(df.where("on"), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), "object", df, {"connectivity": 8, "operation": "closing", "radius": 1, "least": 4})
+    out = spatial.locked_validation(df.where("on"), df.where(F.col("spectrum")[2] > 1.1), df.where("label = 0"), "object", df, {"connectivity": 8, "operation": "closing", "radius": 1, "least": 4}, df)
     return rounded(out.where("map = 'raw'").select("image", "map", "tp", "fn", "fp", "tn", "dice"))
 
 

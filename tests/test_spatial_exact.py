@@ -120,6 +120,21 @@ def test_rasters_that_are_no_rectangle(spark, radius):
     assert _set(raster.closing(_mask(spark, points), radius, edge)) == shrunk(grown(points)) >= points
 
 
+@pytest.mark.parametrize("operation", ["opening", "closing"])
+def test_post_processing_asks_only_pixels_that_there_are(spark, operation):
+    """Of a last row that ends early, and of gaps, nothing is asked; an uncertain or invalid pixel is background."""
+    holds = {("a", r, c) for r in range(6) for c in range(9) if (r, c) < (5, 4)} - {("a", 2, 7)}
+    target = holds - _noise(6, 6, 9, 0.1)
+    uncertain, invalid = {("a", 1, 1), ("a", 4, 7)}, {("a", 5, 0)}
+    grown = lambda p: _dilated(p, 1) & holds
+    shrunk = lambda p: (p & holds) - _dilated(holds - p, 1)
+    free = target - uncertain - invalid
+    want = (grown(shrunk(free)) if operation == "opening" else shrunk(grown(free))) - uncertain - invalid
+    masks = [_mask(spark, p) for p in (target, uncertain, holds - invalid)]
+    assert _set(spatial.post_process(*masks, operation=operation, pixels=_mask(spark, holds))) == want
+    assert _set(spatial.post_process(*masks, operation=operation)) != want  # the box of the valid pixels
+
+
 def test_runs_stay_apart(spark):
     found = runs.closing(runs.runs(_mask(spark, _noise(9, 12, 40, 0.6))), 1)
     got = sorted(tuple(r) for r in found.collect())
