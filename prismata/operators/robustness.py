@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.operators.selection import pareto_front
@@ -79,22 +79,40 @@ def threshold_drift(seeds: DataFrame, model: str, policy: str, warn: float) -> D
     return out.withColumn("status", F.when(F.col("n_policies") > 1, "policy_drift").when(worst > warn, "warning").otherwise("stable"))
 
 
-def front_jackknife(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str]) -> DataFrame:
+def _means_without(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str], order: str | None) -> DataFrame:
+    """Per track and model the means of the metrics over all runs (``omitted`` is -1) and without each seed of the stochastic models.
+    With ``order``, a unique key, each sum is that of the runs in this order, however the table is split."""
+    if order is None:
+        grid = runs.withColumn("omitted", F.explode(F.array(*[F.lit(x) for x in [-1, *seeds]])))
+        kept = grid.where(~F.col(stochastic) | (F.col(seed) != F.col("omitted")))
+        return kept.groupBy("omitted", track, model).agg(*[F.avg(m).alias(m) for m in metrics])
+    after = Window.partitionBy(track, model).orderBy(order)
+    line = after.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = []
+    for i, o in enumerate([-1, *seeds]):
+        keep = ~F.col(stochastic) | (F.col(seed) != o)
+        values = [F.when(keep, F.col(m).cast("double")) for m in metrics]
+        sums.append(F.struct(F.lit(o).alias("omitted"), F.count(F.when(keep, 1)).over(line).alias("n"), *[x for m, v in zip(metrics, values, strict=True) for x in (F.sum(v).over(line).alias(f"s_{m}"), F.count(v).over(line).alias(f"n_{m}"))]).alias(f"_{i}"))
+    # running sums add in order and hold no array of runs; a model's last run has them all
+    last = runs.select(track, model, *sums, F.lead(F.lit(True)).over(after).alias("_next")).where("_next IS NULL")
+    out = last.select(track, model, F.explode(F.array(*[f"_{i}" for i in range(len(sums))])).alias("x")).where("x.n > 0")
+    return out.select("x.omitted", track, model, *[F.when(F.col(f"x.n_{m}") > 0, F.col(f"x.s_{m}") / F.col(f"x.n_{m}")).alias(m) for m in metrics])
+
+
+def front_jackknife(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str], order: str | None = None) -> DataFrame:
     """Each base seed left out of the stochastic models in turn: how often a model is on its track's front, and
-    stable_member, stable_non_member or membership_sensitive; ``reference`` says whether it is with all seeds."""
-    grid = runs.withColumn("omitted", F.explode(F.array(*[F.lit(x) for x in [-1, *seeds]])))
-    kept = grid.where(~F.col(stochastic) | (F.col(seed) != F.col("omitted")))
-    means = kept.groupBy("omitted", track, model).agg(*[F.avg(m).alias(m) for m in metrics])
+    stable_member, stable_non_member or membership_sensitive; ``reference`` says whether it is with all seeds. Means that are equal
+    but for rounding dominate or not by the order of the runs; with ``order``, a unique key, they are theirs in this order."""
+    means = _means_without(runs, track, model, seed, stochastic, seeds, metrics, order)
     front = pareto_front(means, ["omitted", track], metrics).select(F.col("omitted").alias("_o"), F.col(track).alias("_t"), F.col(model).alias("_m"))
     told = means.join(front, _same(["omitted", track, model], ["_o", "_t", "_m"]), "left").withColumn("on", F.col("_m").isNotNull())
     out = told.groupBy(track, model).agg(F.max(F.when(F.col("omitted") == -1, F.col("on"))).alias("reference"), F.avg(F.when(F.col("omitted") != -1, F.col("on").cast("double"))).alias("frequency"))
     return out.withColumn("status", F.when(F.col("frequency") == 1, "stable_member").when(F.col("frequency") == 0, "stable_non_member").otherwise("membership_sensitive"))
 
 
-def front_jaccard(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str]) -> DataFrame:
-    """Per track and omitted seed the Jaccard index of the front with that of all seeds."""
-    grid = runs.withColumn("omitted", F.explode(F.array(*[F.lit(x) for x in [-1, *seeds]])))
-    means = grid.where(~F.col(stochastic) | (F.col(seed) != F.col("omitted"))).groupBy("omitted", track, model).agg(*[F.avg(m).alias(m) for m in metrics])
+def front_jaccard(runs: DataFrame, track: str, model: str, seed: str, stochastic: str, seeds: list[int], metrics: list[str], order: str | None = None) -> DataFrame:
+    """Per track and omitted seed the Jaccard index of the front with that of all seeds; ``order`` as in ``front_jackknife``."""
+    means = _means_without(runs, track, model, seed, stochastic, seeds, metrics, order)
     front = pareto_front(means, ["omitted", track], metrics).select("omitted", track, model)
     ref = front.where("omitted = -1").select(F.col(track).alias("_t"), F.col(model).alias("_m"))
     every = front.where("omitted <> -1")
@@ -259,8 +277,6 @@ def expand_projections(fits: DataFrame, contracts: DataFrame, family: str, fit_i
 def restored_configs(chosen: DataFrame, panel: DataFrame, thresholds: DataFrame, key: str, track: str, order: list, per_track: int) -> DataFrame:
     """Chosen models with their panel columns and thresholds, the first of each track in review order; a model that the panel or
     the thresholds lack is an error."""
-    from pyspark.sql import Window
-
     p = panel.withColumn("_in", F.lit(True))
     t = thresholds.select(key, "lower", "upper")
     df = chosen.select(key).join(p, key, "left").join(t, key, "left")

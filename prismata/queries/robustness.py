@@ -64,13 +64,13 @@ _JACK = f"{RUNS}, g AS (SELECT u.*, o FROM u, (SELECT unnest([-1, 0, 1, 2]) AS o
 @query("b7_front_jackknife", f"{_JACK}, c AS (SELECT track, model, max(CASE WHEN o = -1 THEN onf END) AS reference, avg(CASE WHEN o <> -1 THEN CAST(onf AS DOUBLE) END) AS q FROM f GROUP BY ALL) SELECT track, model, reference, round(q, 6) AS frequency, CASE WHEN q = 1 THEN 'stable_member' WHEN q = 0 THEN 'stable_non_member' ELSE 'membership_sensitive' END AS status FROM c")
 def _(s, d):
     r = runs(s, d).withColumn("random", F.col("model") % 2 == 1)
-    return rounded(robustness.front_jackknife(r, "track", "model", "seed", "random", [0, 1, 2], ["m1", "m2"]))
+    return rounded(robustness.front_jackknife(r, "track", "model", "seed", "random", [0, 1, 2], ["m1", "m2"], "run"))
 
 
 @query("b7_front_jaccard", f"{_JACK}, t AS (SELECT o, track, model FROM f WHERE onf), n AS (SELECT o, track, count(*) AS n FROM t GROUP BY ALL), i AS (SELECT t.o, t.track, count(r.model) AS bth FROM t LEFT JOIN t r ON r.o = -1 AND r.track = t.track AND r.model = t.model WHERE t.o <> -1 GROUP BY ALL) SELECT i.track, i.o AS omitted, round(bth / (n.n + r.n - bth), 6) AS jaccard FROM i JOIN n ON n.o = i.o AND n.track = i.track JOIN n r ON r.o = -1 AND r.track = i.track")
 def _(s, d):
     r = runs(s, d).withColumn("random", F.col("model") % 2 == 1)
-    return rounded(robustness.front_jaccard(r, "track", "model", "seed", "random", [0, 1, 2], ["m1", "m2"]))
+    return rounded(robustness.front_jaccard(r, "track", "model", "seed", "random", [0, 1, 2], ["m1", "m2"], "run"))
 
 
 @query("b8_spatial_sensitivity")
