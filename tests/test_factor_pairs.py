@@ -30,6 +30,22 @@ def test_pairs_are_not_joined_or_moved_again(spark, tables):
     assert sorted(map(str, map(tuple, pairs.collect()))) == sorted(map(str, want))
 
 
+def _shuffled(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_references_are_not_shuffled_in_copies(spark):
+    """Neither is a key lost that is NULL."""
+    rows = [(i or None, i % 3, "x", i % 10 == 0) for i in range(1000)]
+    models = spark.createDataFrame(rows, "id int, p int, q string, ref boolean")
+    before = _shuffled(spark)
+    got = sorted(map(str, map(tuple, robustness.one_factor_pairs(models, models.where("id < 500").select("id"), *FACTORS).collect())))
+    assert _shuffled(spark) - before < 4 * len(rows)
+    assert got == sorted(str(("p", a[0], b[0], str(b[1]), str(a[1]), "estimable" if a[0] and a[0] < 500 else "not_evaluated")) for a in rows for b in rows if b[3] and a[1] != b[1])
+
+
 def test_coverage_without_pairs(spark, tables):
     models, evaluated, _ = tables
     want = robustness.coverage_of(robustness.one_factor_pairs(models, evaluated, *FACTORS))
